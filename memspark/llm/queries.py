@@ -7,10 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, packing, token_counts, token_files
+from . import langid, media, packing, token_counts, token_files, toxicity
 from .common import read
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    held = langid.in_fold(4, 2)
+    model = toxicity.train(docs, labels.where(~held))
+    return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(media.store_media(read(spark, sf_dir, "documents")))
 
@@ -27,11 +34,19 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2)
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held = langid.in_fold(3, 1)
+    return langid.predict(docs, langid.train(docs.where(~held))).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
     "op4_media": op4_media,
     "op6_token_counts": op6_token_counts,
     "op7_token_files": op7_token_files,
     "op8_packing": op8_packing,
+    "op10_langid": op10_langid,
 }
 
 ORACLE_SQL: dict[str, str] = {}
