@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, media, packing, repeats, token_counts, token_files, toxicity
+from . import decontaminate, jaccard, langid, media, packing, repeats, token_counts, token_files, toxicity
 from .common import read
 
 
@@ -23,6 +23,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_groups(read(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(media.store_media(read(spark, sf_dir, "documents")))
 
@@ -52,6 +56,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_toxicity": op2_toxicity,
+    "op3_jaccard": op3_jaccard,
     "op4_media": op4_media,
     "op5_repeats": op5_repeats,
     "op6_token_counts": op6_token_counts,
