@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, langid, media, packing, repeats, token_counts, token_files, toxicity
+from . import decontaminate, jaccard, langid, lines, media, packing, repeats, token_counts, token_files, toxicity
 from .common import read
 
 
@@ -47,6 +47,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2)
 
 
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     held = langid.in_fold(3, 1)
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_counts": op6_token_counts,
     "op7_token_files": op7_token_files,
     "op8_packing": op8_packing,
+    "op9_lines": op9_lines,
     "op10_langid": op10_langid,
 }
 
