@@ -163,7 +163,33 @@ def keys_of(shingle: np.ndarray, owner: np.ndarray, n_sets: int, percent: int, s
     return np.concatenate(out), np.concatenate(of)
 
 
-SETS = "doc_id long, n_shingles long, s1 long, s2 long, keys array<long>"
+SETS = "doc_id long, n_shingles long, s1 long, s2 long, sketch binary, keys array<long>"
+SKETCH_WORDS = 128  # 64-bit words of the longest sketch
+
+
+def sketches(shingle: np.ndarray, owner: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """Parity sketches: bit k tells whether an odd number of the set's elements hash to k.  Two
+    sketches differ in no more bits than the sets in elements.  A sketch has at least 1.5 bits for
+    each element, a power of two of words; halves can be folded onto each other."""
+    words = np.minimum(SKETCH_WORDS, 2 ** np.ceil(np.log2(np.maximum(size * 1.5 / 64, 1))).astype(np.int64))
+    at = np.cumsum(words) - words
+    h = _mix(shingle * np.uint64(7))
+    word = at[owner] + ((h >> np.uint64(6)) % words[owner].astype(np.uint64)).astype(np.int64)
+    flat = np.zeros(int(words.sum()), np.uint64)
+    np.bitwise_xor.at(flat, word, np.uint64(1) << (h & np.uint64(63)))
+    return [flat[a : a + w].tobytes() for a, w in zip(at.tolist(), words.tolist())]
+
+
+def fold(sketch: np.ndarray, words: int) -> np.ndarray:
+    """A sketch (or rows of them) at a smaller number of words."""
+    return np.bitwise_xor.reduce(sketch.reshape(*sketch.shape[:-1], -1, words), axis=-2)
+
+
+def may_link(n_a, n_b, bits, percent: int):
+    """Whether sets of these sizes whose sketches differ in so many bits can link: at most
+    n_a+n_b-2*both elements differ, where both is at least percent/(100+percent) of n_a+n_b."""
+    total = n_a + n_b
+    return bits <= total - 2 * (-(-percent * total // (100 + percent)))
 
 
 def shingled(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -182,7 +208,9 @@ def shingled(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 keys, of = keys_of(shingle, owner, n, percent, sets)
                 order = np.argsort(of, kind="stable")
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(of, minlength=n))]).astype(np.int32)), pa.array(keys[order].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), pa.array(np.bincount(owner, minlength=n)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), lists], ["doc_id", "n_shingles", "s1", "s2", "keys"])
+                size = np.bincount(owner, minlength=n)
+                marks = pa.array(sketches(shingle, owner, size), pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), pa.array(size), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), marks, lists], ["doc_id", "n_shingles", "s1", "s2", "sketch", "keys"])
 
     return written(docs.mapInArrow(run, SETS), "shingled")
 
@@ -228,6 +256,77 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int, block:
     return written(met.mapInArrow(check, "a long, b long"), "links")
 
 
+PAIRS = "a long, b long"
+
+
+def plausible(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+    """Those pairs (a, b) whose sketches don't exclude a link.  own: rep, n, sketch."""
+
+    def run(batches):
+        for batch in batches:
+            n_a, n_b = batch.column(2).to_numpy(), batch.column(4).to_numpy()
+            bits = np.zeros(len(batch), np.int64)
+            for k, (x, y) in enumerate(zip(batch.column(3).to_pylist(), batch.column(5).to_pylist())):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                w = min(len(x), len(y))
+                bits[k] = np.bitwise_count(fold(x, w) ^ fold(y, w)).sum()
+            out = batch.filter(pa.array(may_link(n_a, n_b, bits, percent)))
+            yield pa.RecordBatch.from_arrays(out.columns[:2], ["a", "b"])
+
+    side = lambda s: own.select(F.col("rep").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b")
+    return met.select("a", "b", "n_a", "sketch_a", "n_b", "sketch_b").mapInArrow(run, PAIRS)
+
+
+def candidates(members: DataFrame, percent: int, nearest: int | None) -> DataFrame:
+    """Pairs of sets under a key (key, rep, n, c, sketch) that are of different components c and whose
+    sizes and sketches don't exclude a link; of each set at most `nearest`, those of the most similar
+    sketches, or all."""
+
+    def run(batches):
+        held: list = []
+
+        def done(rows):
+            key, rep, n, c = (np.array(x, np.int64) for x in list(zip(*rows))[:4])
+            edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+            out: list[np.ndarray] = []
+            for lo, hi in zip(edges[:-1], edges[1:]):
+                marks = [np.frombuffer(r[4], np.uint64) for r in rows[lo:hi]]
+                w = min(map(len, marks))
+                bank = np.stack([fold(m, w) for m in marks])
+                r, size, comp = rep[lo:hi], n[lo:hi], c[lo:hi]
+                step = max(1, 4_000_000 // (len(r) * w))
+                for k in range(0, len(r), step):
+                    bits = np.bitwise_count(bank[k : k + step, None] ^ bank[None]).sum(2, dtype=np.int64)
+                    ok = may_link(size[k : k + step, None], size[None], bits, percent) & (comp[k : k + step, None] != comp[None])
+                    low, high = np.minimum(size[k : k + step, None], size[None]), np.maximum(size[k : k + step, None], size[None])
+                    ok &= high * percent <= low * 100
+                    if nearest is not None and len(r) > nearest:
+                        bits = np.where(ok, bits, 1 << 40)
+                        best = np.argpartition(bits, nearest - 1, axis=1)[:, :nearest]
+                        chosen = np.zeros_like(ok)
+                        np.put_along_axis(chosen, best, True, axis=1)
+                        ok &= chosen
+                    x, y = np.nonzero(ok)
+                    out.append(np.stack([np.minimum(r[x + k], r[y]), np.maximum(r[x + k], r[y])], 1))
+            pairs = np.unique(np.concatenate(out), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["a", "b"])
+
+        for batch in batches:
+            held += zip(*(col.to_pylist() for col in batch.columns))
+            if len(held) >= 20_000 and held[0][0] != held[-1][0]:
+                cut = len(held)
+                while held[cut - 1][0] == held[-1][0]:
+                    cut -= 1
+                yield done(held[:cut])
+                held = held[cut:]
+        if held:
+            yield done(held)
+
+    ordered = members.repartition("key").sortWithinPartitions("key", "n")
+    return ordered.select("key", "rep", "n", "c", "sketch").mapInArrow(run, PAIRS).distinct()
+
+
 def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row for each row of docs (doc_id, text; other columns are ignored): doc_id, n_shingles and
     component_id, the smallest doc_id that it reaches over links, itself included.
@@ -235,36 +334,44 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     Two documents link when their sets of `words`-word shingles have 100*intersection >=
     percent*union.  A text without words has an empty set and links with nothing; equal sets link.
     Rows with a null doc_id are returned with a null component and link with nothing; of rows with
-    the same doc_id, each is a row of the result, and they share one component."""
+    the same doc_id, each is a row of the result, and they share one component.
+
+    Pairs under a key go in rounds: the smallest set with each other, then each set with its nearest
+    of other components, then all that are left, so that a large group of near copies is joined by
+    few links; a pair is left out only if its sets are joined already or a bound excludes the link."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     table = shingled(slim, words, percent)
     # equal sets: one of them stands for all
     filled = table.where("n_shingles > 0 and doc_id is not null")
-    classes = filled.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep"))
-    classes = written(classes, "classes")
-    own = filled.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "keys").dropDuplicates(["rep"])
-    keyed = own.join(classes.select("rep").distinct(), "rep", "left_semi").select("rep", "n", F.explode("keys").alias("key")).distinct()
+    classes = written(filled.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep")), "classes")
+    own = filled.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sketch", "keys").dropDuplicates(["rep"])
+    own = own.join(classes.select("rep").distinct(), "rep", "left_semi")
+    keyed = own.select("rep", "n", F.explode(F.array_distinct("keys")).alias("key"))
 
     # under each key: the first of the smallest sets and its partners
     by_key = Window.partitionBy("key")
-    rows = keyed.withColumn("first", F.first(F.struct("n", "rep")).over(by_key.orderBy("n", "rep"))).withColumn("last", F.max("rep").over(by_key))
-    rows = written(rows.where("first.rep <> rep or last <> rep").select("key", "rep", "n", "first"), "meetings")
-    near = lambda small, large: large * percent <= small * 100  # noqa: E731  sizes that can link
-    stars = rows.where((F.col("first.rep") != F.col("rep")) & near(F.col("first.n"), F.col("n"))).select(F.col("first.rep").alias("a"), F.col("rep").alias("b")).distinct()
-    links = verified(slim, stars, words, percent)
+    rows = keyed.withColumn("first", F.first(F.struct("n", "rep")).over(by_key.orderBy("n", "rep"))).withColumn("sets", F.count("*").over(by_key))
+    rows = written(rows.where("sets > 1").select("key", "rep", "n", "first"), "meetings")
+    marks = written(own.select("rep", "n", "sketch").join(rows.select("rep").distinct(), "rep", "left_semi"), "sketches")
+    stars = rows.where((F.col("first.rep") != F.col("rep")) & (F.col("n") * percent <= F.col("first.n") * 100)).select(F.least("first.rep", "rep").alias("a"), F.greatest("first.rep", "rep").alias("b")).distinct()
+    tried = written(plausible(stars, marks, percent), "pairs")
+    links = verified(slim, tried, words, percent)
+    for nearest in (2, 8, None):
+        label = components(links)
+        named = rows.join(label.withColumnRenamed("v", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
+        # keys whose sets aren't all in one component yet, one of those with the same sets
+        split = named.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("rep")).alias("members")).where("x <> y")
+        once = split.groupBy("size", "members").agg(F.min("key").alias("key")).select("key")
+        members = named.join(once, "key", "left_semi").join(marks.select("rep", "sketch"), "rep")
+        new = written(candidates(members, percent, nearest).join(tried, ["a", "b"], "left_anti"), "pairs")
+        if new.isEmpty():
+            if nearest is None:
+                break
+            continue
+        tried = tried.unionByName(new)
+        links = links.unionByName(verified(slim, new, words, percent))
     label = components(links)
 
-    # keys whose sets aren't all in one component yet: sets of different components, each pair once
-    named = rows.join(label.withColumnRenamed("v", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
-    split = named.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("rep")).alias("members")).where("x <> y")
-    once = split.groupBy("size", "members").agg(F.min("key").alias("key")).select("key")
-    open_ = written(named.join(once, "key", "left_semi"), "open")
-    left, right = (open_.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "c"))) for s in "ab")
-    rest = left.join(right, "key").where((F.col("c_a") != F.col("c_b")) & ((F.col("n_a") < F.col("n_b")) | (F.col("n_a") == F.col("n_b")) & (F.col("rep_a") < F.col("rep_b"))) & near(F.col("n_a"), F.col("n_b")))
-    rest = rest.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = verified(slim, rest, words, percent)
-    label = components(links.unionByName(more))
-
     known = classes.join(label.withColumnRenamed("v", "rep"), "rep", "left").select("n_shingles", "s1", "s2", F.coalesce("component", "rep").alias("c"))
     result = table.select("doc_id", "n_shingles", "s1", "s2").join(known, ["n_shingles", "s1", "s2"], "left")
     return result.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.least("doc_id", "c")).alias("component_id"))

@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from .common import flat_bytes, runs_by_size, written
 
 TRIGGER = 32
-PHRASES = "row long, trigger long, phrase long, at int, first int, last int"
+PLACE = "struct<row:bigint,at:int,first:int,last:int>"
+PHRASES = f"trigger long, phrase long, places array<{PLACE}>"
 BASE = 0x9E3779B97F4A7C15 | 1
 MASK = (1 << 64) - 1
 
@@ -159,25 +160,39 @@ def find_repeats(docs: DataFrame, length: int = 200, hot: int = 20_000) -> tuple
     rows = rows.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
 
     def parse(batches):
+        # equal phrases of a batch become one row, so that a phrase that many texts or one long
+        # periodic text repeat isn't shuffled one occurrence at a time
         for batch in batches:
             data, ends = flat_bytes(batch.column(1))
             ids = batch.column(0).to_numpy()
+            parts = []
             for a, b in runs_by_size(ends, 2_000_000):
-                text, trigger, phrase, at, first, last = phrases(np.ascontiguousarray(data[ends[a] : ends[b]]), ends[a : b + 1] - ends[a], length)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[a:b][text]), pa.array(trigger), pa.array(phrase), *(pa.array(x.astype(np.int32)) for x in (at, first, last))],
-                    [x.split()[0] for x in PHRASES.split(", ")],
-                )
+                text, *rest = phrases(np.ascontiguousarray(data[ends[a] : ends[b]]), ends[a : b + 1] - ends[a], length)
+                parts.append((ids[a:b][text], *rest))
+            if not parts:
+                continue
+            row, trigger, phrase, at, first, last = (np.concatenate(c) for c in zip(*parts))
+            order = np.lexsort((phrase, trigger))
+            new = np.ones(len(order), bool)
+            new[1:] = (trigger[order[1:]] != trigger[order[:-1]]) | (phrase[order[1:]] != phrase[order[:-1]])
+            begin = np.flatnonzero(new)
+            names = ["row", "at", "first", "last"]
+            places = pa.StructArray.from_arrays([pa.array(row[order]), *(pa.array(x[order].astype(np.int32)) for x in (at, first, last))], names)
+            # bounded rows: a very long list is cut
+            begin = np.unique(np.concatenate([begin, np.arange(0, len(order), 10_000)]))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(order)).astype(np.int32)), places)
+            yield pa.RecordBatch.from_arrays([pa.array(trigger[order[begin]]), pa.array(phrase[order[begin]]), lists], ["trigger", "phrase", "places"])
 
     parsed = rows.select("row", "text").mapInArrow(parse, PHRASES)
     group, same = Window.partitionBy("trigger"), Window.partitionBy("trigger", "phrase")
     marked = (
-        parsed.withColumn("n", F.count("*").over(same))
-        .withColumn("turn", F.row_number().over(same.orderBy("row", "at")))
+        parsed.withColumn("n", F.sum(F.size("places")).over(same))
+        .withColumn("turn", F.row_number().over(same.orderBy("places")))
         .withColumn("several", F.min("phrase").over(group) != F.max("phrase").over(group))
         .where("n > 1 or several")
     )
-    found = written(marked.select("row", "trigger", "at", "first", "last", (F.col("n") > 1).alias("whole"), (F.col("several") & (F.col("turn") == 1)).alias("compare")), "phrases")
+    places = marked.select("trigger", "n", (F.col("several") & (F.col("turn") == 1)).alias("several"), F.posexplode("places").alias("k", "p"))
+    found = written(places.select("p.row", "trigger", "p.at", "p.first", "p.last", (F.col("n") > 1).alias("whole"), (F.col("several") & (F.col("k") == 0)).alias("compare")), "phrases")
     whole = found.where("whole").select("row", F.col("first").alias("begin"), (F.col("last") + length).alias("end"))
 
     # the bytes of the dictionary's phrases around triggers that have several of them
