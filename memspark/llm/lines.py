@@ -2,7 +2,8 @@
 
 A line's set is its distinct words.  Words are ordered by rarity (a table of hashed counts over all
 lines, of fixed size, then the hash); the first n-ceil(t*n)+1 words of a line of n words are its
-prefix, and lines of similarity t or more share a word of both prefixes.  Under a word, pairs pass
+prefix, and lines of similarity t or more share a word of both prefixes (kept as 32 bits of its hash: words that
+collide only make more pairs to look at).  Under a word, pairs pass
 the length and positional filters and a bound from 64-bit parity sketches of the sets (a sketch
 differs in no more bits than the sets do in words); what passes is verified on the whole sets.
 """
@@ -18,7 +19,7 @@ from .common import flat_bytes, runs_by_size, written
 from .jaccard import word_hashes
 from .repeats import _mix
 
-LINES = "doc long, at long, row long, line int, n int, h long, parity long, prefix array<long>"
+LINES = "doc long, at long, row long, line int, n int, h long, parity long, prefix array<int>"
 LAST = (1 << 63) - 1
 
 
@@ -97,26 +98,33 @@ def _pairs(token, doc, at, n, place, parity, percent):
 
 
 PAIRS = "doc_x long, at_x long, doc_y long, at_y long"
+PAIR = [c.split()[0] for c in PAIRS.split(", ")]
+FEW = 3
 
 
 def candidates(prefixes: DataFrame, percent: int, every: bool) -> DataFrame:
-    """Pairs of lines (x before y) that may match; of each line y under a token the first such x
-    only, unless `every`."""
+    """Pairs of lines (x before y) that may match, with `more`.  Of each line y under a word only the
+    FEW x of the most similar sketches, and then `more` tells whether there are others; all if `every`."""
 
     def run(batches):
         held: list = []
 
         def done(columns):
             token, doc, at, n, place, parity = columns
-            x, y = _pairs(token, doc, at, n, place, parity.view(np.uint64), percent)
+            parity = parity.view(np.uint64)
+            x, y = _pairs(token, doc, at, n, place, parity, percent)
+            more = np.zeros(len(y), bool)
             if not every and len(x):
-                order = np.lexsort((at[x], doc[x], y))
+                order = np.lexsort((x, np.bitwise_count(parity[x] ^ parity[y]), y))
                 x, y = x[order], y[order]
                 first = np.ones(len(y), bool)
                 first[1:] = y[1:] != y[:-1]
-                x, y = x[first], y[first]
-            rows = np.unique(np.stack([doc[x], at[x], doc[y], at[y]], 1), axis=0) if len(x) else np.zeros((0, 4), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, k])) for k in range(4)], [c.split()[0] for c in PAIRS.split(", ")])
+                begin = np.flatnonzero(first)
+                size = np.diff(np.append(begin, len(y)))
+                keep = np.arange(len(y)) - np.repeat(begin, size) < FEW
+                more = np.repeat(size > FEW, size)[keep]
+                x, y = x[keep], y[keep]
+            return pa.RecordBatch.from_arrays([*(pa.array(c) for c in (doc[x], at[x], doc[y], at[y])), pa.array(more)], [*(c.split()[0] for c in PAIRS.split(", ")), "more"])
 
         for batch in batches:
             new = [c.to_numpy().astype(np.int64) for c in batch.columns]
@@ -129,7 +137,8 @@ def candidates(prefixes: DataFrame, percent: int, every: bool) -> DataFrame:
             yield done(held)
 
     ordered = prefixes.repartition("token").sortWithinPartitions("token", "n")
-    return ordered.select("token", "doc", "at", "n", "place", "parity").mapInArrow(run, PAIRS).distinct()
+    found = ordered.select("token", "doc", "at", "n", "place", "parity").mapInArrow(run, PAIRS + ", more boolean")
+    return found.groupBy("doc_x", "at_x", "doc_y", "at_y").agg(F.max("more").alias("more"))
 
 
 def find_repeated_lines(docs: DataFrame, percent: int = 80, min_words: int = 3, buckets: int = 1 << 22) -> tuple[DataFrame, DataFrame]:
@@ -169,7 +178,7 @@ def find_repeated_lines(docs: DataFrame, percent: int = 80, min_words: int = 3,
                 size = n[use] + (-percent * n[use] // 100) + 1
                 size[(n[use] * percent > (n[use] - 1) * 100) & (n[use] * 100 // percent == n[use])] = 0
                 pick = np.repeat(first[use] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-                prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(word[pick].view(np.int64)))
+                prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array((_mix(word[pick]) >> np.uint64(32)).astype(np.uint32).view(np.int32)))
                 mark = row[a:b][text[use]]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(doc[a:b][text[use]]), pa.array((number[use] << 16) | (mark & 0xFFFF)), pa.array(mark), pa.array(number[use].astype(np.int32)), pa.array(n[use].astype(np.int32)), pa.array(h[use].view(np.int64)), pa.array(parity[use].view(np.int64)), prefix],
@@ -183,16 +192,18 @@ def find_repeated_lines(docs: DataFrame, percent: int = 80, min_words: int = 3,
     classes = written(found.select("h", "n", "first.*", "lines", "parity", "prefix"), "classes")
     prefixes = classes.select("doc", "at", "n", "parity", F.posexplode("prefix").alias("place", "token")).select("token", "doc", "at", "n", "place", "parity")
     pairs = written(candidates(prefixes, percent, False), "pairs")
-    good = verified(slim, classes, pairs, shared, percent)
+    good = verified(slim, pairs, shared, percent)
     matched = good.select(F.col("doc_y").alias("doc"), F.col("at_y").alias("at")).distinct()
-    # lines whose first partners failed: all their partners
-    failed = pairs.select(F.col("doc_y").alias("doc"), F.col("at_y").alias("at")).distinct().join(matched, ["doc", "at"], "left_anti")
-    failed = written(failed, "failed")
-    words = prefixes.join(failed, ["doc", "at"], "left_semi").select("token").distinct()
-    rest = candidates(prefixes.join(words, "token", "left_semi"), percent, True)
-    rest = rest.join(failed.select(F.col("doc").alias("doc_y"), F.col("at").alias("at_y")), ["doc_y", "at_y"], "left_semi").select("doc_x", "at_x", "doc_y", "at_y").join(pairs, ["doc_x", "at_x", "doc_y", "at_y"], "left_anti")
-    more = verified(slim, classes, written(rest, "more-pairs"), shared, percent)
-    matched = matched.unionByName(more.select(F.col("doc_y").alias("doc"), F.col("at_y").alias("at"))).distinct().withColumn("near", F.lit(True))
+    # lines of which the likeliest partners failed, and which have others: all of these
+    failed = pairs.groupBy(F.col("doc_y").alias("doc"), F.col("at_y").alias("at")).agg(F.max("more").alias("more")).where("more").drop("more")
+    failed = written(failed.join(matched, ["doc", "at"], "left_anti"), "failed")
+    if not failed.isEmpty():
+        words = prefixes.join(failed, ["doc", "at"], "left_semi").select("token").distinct()
+        rest = candidates(prefixes.join(words, "token", "left_semi"), percent, True)
+        rest = rest.join(failed.select(F.col("doc").alias("doc_y"), F.col("at").alias("at_y")), ["doc_y", "at_y"], "left_semi").select(*PAIR).join(pairs, PAIR, "left_anti")
+        more = verified(slim, written(rest, "more-pairs"), shared, percent)
+        matched = matched.unionByName(more.select(F.col("doc_y").alias("doc"), F.col("at_y").alias("at"))).distinct()
+    matched = matched.withColumn("near", F.lit(True))
 
     bad = classes.select("h", "n", "doc", "at", "lines").join(matched, ["doc", "at"], "left").where("lines > 1 or near")
     bad = bad.select("h", "n", F.col("doc").alias("doc_1"), F.col("at").alias("at_1"), F.coalesce("near", F.lit(False)).alias("near"))
@@ -200,26 +211,42 @@ def find_repeated_lines(docs: DataFrame, percent: int = 80, min_words: int = 3,
     return rows, gone
 
 
-def verified(slim: DataFrame, classes: DataFrame, pairs: DataFrame, level, percent: int) -> DataFrame:
-    """The pairs whose word sets have 100*intersection >= percent*union, on whole sets read again."""
+def verified(slim: DataFrame, pairs: DataFrame, level, percent: int, bits: int = 1 << 22) -> DataFrame:
+    """The pairs whose word sets have 100*intersection >= percent*union, on whole sets read again.  A
+    table of fixed size of the hashes of the lines in question lets the others go before they are
+    shuffled."""
     ends = pairs.select(F.col("doc_x").alias("doc"), F.col("at_x").alias("at")).unionByName(pairs.select(F.col("doc_y").alias("doc"), F.col("at_y").alias("at"))).distinct()
-    wanted = classes.join(ends, ["doc", "at"]).groupBy("row").agg(F.collect_set(F.struct("doc", "at", "line")).alias("want"))
-    texts = slim.select("row", "text").join(wanted, "row").dropDuplicates(["row"])
+    slot = lambda doc, at: _mix(doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + at.view(np.uint64)) % np.uint64(bits)
+
+    def mark(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(slot(batch.column(0).to_numpy(), batch.column(1).to_numpy())).astype(np.int32))], ["slot"])
+
+    table = np.zeros(bits, bool)
+    table[ends.select("doc", "at").mapInArrow(mark, "slot int").distinct().toArrow()["slot"].to_numpy()] = True
+    asked = slim.sparkSession.sparkContext.broadcast(np.packbits(table))
 
     def read_sets(batches):
+        known = np.unpackbits(asked.value).astype(bool)
         for batch in batches:
-            data, ends_ = flat_bytes(batch.column(0))
-            want = batch.column(1).to_pylist()
-            for a, b in runs_by_size(ends_, 2_000_000):
-                part = np.ascontiguousarray(data[ends_[a] : ends_[b]])
-                edges, lines = line_ends(part, ends_[a : b + 1] - ends_[a])
+            doc, row = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            data, edges_of = flat_bytes(batch.column(2))
+            for a, b in runs_by_size(edges_of, 2_000_000):
+                part = np.ascontiguousarray(data[edges_of[a] : edges_of[b]])
+                edges, lines = line_ends(part, edges_of[a : b + 1] - edges_of[a])
+                text = np.repeat(np.arange(a, b), lines)
+                number = np.arange(len(text)) - np.repeat(np.cumsum(lines) - lines, lines)
+                at = (number << 16) | (row[text] & 0xFFFF)
+                take = np.flatnonzero(known[slot(doc[text], at).astype(np.int64)])
+                if not len(take):
+                    continue
                 word, line = line_sets(part, edges, level.value)
-                cut = np.searchsorted(line, np.arange(int(lines.sum()) + 1))
-                base = np.cumsum(lines) - lines
-                out = [(w["doc"], w["at"], np.sort(word[cut[base[k] + w["line"]] : cut[base[k] + w["line"] + 1]]).tobytes()) for k in range(b - a) for w in want[a + k]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary()))], ["doc", "at", "words"])
+                begin, end = np.searchsorted(line, take), np.searchsorted(line, take, "right")
+                words = [np.sort(word[x:y]).tobytes() for x, y in zip(begin.tolist(), end.tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(doc[text[take]]), pa.array(at[take]), pa.array(words, pa.binary())], ["doc", "at", "words"])
 
-    sets = written(texts.select("text", "want").mapInArrow(read_sets, "doc long, at long, words binary"), "line-sets")
+    found = slim.select("doc", "row", "text").mapInArrow(read_sets, "doc long, at long, words binary")
+    sets = written(found.join(ends, ["doc", "at"], "left_semi").dropDuplicates(["doc", "at"]), "line-sets")
     side = lambda s: sets.select(F.col("doc").alias(f"doc_{s}"), F.col("at").alias(f"at_{s}"), F.col("words").alias(f"words_{s}"))
 
     def check(batches):
@@ -232,7 +259,7 @@ def verified(slim: DataFrame, classes: DataFrame, pairs: DataFrame, level, perce
             out = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays(out.columns[:4], out.schema.names[:4])
 
-    joined = pairs.join(side("x"), ["doc_x", "at_x"]).join(side("y"), ["doc_y", "at_y"])
+    joined = pairs.select(*PAIR).join(side("x"), ["doc_x", "at_x"]).join(side("y"), ["doc_y", "at_y"])
     return written(joined.select("doc_x", "at_x", "doc_y", "at_y", "words_x", "words_y").mapInArrow(check, PAIRS), "matches")
 
 
