@@ -19,8 +19,8 @@ from memspark.llm.common import read, written
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with an identified language, by a model of these documents' own lang labels; texts
-    that are null or without letters, and those of a score under a half, go."""
-    return langid.keep_identified(docs, langid.train(docs), min_score=0.5)
+    that are null or without letters, and those of a calibrated score under 0.35, go."""
+    return langid.keep_identified(docs, langid.train(docs), min_score=0.35)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
