@@ -356,21 +356,21 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     stars = rows.where((F.col("first.rep") != F.col("rep")) & (F.col("n") * percent <= F.col("first.n") * 100)).select(F.least("first.rep", "rep").alias("a"), F.greatest("first.rep", "rep").alias("b")).distinct()
     tried = written(plausible(stars, marks, percent), "pairs")
     links = verified(slim, tried, words, percent)
+    label = components(links)
     for nearest in (2, 8, None):
-        label = components(links)
         named = rows.join(label.withColumnRenamed("v", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
         # keys whose sets aren't all in one component yet, one of those with the same sets
         split = named.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("rep")).alias("members")).where("x <> y")
         once = split.groupBy("size", "members").agg(F.min("key").alias("key")).select("key")
         members = named.join(once, "key", "left_semi").join(marks.select("rep", "sketch"), "rep")
         new = written(candidates(members, percent, nearest).join(tried, ["a", "b"], "left_anti"), "pairs")
-        if new.isEmpty():
-            if nearest is None:
-                break
+        found = None if new.isEmpty() else verified(slim, new, words, percent)
+        if found is None:
             continue
         tried = tried.unionByName(new)
-        links = links.unionByName(verified(slim, new, words, percent))
-    label = components(links)
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            label = components(links)
 
     known = classes.join(label.withColumnRenamed("v", "rep"), "rep", "left").select("n_shingles", "s1", "s2", F.coalesce("component", "rep").alias("c"))
     result = table.select("doc_id", "n_shingles", "s1", "s2").join(known, ["n_shingles", "s1", "s2"], "left")
