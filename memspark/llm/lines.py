@@ -6,6 +6,9 @@ prefix, and lines of similarity t or more share a word of both prefixes (kept as
 collide only make more pairs to look at).  Under a word, pairs pass
 the length and positional filters and a bound from 64-bit parity sketches of the sets (a sketch
 differs in no more bits than the sets do in words); what passes is verified on the whole sets.
+
+A line of few words but many characters (scripts without spaces, URLs, rules) may have a second set,
+of the 3-grams of its characters, which goes through the same join as a record of its own.
 """
 
 from __future__ import annotations
@@ -16,11 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import flat_bytes, runs_by_size, written
-from .jaccard import word_hashes
-from .repeats import _mix
+from .jaccard import LOWER, SPACE, word_hashes
+from .repeats import _mix, _Sums
 
 LINES = "doc long, at long, row long, line int, n int, h long, parity long, prefix array<int>"
 LAST = (1 << 63) - 1
+GRAM = 3  # characters
 
 
 def line_ends(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -36,15 +40,42 @@ def line_ends(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.append(begin[order], ends[-1]), inside + 1
 
 
-def word_counts(texts: DataFrame, buckets: int) -> np.ndarray:
-    """How many words of all texts fall into each hash bucket."""
+def gram_hashes(data: np.ndarray, ends: np.ndarray, words: np.ndarray, grams: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, line of each): the 3-grams of the characters other than white space (A-Z as a-z) of the
+    lines that have `grams` or more bytes of them for each of their words (words: how many each has)."""
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    solid = np.concatenate([[0], np.cumsum(~SPACE[data])])
+    size = solid[ends[1:]] - solid[ends[:-1]]
+    use = (size >= grams * words) & (words > 0)
+    if not grams or not use.any():
+        return none
+    line = np.repeat(np.arange(len(size)), np.diff(ends))
+    keep = use[line] & ~SPACE[data]
+    data, line = LOWER[data[keep]], line[keep]
+    lead = np.flatnonzero((data & 0xC0) != 0x80)
+    if len(lead) < GRAM:
+        return none
+    stop = np.append(lead, len(data))[GRAM:]
+    begin = lead[: len(stop)]
+    inside = line[begin] == line[stop - 1]
+    begin, stop = begin[inside], stop[inside]
+    return _mix(_Sums(data)(begin, stop) ^ np.uint64(0xA5A5A5A5A5A5A5A5)), line[begin]
+
+
+def word_counts(texts: DataFrame, buckets: int, grams: int = 0) -> np.ndarray:
+    """How many words of all texts, and 3-grams of lines that have such a set, fall into each hash bucket."""
 
     def run(batches):
         total = np.zeros(buckets, np.int64)
         for batch in batches:
             data, ends = flat_bytes(batch.column(0))
             for a, b in runs_by_size(ends):
-                h, _ = word_hashes(np.ascontiguousarray(data[ends[a] : ends[b]]), ends[a : b + 1] - ends[a])
+                part, edges = np.ascontiguousarray(data[ends[a] : ends[b]]), ends[a : b + 1] - ends[a]
+                if grams:
+                    edges, _ = line_ends(part, edges)
+                h, line = word_hashes(part, edges)
+                if grams:
+                    h = np.concatenate([h, gram_hashes(part, edges, np.bincount(line, minlength=len(edges) - 1), grams)[0]])
                 total += np.bincount((h % np.uint64(buckets)).astype(np.int64), minlength=buckets)
         at = np.flatnonzero(total)
         for k in range(0, len(at), 100_000):
@@ -57,16 +88,22 @@ def word_counts(texts: DataFrame, buckets: int) -> np.ndarray:
     return out
 
 
-def line_sets(data: np.ndarray, ends: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(words, line of each): the distinct words of each line, rarest first; a word's 64 bits are the
-    level of its count and 56 bits of its hash."""
+def line_sets(data: np.ndarray, ends: np.ndarray, level: np.ndarray, grams: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words, record of each, line of each record): the distinct words of each record, rarest first; a
+    word's 64 bits are the level of its count and 56 bits of its hash.  The first records are the lines
+    in their order, then come the sets of 3-grams (see gram_hashes)."""
     h, line = word_hashes(data, ends)
+    of = np.arange(len(ends) - 1)
+    if grams:
+        g, of_gram = gram_hashes(data, ends, np.bincount(line, minlength=len(of)), grams)
+        more, record = np.unique(of_gram, return_inverse=True)
+        h, line, of = np.concatenate([h, g]), np.concatenate([line, len(of) + record]), np.concatenate([of, more])
     word = (level[(h % np.uint64(len(level))).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (_mix(h) >> np.uint64(8))
     order = np.lexsort((word, line))
     word, line = word[order], line[order]
     new = np.ones(len(word), bool)
     new[1:] = (word[1:] != word[:-1]) | (line[1:] != line[:-1])
-    return word[new], line[new]
+    return word[new], line[new], of
 
 
 def _pairs(token, doc, at, n, place, parity, percent):
@@ -141,15 +178,17 @@ def candidates(prefixes: DataFrame, percent: int, every: bool) -> DataFrame:
     return found.groupBy("doc_x", "at_x", "doc_y", "at_y").agg(F.max("more").alias("more"))
 
 
-def find_repeated_lines(docs: DataFrame, percent: int = 80, min_words: int = 3, buckets: int = 1 << 22) -> tuple[DataFrame, DataFrame]:
+def find_repeated_lines(docs: DataFrame, percent: int = 80, min_words: int = 3, buckets: int = 1 << 22, grams: int = 0) -> tuple[DataFrame, DataFrame]:
     """(rows, gone): rows is docs with a column `__row`, a hash of doc_id and text; gone has (row,
     line) of each line that goes: a line of min_words distinct words or more (A-Z as a-z) that has
     100*intersection >= percent*union with an earlier line of the input, by doc_id (null last) and
-    place in the text.  Lines with fewer words stay."""
+    place in the text.  Lines with fewer words stay; with min_words=1 these are those without a word.
+    If grams > 0, a line of `grams` or more bytes a word, white space left out, also goes if the same
+    holds for its set of 3-grams of characters and that of such an earlier line."""
     spark = docs.sparkSession
     rows = docs.withColumn("__row", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
     slim = rows.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.col("__row").alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    counts = word_counts(slim, buckets)
+    counts = word_counts(slim, buckets, grams)
     # eight levels for each doubling of the count
     level = np.minimum(255, np.round(8 * np.log2(np.maximum(counts, 1)))).astype(np.uint8)
     shared = spark.sparkContext.broadcast(level)  # one byte a bucket, whatever the input
@@ -161,10 +200,10 @@ def find_repeated_lines(docs: DataFrame, percent: int = 80, min_words: int = 3,
             for a, b in runs_by_size(ends, 2_000_000):
                 part = np.ascontiguousarray(data[ends[a] : ends[b]])
                 edges, lines = line_ends(part, ends[a : b + 1] - ends[a])
-                word, line = line_sets(part, edges, shared.value)
-                total = int(lines.sum())
+                word, line, of = line_sets(part, edges, shared.value, grams)
+                total = len(of)
                 n = np.bincount(line, minlength=total)
-                use = np.flatnonzero(n >= min_words)
+                use = np.flatnonzero((n >= min_words) | (np.arange(total) >= len(edges) - 1))
                 if not len(use):
                     continue
                 first = np.cumsum(n) - n
@@ -173,7 +212,8 @@ def find_repeated_lines(docs: DataFrame, percent: int = 80, min_words: int = 3,
                 h[filled] = np.add.reduceat(_mix(word * np.uint64(5)), first[filled])
                 parity[filled] = np.bitwise_xor.reduceat(np.uint64(1) << (word & np.uint64(63)), first[filled])
                 text = np.repeat(np.arange(b - a), lines)
-                number = np.arange(total) - np.repeat(np.cumsum(lines) - lines, lines)
+                number = (np.arange(len(text)) - np.repeat(np.cumsum(lines) - lines, lines))[of]
+                text = text[of]
                 # the set's size decides the prefix; sets that only equal ones can match have none
                 size = n[use] + (-percent * n[use] // 100) + 1
                 size[(n[use] * percent > (n[use] - 1) * 100) & (n[use] * 100 // percent == n[use])] = 0
@@ -181,7 +221,7 @@ def find_repeated_lines(docs: DataFrame, percent: int = 80, min_words: int = 3,
                 prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array((_mix(word[pick]) >> np.uint64(32)).astype(np.uint32).view(np.int32)))
                 mark = row[a:b][text[use]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc[a:b][text[use]]), pa.array((number[use] << 16) | (mark & 0xFFFF)), pa.array(mark), pa.array(number[use].astype(np.int32)), pa.array(n[use].astype(np.int32)), pa.array(h[use].view(np.int64)), pa.array(parity[use].view(np.int64)), prefix],
+                    [pa.array(doc[a:b][text[use]]), pa.array((number[use] << 17) | ((mark & 0xFFFF) << 1) | (use >= len(edges) - 1)), pa.array(mark), pa.array(number[use].astype(np.int32)), pa.array(n[use].astype(np.int32)), pa.array(h[use].view(np.int64)), pa.array(parity[use].view(np.int64)), prefix],
                     [c.split()[0] for c in LINES.split(", ")],
                 )
 
@@ -192,7 +232,7 @@ def find_repeated_lines(docs: DataFrame, percent: int = 80, min_words: int = 3,
     classes = written(found.select("h", "n", "first.*", "lines", "parity", "prefix"), "classes")
     prefixes = classes.select("doc", "at", "n", "parity", F.posexplode("prefix").alias("place", "token")).select("token", "doc", "at", "n", "place", "parity")
     pairs = written(candidates(prefixes, percent, False), "pairs")
-    good = verified(slim, pairs, shared, percent)
+    good = verified(slim, pairs, shared, percent, grams)
     matched = good.select(F.col("doc_y").alias("doc"), F.col("at_y").alias("at")).distinct()
     # lines of which the likeliest partners failed, and which have others: all of these
     failed = pairs.groupBy(F.col("doc_y").alias("doc"), F.col("at_y").alias("at")).agg(F.max("more").alias("more")).where("more").drop("more")
@@ -201,7 +241,7 @@ def find_repeated_lines(docs: DataFrame, percent: int = 80, min_words: int = 3,
         words = prefixes.join(failed, ["doc", "at"], "left_semi").select("token").distinct()
         rest = candidates(prefixes.join(words, "token", "left_semi"), percent, True)
         rest = rest.join(failed.select(F.col("doc").alias("doc_y"), F.col("at").alias("at_y")), ["doc_y", "at_y"], "left_semi").select(*PAIR).join(pairs, PAIR, "left_anti")
-        more = verified(slim, written(rest, "more-pairs"), shared, percent)
+        more = verified(slim, written(rest, "more-pairs"), shared, percent, grams)
         matched = matched.unionByName(more.select(F.col("doc_y").alias("doc"), F.col("at_y").alias("at"))).distinct()
     matched = matched.withColumn("near", F.lit(True))
 
@@ -211,7 +251,7 @@ def find_repeated_lines(docs: DataFrame, percent: int = 80, min_words: int = 3,
     return rows, gone
 
 
-def verified(slim: DataFrame, pairs: DataFrame, level, percent: int, bits: int = 1 << 22) -> DataFrame:
+def verified(slim: DataFrame, pairs: DataFrame, level, percent: int, grams: int, bits: int = 1 << 22) -> DataFrame:
     """The pairs whose word sets have 100*intersection >= percent*union, on whole sets read again.  A
     table of fixed size of the hashes of the lines in question lets the others go before they are
     shuffled."""
@@ -236,11 +276,12 @@ def verified(slim: DataFrame, pairs: DataFrame, level, percent: int, bits: int =
                 edges, lines = line_ends(part, edges_of[a : b + 1] - edges_of[a])
                 text = np.repeat(np.arange(a, b), lines)
                 number = np.arange(len(text)) - np.repeat(np.cumsum(lines) - lines, lines)
-                at = (number << 16) | (row[text] & 0xFFFF)
-                take = np.flatnonzero(known[slot(doc[text], at).astype(np.int64)])
-                if not len(take):
+                at = (number << 17) | ((row[text] & 0xFFFF) << 1)
+                if not any(known[slot(doc[text], x).astype(np.int64)].any() for x in ((at, at | 1) if grams else (at,))):
                     continue
-                word, line = line_sets(part, edges, level.value)
+                word, line, of = line_sets(part, edges, level.value, grams)
+                text, at = text[of], at[of] | (np.arange(len(of)) >= len(edges) - 1)
+                take = np.flatnonzero(known[slot(doc[text], at).astype(np.int64)])
                 begin, end = np.searchsorted(line, take), np.searchsorted(line, take, "right")
                 words = [np.sort(word[x:y]).tobytes() for x, y in zip(begin.tolist(), end.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(doc[text[take]]), pa.array(at[take]), pa.array(words, pa.binary())], ["doc", "at", "words"])
@@ -263,12 +304,12 @@ def verified(slim: DataFrame, pairs: DataFrame, level, percent: int, bits: int =
     return written(joined.select("doc_x", "at_x", "doc_y", "at_y", "words_x", "words_y").mapInArrow(check, PAIRS), "matches")
 
 
-def dedup_lines(docs: DataFrame, percent: int = 80, min_words: int = 3) -> DataFrame:
+def dedup_lines(docs: DataFrame, percent: int = 80, min_words: int = 3, grams: int = 0) -> DataFrame:
     """docs (doc_id, text and any others) without their repeated lines (see find_repeated_lines); all
     rows and columns stay, plus n_lines and n_removed, the lines of the text and those that went.
     Null and empty texts stay as they are.  Rows with equal doc_id and text are one document: a line
     of one of them isn't later than the same line of the other."""
-    rows, gone = find_repeated_lines(docs, percent, min_words)
+    rows, gone = find_repeated_lines(docs, percent, min_words, grams=grams)
     lists = gone.groupBy("row").agg(F.collect_set("line").alias("__gone")).withColumnRenamed("row", "__row")
     joined = rows.join(lists, "__row", "left")
     lines = F.split(F.col("text").cast("string"), "\n", -1)

@@ -48,7 +48,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return lines.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), min_words=1, grams=16)
 
 
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

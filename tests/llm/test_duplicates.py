@@ -144,6 +144,43 @@ def test_lines_repeated_and_null_ids(spark):
     assert lines.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_lines_of_few_words(spark, rows):
+    long = "".join(chr(0x4E00 + k * 37 % 3000) for k in range(60))
+    url = "https://example.org/terms/of/use/and/licence/of/this/text?page="
+    lines_of = ["hello", "Hello", "}", "}", "---", "", "", "  ", long, long[:30] + "X" + long[31:], long[::-1], url + "1", url + "2", "a b", "b A", "a c", "我们 " + long[:20], long[:20]]
+    random.seed(8)
+    data = rows[:300] + [(5000 + k, "\n".join(random.choice(lines_of) for _ in range(4))) for k in range(30)] + [(6000, "\n".join(lines_of))]
+    index, sets, want = {}, [], []
+    for doc, text in sorted(data, key=lambda r: r[0]):
+        kept = []
+        for line in (text or "").split("\n"):
+            w, bad = words(line), False
+            solid = "".join(w)
+            both = [set(w)] + ([{(solid[k : k + 3],) for k in range(len(solid) - 2)}] if w and len(solid.encode()) >= 16 * len(w) else [])
+            for s in both:
+                met = Counter(j for x in s for j in index.get(x, ()))
+                bad |= any(5 * n >= 4 * (len(s) + len(sets[j]) - n) for j, n in met.items())
+            for s in both:
+                for x in s:
+                    index.setdefault(x, []).append(len(sets))
+                sets.append(s)
+            if not bad:
+                kept.append(line)
+        want.append((doc, None if text is None else "\n".join(kept)))
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
+    got = lines.dedup_lines(df, min_words=1, grams=16)
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=lambda r: r[0]) == want
+    last = dict(want)[6000].split("\n")
+    assert "}" not in last and long[:30] + "X" + long[31:] not in last and last.count("") >= 2
+
+
+def test_lines_query_takes_short_lines(spark, tmp_path):
+    spark.createDataFrame([(1, "}\nx y"), (2, "}\nX Y\nz")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    from memspark.llm import queries
+
+    assert {r.doc_id: r.text for r in queries.op9_lines(spark, str(tmp_path)).collect()} == {1: "}\nx y", 2: "z"}
+
+
 def test_components(spark):
     random.seed(9)
     edges = [(random.randrange(300), random.randrange(300)) for _ in range(150)] + [(1000 + k, 1001 + k) for k in range(60)] + [(2000, k) for k in range(2001, 2050)]
