@@ -124,15 +124,16 @@ def train(labelled: DataFrame, per_language: int = 1000, buckets: int = 1 << 16)
     of them fits the temperature only.  The languages are listed on the driver."""
     spark = labelled.sparkSession
     rows = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).na.drop()
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    hashed = rows.withColumn("h", F.xxhash64("text"))
+    # distinct texts of each language: copies must not shrink its sample
+    counts = {r["lang"]: r["n"] for r in hashed.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(counts)
     if not languages:
         return LanguageModel([], np.zeros(0, np.int64), np.zeros((0, 0)), np.zeros(0), np.zeros(buckets), 1.0)
     df, n = document_frequencies(rows, buckets)
     idf = np.log((1 + n) / (1 + df)) + 1
-    # about twice as many as wanted by a threshold on the hash, then exactly by rank
+    # about twice as many distinct texts as wanted by a threshold on the hash, then exactly by rank
     share = spark.createDataFrame([(k, min(1.0, 2.0 * per_language / c)) for k, c in counts.items()], "lang string, share double")
-    hashed = rows.withColumn("h", F.xxhash64("text"))
     few = hashed.join(F.broadcast(share), "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30))
     one = few.groupBy("lang", "h").agg(F.min("text").alias("text"))
     ranked = one.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h")))

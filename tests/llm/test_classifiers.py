@@ -34,6 +34,17 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in langid.predict(df, none).collect()} == {"und"}
 
 
+def test_language_of_many_copies(spark):
+    rng = np.random.default_rng(4)
+    text = lambda letters: " ".join("".join(rng.choice(list(letters), 5)) for _ in range(12))
+    few = {"aa": [text("abcdefghij") for _ in range(60)], "bb": [text("klmnopqrst") for _ in range(60)]}
+    rows = [(t, k) for k, found in few.items() for t in found] + [("a copy of one text", "aa")] * 20_000
+    model = langid.train(spark.createDataFrame(rows, "text string, lang string"), per_language=20)
+    fresh = [(k, text("abcdefghij" if k < 50 else "klmnopqrst")) for k in range(100)]
+    got = {r.doc_id: r.lang_pred for r in langid.predict(spark.createDataFrame(fresh, "doc_id long, text string"), model).collect()}
+    assert [got[k] for k in range(100)] == ["aa"] * 50 + ["bb"] * 50
+
+
 def test_ngrams_of_long_texts():
     text = "Ab cde" * 400
     a, n = langid.ngram_counts(text, 1 << 12)
