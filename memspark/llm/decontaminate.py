@@ -34,14 +34,15 @@ class Passages:
     place: np.ndarray
 
 
-def passages_of(item: int, text: str, window: int) -> list[tuple[int, bytes]]:
+def passages_of(item: int, text: str, window: int, stretch: int = 0) -> list[tuple[int, bytes]]:
+    """The whole item, or from 2*window bytes on its parts of `window` bytes; if stretch > 0, also its
+    parts of `stretch` bytes, so close that each verbatim stretch of 7/6 of that holds one."""
     data = normal(text)
     if len(data) < Q:
         return []
-    if len(data) <= 2 * window:
-        return [(item, data)]
-    starts = [*range(0, len(data) - window, window // 2), len(data) - window]
-    return [(item, data[k : k + window]) for k in starts]
+    cut = lambda size, step: [(item, data[k : k + size]) for k in [*range(0, len(data) - size, step), len(data) - size]]
+    found = [(item, data)] if len(data) <= 2 * window else cut(window, window // 2)
+    return found + cut(stretch, max(1, stretch // 6)) if 0 < stretch < len(data) else found
 
 
 def grams_of(data: np.ndarray) -> np.ndarray:
@@ -76,13 +77,13 @@ def index(found: list[tuple[int, bytes]], edit_share: float) -> Passages:
     return Passages(np.array([i for i, _ in found], np.int64), texts, budget, least, grams, np.append(first, len(gram)), of, place)
 
 
-def blocks(benchmark: DataFrame, edit_share: float, window: int, block_bytes: int = 1 << 22) -> Iterator[Passages]:
+def blocks(benchmark: DataFrame, edit_share: float, window: int, block_bytes: int = 1 << 22, stretch: int = 0) -> Iterator[Passages]:
     """The benchmark (item_id, text; null or under Q bytes: never matched) in blocks of about
     block_bytes, one at a time on the driver: a query set that is broadcast block by block."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).na.drop().distinct().orderBy("item_id", "text")
     held, size = [], 0
     for item, text in rows.toLocalIterator():
-        new = passages_of(item, text, window)
+        new = passages_of(item, text, window, stretch)
         held += new
         size += sum(len(t) for _, t in new)
         if size >= block_bytes:
@@ -147,7 +148,8 @@ class Scanner:
         return ((grams * np.uint64(0x9E3779B97F4A7C15)) >> self.bits).astype(np.int64)
 
     def find(self, texts: list[bytes]) -> list[tuple[int, int, int, int, int]]:
-        """(text, passage, begin, end, edits), the best region of each passage in each text."""
+        """(text, passage, begin, end, edits), the best region of each passage in each text; passages of
+        an item of which the text holds a longer one are left out."""
         p = self.p
         data = np.frombuffer(GAP.join(texts) + GAP, np.uint8)
         start = np.cumsum([0] + [len(t) + Q for t in texts])
@@ -164,7 +166,8 @@ class Scanner:
         doc = np.searchsorted(start, at, "right") - 1
         pair = doc * len(p.texts) + passage
         # a pair of text and passage with too few hits in all has no band with enough
-        enough = np.bincount(pair, minlength=len(texts) * len(p.texts))[pair] >= p.least[passage]
+        _, of, times = np.unique(pair, return_inverse=True, return_counts=True)
+        enough = times[of] >= p.least[passage]
         at, passage, place, doc, pair = at[enough], passage[enough], place[enough], doc[enough], pair[enough]
         if not len(at):
             return []
@@ -177,13 +180,20 @@ class Scanner:
         pairs, bands = keys // top, keys % top
         keep = counts >= p.least[pairs % len(p.texts)]
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for pair_, band_ in zip(pairs[keep].tolist(), bands[keep].tolist()):
+        longest: dict[tuple[int, int], int] = {}
+        pairs, bands = pairs[keep], bands[keep]
+        order = np.argsort(-np.array([len(t) for t in p.texts])[pairs % len(p.texts)], kind="stable")
+        for pair_, band_ in zip(pairs[order].tolist(), bands[order].tolist()):
             d, k = divmod(pair_, len(p.texts))
+            item = (d, int(p.items[k]))
+            if len(p.texts[k]) < longest.get(item, 0):
+                continue
             e = int(p.budget[k])
             low = (band_ - 1) * (e + 1) - lead
             found = verify(p.texts[k], e, data[start[d] : start[d + 1] - Q], low, low + 2 * (e + 1) - 1)
             if found and ((d, k) not in best or (found[2], found[0]) < (best[d, k][2], best[d, k][0])):
                 best[d, k] = found
+                longest.setdefault(item, len(p.texts[k]))
         return [(d, k, *v) for (d, k), v in best.items()]
 
 
@@ -200,16 +210,17 @@ def _batches(texts: list, most: int = 3_000_000) -> Iterator[tuple[int, list[byt
         yield at, held
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0.1, window: int = 400) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0.1, window: int = 400, stretch: int = 200) -> DataFrame:
     """One row for each document (doc_id, text) and benchmark item (item_id, text) of which it holds a
     passage with at most edit_share edits per byte: doc_id, item_id, begin, end (bytes of the normal
-    form of the text, see `normal`), edits, passage_bytes; the passage with the fewest edits, then
-    the first.  An item of over 2*window bytes counts by overlapping passages of `window` bytes.
+    form of the text, see `normal`), edits, passage_bytes; the longest passage, then the one with the
+    fewest edits, then the first.  An item's passages are the whole item (over 2*window bytes:
+    overlapping passages of `window` bytes) and all stretches of `stretch` bytes at a sixth of that.
     Null and empty texts hold nothing; other columns are ignored."""
     spark = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     result = None
-    for block in blocks(benchmark, edit_share, window):
+    for block in blocks(benchmark, edit_share, window, stretch=stretch):
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):
@@ -220,10 +231,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0.1, w
                 rows: dict[tuple[int, int], tuple] = {}
                 for at, texts in _batches(batch.column(1).to_pylist()):
                     for d, k, begin, end, edits in scan.find(texts):
-                        key, row = (at + d, int(p.items[k])), (edits, begin, end, len(p.texts[k]))
+                        key, row = (at + d, int(p.items[k])), (-len(p.texts[k]), edits, begin, end)
                         rows[key] = min(row, rows.get(key, row))
                 if rows:
-                    out = [(ids[d], item, begin, end, edits, size) for (d, item), (edits, begin, end, size) in rows.items()]
+                    out = [(ids[d], item, begin, end, edits, -size) for (d, item), (size, edits, begin, end) in rows.items()]
                     kinds = [pa.int64()] * 4 + [pa.int32()] * 2
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], [x.split()[0] for x in LEAKS.split(", ")])
 
@@ -232,10 +243,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0.1, w
     return slim.limit(0).select("doc_id", *(F.lit(None).cast(x.split()[1]).alias(x.split()[0]) for x in LEAKS.split(", ")[1:])) if result is None else result
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0.1, window: int = 400) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0.1, window: int = 400, stretch: int = 200) -> DataFrame:
     """The rows of docs that hold no passage of the benchmark (see find_leaks), all columns unchanged."""
     text_at = docs.columns.index("text")
-    for block in blocks(benchmark, edit_share, window):
+    for block in blocks(benchmark, edit_share, window, stretch=stretch):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):

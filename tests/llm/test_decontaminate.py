@@ -66,3 +66,21 @@ def test_blocks_give_the_same(spark, items):
     bench = spark.createDataFrame(items, "item_id long, text string")
     blocks = list(d.blocks(bench, 0.1, 400, block_bytes=500))
     assert len(blocks) > 2 and sorted(i for b in blocks for i in b.items.tolist()) == [i for i, _ in items]
+
+
+def test_stretches_of_items(spark, items):
+    words = [w for _, t in items for w in t.split()]
+    random.seed(5)
+    text = lambda size: d.normal(" ".join(random.choice(words) for _ in range(size))).decode("utf-8")[:size]
+    ascii_only = lambda t: t.encode("ascii", "replace").decode()
+    middle, long = ascii_only(text(702)), ascii_only(text(2000))
+    bench = spark.createDataFrame([(1, middle), (2, long)], "item_id long, text string")
+    docs, want = [], set()
+    parts = [(1, middle[:351]), (1, middle[351:]), (1, middle[:234]), (1, middle[234:468]), (1, middle[468:]), (1, middle[100:600])]
+    parts += [(2, long[k : k + 300]) for k in range(0, 1701, 7)]
+    for n, (item, part) in enumerate(parts):
+        docs.append((n, "0 1 2 3 4 5 6 7 8 9 " * 20 + part.strip() + " 0 1 2 3 4 5 6 7 8 9" * 20))
+        want.add((n, item))
+    df = spark.createDataFrame([*docs, (-1, "0 1 2 3 4 5 6 7 8 9 " * 40)], "doc_id long, text string").repartition(4)
+    assert {(r.doc_id, r.item_id) for r in d.find_leaks(df, bench).collect()} == want
+    assert [r.doc_id for r in d.drop_leaks(df, bench).collect()] == [-1]
