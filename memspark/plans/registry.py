@@ -665,7 +665,8 @@ def x4_match_webhooks(s, d):
 @query()
 def s7_webhook_outbox(s, d):
     secrets = views.webhooks(s, d).select("webhook_id", F.concat(F.lit("secret-"), F.col("webhook_id").cast("string")).alias("secret"))
-    return events.webhook_outbox(events.match_webhooks(_changes(s, d), views.webhooks(s, d)), secrets)
+    changes = events.change_events(_written(s, d, True)[2]).select("seq", "user_id", "event_type")
+    return events.webhook_outbox(events.match_webhooks(changes, views.webhooks(s, d)), secrets)
 
 
 @query("SELECT user_id AS webhook_id, CAST(props ->> '$.k' AS BIGINT) AS event_id, max(event_id % 3) AS attempts, bool_or(event_type <> 'error') AS success FROM events GROUP BY ALL")

@@ -1,3 +1,4 @@
+import json
 import math
 import random
 import re
@@ -163,6 +164,25 @@ def test_signature(spark):
     assert re.fullmatch("[0-9a-f]{64}", out.signature) and out.body == '{"event_type":"memory.created","id":7}'
 
 
+def test_outbox_has_all_changes(spark):
+    from memspark.plans import registry
+    from memspark.sources import views
+
+    sf, want, last = "/root/testdata/sf0.001", [], {}
+    hooks = [r for r in views.webhooks(spark, sf).collect() if r.is_active]
+    for w in sorted(views.memory_writes(spark, sf).collect(), key=lambda w: w.seq):
+        key = w.user_id, w.memory_key
+        kind = "memory.updated" if key in last else "memory.created"
+        if last.get(key) != w.content:
+            for h in hooks:
+                if h.user_id == w.user_id and (h.events == "*" or kind in h.events.split(", ")):
+                    want.append((w.seq, kind, h.webhook_id))
+        last[key] = w.content
+    got = registry.QUERIES["s7_webhook_outbox"](spark, sf).collect()
+    assert sorted((json.loads(r.body)["seq"], r.event_type, r.webhook_id) for r in got) == sorted(want)
+    assert any(seq % 20 for seq, _, _ in want)
+
+
 def test_export_round_trip(spark, tmp_path):
     cols = "id long, user_id long, memory_key string, memory_type string, scope string, content string, status string, authority_level long, confidence double, importance_score double, version int"
     mem = spark.createDataFrame([(1, 1, "a", "semantic", "user", "x", "active", 1, 0.5, 0.5, 1), (2, 1, "b", "semantic", "user", "y", "active", 1, 0.5, 0.5, 1)], cols)
