@@ -15,14 +15,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.  Only where that is unset
-    (a local session, as in tests) a folder of our own is made and set."""
+    """The folder that driver and executors share: spark.checkpoint.dir.  Where that is unset, a local
+    session gets a folder of its own; on a cluster it is an error, as no other folder is shared."""
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="memspark-")
         spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
@@ -32,7 +33,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of written() that no later step reads."""
+    for table in tables:
+        where = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.written_to)
+        where.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def texts_of(column, most: int = 64):
+    """The values of an Arrow column one after the other, of which few are Python objects at once."""
+    for at in range(0, len(column), most):
+        yield from column.slice(at, most).to_pylist()
 
 
 def flat_bytes(column) -> tuple[np.ndarray, np.ndarray]:

@@ -56,7 +56,8 @@ def word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
     stops[:-1] &= gap[1:]
     stops[inner[inner > 0] - 1] = ~gap[inner[inner > 0] - 1]
     begin, end = np.flatnonzero(begins), np.flatnonzero(stops) + 1
-    return _Sums(data)(begin, end), np.searchsorted(ends, begin, "right") - 1
+    count = np.diff(np.searchsorted(begin, ends))
+    return _Sums(data)(begin, end), np.repeat(np.arange(len(ends) - 1), count)
 
 
 def shingle_sets(data: np.ndarray, ends: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:

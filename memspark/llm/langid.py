@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import texts_of
+
 ORDERS = (1, 2, 3)
 UNKNOWN = "und"
 
@@ -103,7 +105,7 @@ def document_frequencies(texts: DataFrame, buckets: int) -> tuple[np.ndarray, in
     def run(batches):
         total, n = np.zeros(buckets + 1, np.int64), 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in texts_of(batch.column(0)):
                 total[ngram_counts(text or "", buckets)[0]] += 1
                 n += 1
         total[buckets] = n
@@ -141,7 +143,7 @@ def train(labelled: DataFrame, per_language: int = 1000, buckets: int = 1 << 16)
 
     def features(batches):
         for batch in batches:
-            found = [ngram_counts(t, buckets) for t in batch.column(2).to_pylist()]
+            found = [ngram_counts(t, buckets) for t in texts_of(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a.tobytes() for a, _ in found], pa.binary()), pa.array([c.astype(np.int32).tobytes() for _, c in found], pa.binary())], ["lang", "h", "at", "n"])
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -189,7 +191,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     def run(batches):
         judge = _Judge(shared.value)
         for batch in batches:
-            said = [judge(t) for t in batch.column(1).to_pylist()]
+            said = [judge(t) for t in texts_of(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
@@ -204,8 +206,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel, min_score: float = 0.
     def run(batches):
         judge = _Judge(shared.value)
         for batch in batches:
-            said = [judge(t) for t in batch.column(text_at).to_pylist()]
-            yield batch.filter(pa.array([lang != UNKNOWN and score >= min_score for lang, score in said], pa.bool_()))
+            yield batch.filter(pa.array([lang != UNKNOWN and score >= min_score for lang, score in map(judge, texts_of(batch.column(text_at)))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

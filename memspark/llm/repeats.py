@@ -26,15 +26,21 @@ BASE = 0x9E3779B97F4A7C15 | 1
 MASK = (1 << 64) - 1
 
 
+_KNOWN: list[np.ndarray] = []  # the powers that were last needed, up to a bounded number
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**k and BASE**-k modulo 2**64."""
-    inverse = pow(BASE, -1, 1 << 64)
-    out = []
-    for b in (BASE, inverse):
-        p = np.full(n + 1, b, np.uint64)
-        p[0] = 1
-        out.append(np.cumprod(p, dtype=np.uint64))
-    return out[0], out[1]
+    """BASE**k and BASE**-k modulo 2**64 for k = 0..n."""
+    if not _KNOWN or len(_KNOWN[0]) <= n:
+        out = []
+        for b in (BASE, pow(BASE, -1, 1 << 64)):
+            p = np.full(max(n, 1 << 16) + 1, b, np.uint64)
+            p[0] = 1
+            out.append(np.cumprod(p, dtype=np.uint64))
+        if n > 1 << 21:
+            return out[0][: n + 1], out[1][: n + 1]
+        _KNOWN[:] = out
+    return _KNOWN[0][: n + 1], _KNOWN[1][: n + 1]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
