@@ -27,9 +27,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that match an earlier line (80 of 100 words, or
     of 100 character 3-grams of lines of few words); n_chars follows.  A
     document of which only white space is left goes."""
-    kept = lines.dedup_lines(docs, percent=80, min_words=1, grams=16).where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
+    kept, _, removed = lines.rewritten(docs, percent=80, min_words=1, grams=16)
+    kept = kept.where((F.col(removed) == 0) | F.col("text").rlike(r"\S"))
     if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+        kept = kept.withColumn("n_chars", F.when(F.col(removed) == 0, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return kept.select(*docs.columns)
 
 
