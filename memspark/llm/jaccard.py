@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import flat_bytes, runs_by_size, written
+from .common import discard, flat_bytes, runs_by_size, texts_of, written
 from .components import components
 from .repeats import _mix, _Sums
 
@@ -27,6 +27,8 @@ SPACE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 CHANCE = 1e-5  # that a set has a given shingle of an unrelated set, for the cost of segments
+MEETING = 2.0  # cost of a chance meeting, where a key costs 1
+HOT = 2000  # sets of a key in one task
 
 
 @dataclass(frozen=True)
@@ -86,19 +88,22 @@ def shingle_sets(data: np.ndarray, ends: np.ndarray, words: int) -> tuple[np.nda
 
 
 def _cost(size: int, h: int, m: int, sets: float) -> tuple[float, int, int]:
-    """Keys and expected chance meetings of a set for m segments; with how many near ones, and spare."""
-    mean = size / m
-    empty = m * math.exp(-mean)
+    """Cost of a set of `size` elements for m segments: its keys, each of which is shuffled, and the sets
+    that it meets under them by chance; with how many near ones, and spare.  A segment has binomially
+    many elements, and shares them all with a set by CHANCE for each."""
     near, spare = max(0, h + 1 - m), 0
+    p = np.array([math.exp(math.lgamma(size + 1) - math.lgamma(g + 1) - math.lgamma(size - g + 1) - g * math.log(m) + ((size - g) * math.log1p(-1 / m) if m > 1 else 0.0 if g == size else -math.inf)) for g in range(min(size, 60) + 1 if m > 1 else size + 1)])
     if near == 0:
         spare = m - h - 1
-        if spare < empty:
+        if spare < m * p[0]:
             return math.inf, 0, 0
-    g = np.arange(1, 60)
-    p = np.exp(-mean + g * math.log(mean) - np.array([math.lgamma(x + 1) for x in g]))
-    plain = (m - near) * (1 + sets * float((p * CHANCE ** np.minimum(g, 30)).sum()) + (sets * math.exp(-2 * mean) if near else 0))
-    deleted = near * (1 + mean + sets * float((p * g * CHANCE ** np.minimum(np.maximum(g - 1, 0), 30)).sum()) + sets * math.exp(-2 * mean))
-    return plain + deleted, near, spare
+    g = np.arange(len(p))
+    alike = CHANCE ** np.minimum(g, 30)
+    plain = 1 + MEETING * sets * float((p * alike)[1:].sum())
+    # of a segment of one element, the neighbourhood is the empty segment, which empty ones have, too
+    empty = float(p[0] + (p[1] if len(p) > 1 else 0)) ** 2
+    deleted = 1 + size / m + MEETING * sets * (float((p * g * CHANCE ** np.clip(g - 1, 0, 30))[2:].sum()) + empty)
+    return (m - near) * plain + near * deleted, near, spare
 
 
 @lru_cache(maxsize=100_000)
@@ -164,7 +169,7 @@ def keys_of(shingle: np.ndarray, owner: np.ndarray, n_sets: int, percent: int, s
     return np.concatenate(out), np.concatenate(of)
 
 
-SETS = "doc_id long, n_shingles long, s1 long, s2 long, sketch binary, keys array<long>"
+SETS = "doc_id long, row long, n int, s1 long, s2 long, sketch binary, keys array<long>"
 SKETCH_WORDS = 128  # 64-bit words of the longest sketch
 
 
@@ -194,54 +199,100 @@ def may_link(n_a, n_b, bits, percent: int):
 
 
 def shingled(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """For each row of docs with an id: the size of its set, a 128-bit hash of the set, its keys."""
-    sets = max(1, docs.count())
+    """For each row of docs (doc_id, row, text): the size of its set and a 128-bit hash of the set; also
+    its keys and its sketch, but of equal sets of a batch only for the first row."""
+    sets = 10 ** round(math.log10(max(1, docs.count())))  # the costs need no more than its size
 
     def run(batches):
         for batch in batches:
-            data, ends = flat_bytes(batch.column(1))
-            for a, b in runs_by_size(ends, 2_000_000):
+            doc, row = batch.column(0), batch.column(1).to_numpy()
+            known = doc.is_valid().to_numpy(zero_copy_only=False)
+            # rows of smaller doc_id first: they stand for equal ones
+            rank = np.lexsort((row, doc.fill_null(0).to_numpy()))
+            place = np.empty(len(rank), np.int64)
+            place[rank] = np.arange(len(rank))
+            data, ends = flat_bytes(batch.column(2))
+            seen: dict[tuple, int] = {}
+            parts = []
+            for a, b in runs_by_size(ends, 500_000):
                 shingle, owner = shingle_sets(np.ascontiguousarray(data[ends[a] : ends[b]]), ends[a : b + 1] - ends[a], words)
                 n = b - a
                 s1, s2 = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
                 np.add.at(s1, owner, _mix(shingle * np.uint64(3)))
                 np.add.at(s2, owner, _mix(shingle ^ np.uint64(0xA0761D6478BD642F)))
-                keys, of = keys_of(shingle, owner, n, percent, sets)
-                order = np.argsort(of, kind="stable")
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(of, minlength=n))]).astype(np.int32)), pa.array(keys[order].view(np.int64)))
                 size = np.bincount(owner, minlength=n)
-                marks = pa.array(sketches(shingle, owner, size), pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), pa.array(size), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), marks, lists], ["doc_id", "n_shingles", "s1", "s2", "sketch", "keys"])
+                first = np.zeros(n, bool)
+                for k in np.flatnonzero((size > 0) & known[a:b]).tolist():
+                    mark = (int(s1[k]), int(s2[k]))
+                    if mark not in seen or place[a + k] < place[seen[mark]]:
+                        seen[mark] = a + k
+                        first[k] = True
+                keep = first[owner]
+                number = np.cumsum(first) - 1
+                own, of_first = shingle[keep], number[owner[keep]]
+                total = int(first.sum())
+                keys, of = keys_of(own, of_first, total, percent, sets)
+                order = np.argsort(of, kind="stable")
+                n_keys = np.zeros(n, np.int64)
+                n_keys[first] = np.bincount(of, minlength=total)
+                cut = np.concatenate([[0], np.cumsum(n_keys)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(cut), pa.array(keys[order].view(np.int64)))
+                marks = iter(sketches(own, of_first, size[first]))
+                mine = slice(a, b)
+                parts.append(pa.RecordBatch.from_arrays([doc[mine], pa.array(row[mine]), pa.array(size.astype(np.int32)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array([next(marks) if f else None for f in first], pa.binary()), lists], [c.split()[0] for c in SETS.split(", ")]))
+            yield from parts
 
-    return written(docs.mapInArrow(run, SETS), "shingled")
+    return written(docs.select("doc_id", "row", "text").mapInArrow(run, SETS), "shingled")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int, block: int = 2000) -> DataFrame:
-    """Those pairs (a, b: ids of docs) with 100*intersection >= percent*union.  The set of `a` meets
-    its partners in blocks of about `block`, so that a set with very many is spread over tasks."""
-    pairs = pairs.select("a", "b")
-    blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    named = pairs.join(blocks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("part"))
-    roles = named.select(F.col("b").alias("doc_id"), "a", "part", F.lit(1).alias("role")).unionByName(
-        blocks.select(F.col("a").alias("doc_id"), "a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), F.lit(0).alias("role"))
-    )
-    involved = roles.select("doc_id").distinct()
+def item_sets(docs: DataFrame, wanted: DataFrame, words: int, bits: int = 1 << 22) -> DataFrame:
+    """(node, items): the sets, as sorted 64-bit hashes, of those rows of docs (doc_id, row, text) that
+    wanted (node, doc_id, row) asks for.  A table of fixed size of their hashes lets the other rows go
+    before they are shuffled."""
+    slot = lambda doc, row: (_mix((doc ^ (row << 1)).view(np.uint64)) % np.uint64(bits)).view(np.int64)
+
+    def mark(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(slot(*(c.to_numpy() for c in batch.columns))).astype(np.int32))], ["slot"])
+
+    table = np.zeros(bits, bool)
+    table[wanted.select("doc_id", "row").mapInArrow(mark, "slot int").distinct().toArrow()["slot"].to_numpy()] = True
+    packed = docs.sparkSession.sparkContext.broadcast(np.packbits(table))
 
     def sets(batches):
+        known = np.unpackbits(packed.value).astype(bool)
         for batch in batches:
-            data, ends = flat_bytes(batch.column(1))
-            for a, b in runs_by_size(ends, 2_000_000):
+            batch = batch.filter(pa.array(known[slot(batch.column(0).to_numpy(), batch.column(1).to_numpy())]))
+            data, ends = flat_bytes(batch.column(2))
+            for a, b in runs_by_size(ends, 500_000):
                 shingle, owner = shingle_sets(np.ascontiguousarray(data[ends[a] : ends[b]]), ends[a : b + 1] - ends[a], words)
-                cut = np.searchsorted(owner, np.arange(b - a + 1))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([shingle[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:])], pa.binary())], ["doc_id", "items"])
+                cut = np.searchsorted(owner, np.arange(b - a + 1)) * 8
+                if cut[-1] >> 31:
+                    raise ValueError("a text of over 2**28 distinct shingles")
+                items = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(shingle)])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], items], ["doc_id", "row", "items"])
+
+    found = docs.select("doc_id", "row", "text").where("doc_id is not null").mapInArrow(sets, "doc_id long, row long, items binary")
+    # equal rows of docs have equal sets
+    return written(found.join(wanted, ["doc_id", "row"]).select("node", "items").dropDuplicates(["node"]), "items")
 
-    items = docs.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text").mapInArrow(sets, "doc_id long, items binary")
+
+def verified(items: DataFrame, pairs: DataFrame, percent: int, block: int = 128) -> DataFrame:
+    """Those pairs (a, b: nodes) whose sets have 100*intersection >= percent*union.  The set of `a` meets
+    its partners in blocks of about `block`, so that a set with very many is spread over tasks."""
+    pairs = pairs.select("a", "b")
+    blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    named = pairs.join(blocks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("part"))
+    roles = named.select(F.col("b").alias("node"), "a", "part", F.lit(1).alias("role")).unionByName(
+        blocks.select(F.col("a").alias("node"), "a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), F.lit(0).alias("role"))
+    )
 
     def check(batches):
         current, held = None, np.zeros(0, np.uint64)
         for batch in batches:
             out_a, out_b = [], []
-            for a, part, role, doc, data in zip(*(c.to_pylist() for c in batch.columns)):
+            ids = [c.to_pylist() for c in batch.columns[:4]]
+            for a, part, role, node, data in zip(*ids, texts_of(batch.column(4))):
                 own = np.frombuffer(data, np.uint64)
                 if role == 0:
                     current, held = (a, part), own
@@ -250,10 +301,10 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int, block:
                 both = np.count_nonzero(held[np.minimum(np.searchsorted(held, own), len(held) - 1)] == own) if len(held) else 0
                 if both and 100 * both >= percent * (len(own) + len(held) - both):
                     out_a.append(a)
-                    out_b.append(doc)
+                    out_b.append(node)
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
-    met = roles.join(items, "doc_id").select("a", "part", "role", "doc_id", "items").repartition("a", "part").sortWithinPartitions("a", "part", "role")
+    met = roles.join(items, "node").select("a", "part", "role", "node", "items").repartition("a", "part").sortWithinPartitions("a", "part", "role")
     return written(met.mapInArrow(check, "a long, b long"), "links")
 
 
@@ -261,7 +312,7 @@ PAIRS = "a long, b long"
 
 
 def plausible(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose sketches don't exclude a link.  own: rep, n, sketch."""
+    """Those pairs (a, b) whose sketches don't exclude a link.  own: node, n, sketch."""
 
     def run(batches):
         for batch in batches:
@@ -274,33 +325,34 @@ def plausible(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
             out = batch.filter(pa.array(may_link(n_a, n_b, bits, percent)))
             yield pa.RecordBatch.from_arrays(out.columns[:2], ["a", "b"])
 
-    side = lambda s: own.select(F.col("rep").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
+    side = lambda s: own.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
     met = pairs.join(side("a"), "a").join(side("b"), "b")
     return met.select("a", "b", "n_a", "sketch_a", "n_b", "sketch_b").mapInArrow(run, PAIRS)
 
 
 def candidates(members: DataFrame, percent: int, nearest: int | None) -> DataFrame:
-    """Pairs of sets under a key (key, rep, n, c, sketch) that are of different components c and whose
-    sizes and sketches don't exclude a link; of each set at most `nearest`, those of the most similar
-    sketches, or all."""
+    """Pairs of sets under a key (key, part, node, n, c, sketch) that are of different components c and
+    of different parts or part -1, and whose sizes and sketches don't exclude a link; of each set at
+    most `nearest`, those of the most similar sketches, or all."""
 
     def run(batches):
         held: list = []
 
         def done(rows):
-            key, rep, n, c = (np.array(x, np.int64) for x in list(zip(*rows))[:4])
+            key, part, node, n, c = (np.array(x, np.int64) for x in list(zip(*rows))[:5])
             edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
             out: list[np.ndarray] = []
             for lo, hi in zip(edges[:-1], edges[1:]):
-                marks = [np.frombuffer(r[4], np.uint64) for r in rows[lo:hi]]
+                marks = [np.frombuffer(r[5], np.uint64) for r in rows[lo:hi]]
                 w = min(map(len, marks))
                 bank = np.stack([fold(m, w) for m in marks])
-                r, size, comp = rep[lo:hi], n[lo:hi], c[lo:hi]
-                step = max(1, 4_000_000 // (len(r) * w))
+                p, r, size, comp = part[lo:hi], node[lo:hi], n[lo:hi], c[lo:hi]
+                step = max(1, 1_000_000 // (len(r) * w))
                 for k in range(0, len(r), step):
-                    bits = np.bitwise_count(bank[k : k + step, None] ^ bank[None]).sum(2, dtype=np.int64)
-                    ok = may_link(size[k : k + step, None], size[None], bits, percent) & (comp[k : k + step, None] != comp[None])
-                    low, high = np.minimum(size[k : k + step, None], size[None]), np.maximum(size[k : k + step, None], size[None])
+                    mine = slice(k, k + step)
+                    bits = np.bitwise_count(bank[mine, None] ^ bank[None]).sum(2, dtype=np.int64)
+                    ok = may_link(size[mine, None], size[None], bits, percent) & (comp[mine, None] != comp[None]) & ((p[mine, None] < 0) | (p[mine, None] != p[None]))
+                    low, high = np.minimum(size[mine, None], size[None]), np.maximum(size[mine, None], size[None])
                     ok &= high * percent <= low * 100
                     if nearest is not None and len(r) > nearest:
                         bits = np.where(ok, bits, 1 << 40)
@@ -325,7 +377,19 @@ def candidates(members: DataFrame, percent: int, nearest: int | None) -> DataFra
             yield done(held)
 
     ordered = members.repartition("key").sortWithinPartitions("key", "n")
-    return ordered.select("key", "rep", "n", "c", "sketch").mapInArrow(run, PAIRS).distinct()
+    return ordered.select("key", "part", "node", "n", "c", "sketch").mapInArrow(run, PAIRS).distinct()
+
+
+def in_parts(members: DataFrame) -> DataFrame:
+    """members (key, node, size: how many the key has, ...) with `part`: keys of over HOT sets are cut
+    into parts by a hash of the node, and each two parts get a key of their own, in which only sets of
+    different parts meet; each part meets itself in one more (part -1)."""
+    parts = F.ceil(F.col("size") / HOT).cast("int")
+    hot = members.where(F.col("size") > HOT).withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int"))
+    blocks = hot.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    blocks = blocks.withColumn("key", F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")))
+    blocks = blocks.withColumn("part", F.when(F.col("part") == F.col("other"), -1).otherwise(F.col("part"))).drop("other")
+    return members.where(F.col("size") <= HOT).withColumn("part", F.lit(-1)).unionByName(blocks)
 
 
 def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -335,52 +399,67 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     Two documents link when their sets of `words`-word shingles have 100*intersection >=
     percent*union.  A text without words has an empty set and links with nothing; equal sets link.
     Rows with a null doc_id are returned with a null component and link with nothing; of rows with
-    the same doc_id, each is a row of the result, and they share one component.
-
-    Pairs under a key go in rounds: the smallest set with each other, then each set with its nearest
-    of other components, then all that are left, so that a large group of near copies is joined by
-    few links; a pair is left out only if its sets are joined already or a bound excludes the link."""
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    the same doc_id, each is a row of the result, they share one component and all their links.
+
+    Equal sets are one class, a node of the graph.  Pairs under a key go in rounds: the smallest set
+    with each other, then each set with its nearest of other components, then all that are left, so
+    that a large group of near copies is joined by few links; a pair is left out only if its sets are
+    joined already or a bound excludes the link."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text"))
     table = shingled(slim, words, percent)
-    # equal sets: one of them stands for all
-    filled = table.where("n_shingles > 0 and doc_id is not null")
-    classes = written(filled.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep")), "classes")
-    own = filled.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sketch", "keys").dropDuplicates(["rep"])
-    own = own.join(classes.select("rep").distinct(), "rep", "left_semi")
-    keyed = own.select("rep", "n", F.explode(F.array_distinct("keys")).alias("key"))
+    set_of = ["n", "s1", "s2"]
+    found = table.where("sketch is not null").repartition("s1").groupBy(*set_of).agg(F.min(F.struct("doc_id", "row")).alias("first"), F.any_value("sketch").alias("sketch"), F.any_value("keys").alias("keys"))
+    classes = written(found.select(F.monotonically_increasing_id().alias("node"), *set_of, "first.*", "sketch", "keys"), "classes")
+    keyed = classes.select("node", "n", F.explode("keys").alias("key"))
 
     # under each key: the first of the smallest sets and its partners
     by_key = Window.partitionBy("key")
-    rows = keyed.withColumn("first", F.first(F.struct("n", "rep")).over(by_key.orderBy("n", "rep"))).withColumn("sets", F.count("*").over(by_key))
-    rows = written(rows.where("sets > 1").select("key", "rep", "n", "first"), "meetings")
-    marks = written(own.select("rep", "n", "sketch").join(rows.select("rep").distinct(), "rep", "left_semi"), "sketches")
-    stars = rows.where((F.col("first.rep") != F.col("rep")) & (F.col("n") * percent <= F.col("first.n") * 100)).select(F.least("first.rep", "rep").alias("a"), F.greatest("first.rep", "rep").alias("b")).distinct()
+    rows = keyed.withColumn("first", F.first(F.struct("n", "node")).over(by_key.orderBy("n", "node"))).withColumn("sets", F.count("*").over(by_key))
+    rows = written(rows.where("sets > 1").select("key", "node", "n", "first"), "meetings")
+    involved = written(classes.drop("keys").join(rows.select("node").distinct(), "node", "left_semi"), "involved")
+    marks = involved.select("node", "n", "sketch")
+    stars = rows.where((F.col("first.node") != F.col("node")) & (F.col("n") * percent <= F.col("first.n") * 100)).select(F.least("first.node", "node").alias("a"), F.greatest("first.node", "node").alias("b")).distinct()
     tried = written(plausible(stars, marks, percent), "pairs")
-    links = verified(slim, tried, words, percent)
+    items = item_sets(slim, involved.select("node", "doc_id", "row"), words)
+    # rows of the same doc_id are one document, whatever their texts
+    again = written(table.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    repeated = not again.isEmpty()
+    links = verified(items, tried, percent)
+    if repeated:
+        of_doc = table.join(again, "doc_id", "left_semi").join(classes.select("node", *set_of), set_of).select("doc_id", "node").distinct()
+        least = of_doc.groupBy("doc_id").agg(F.min("node").alias("a"))
+        links = links.unionByName(written(least.join(of_doc, "doc_id").where("a <> node").select("a", F.col("node").alias("b")), "links"))
     label = components(links)
     for nearest in (2, 8, None):
-        named = rows.join(label.withColumnRenamed("v", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
+        named = rows.join(label.withColumnRenamed("v", "node"), "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c"))
         # keys whose sets aren't all in one component yet, one of those with the same sets
-        split = named.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("rep")).alias("members")).where("x <> y")
-        once = split.groupBy("size", "members").agg(F.min("key").alias("key")).select("key")
-        members = named.join(once, "key", "left_semi").join(marks.select("rep", "sketch"), "rep")
+        split = named.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("members")).where("x <> y")
+        once = split.groupBy("size", "members").agg(F.min("key").alias("key")).select("key", "size")
+        members = in_parts(named.join(once, "key").join(marks.select("node", "sketch"), "node"))
         new = written(candidates(members, percent, nearest).join(tried, ["a", "b"], "left_anti"), "pairs")
-        found = None if new.isEmpty() else verified(slim, new, words, percent)
+        found = None if new.isEmpty() else verified(items, new, percent)
         if found is None:
             continue
         tried = tried.unionByName(new)
         if not found.isEmpty():
             links = links.unionByName(found)
             label = components(links)
-
-    known = classes.join(label.withColumnRenamed("v", "rep"), "rep", "left").select("n_shingles", "s1", "s2", F.coalesce("component", "rep").alias("c"))
-    result = table.select("doc_id", "n_shingles", "s1", "s2").join(known, ["n_shingles", "s1", "s2"], "left")
-    return result.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.least("doc_id", "c")).alias("component_id"))
+    named = classes.select("node", *set_of, "doc_id").join(label.withColumnRenamed("v", "node"), "node", "left").withColumn("c", F.coalesce("component", "node"))
+    least = named.where("component is not null").groupBy("c").agg(F.min("doc_id").alias("least"))
+    known = named.join(least, "c", "left").select(*set_of, F.coalesce("least", "doc_id").alias("least"))
+    result = table.select("doc_id", *set_of).join(known, set_of, "left").withColumn("c", F.when(F.col("doc_id").isNotNull(), F.least("doc_id", "least")))
+    if repeated:
+        of_doc = result.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("c").alias("least_of_doc"))
+        result = result.join(of_doc, "doc_id", "left").withColumn("c", F.coalesce("least_of_doc", "c"))
+    result = written(result.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("c").alias("component_id")), "groups")
+    discard(table, classes, rows, involved, items)
+    return result
 
 
 def one_of_each_group(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, all columns unchanged, whose doc_id is the smallest of its group; rows with a
-    null doc_id stay."""
+    null doc_id stay, and rows of equal doc_id, which are one document."""
     groups = jaccard_groups(docs, words, percent)
     gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -86,6 +86,31 @@ def test_groups_repeated_and_null_ids(spark):
     assert jaccard.jaccard_groups(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_groups_of_one_id_with_several_texts(spark, seed):
+    base = " ".join(f"w{k}" for k in range(40))
+    near, other = base.replace("w7 ", "zz "), " ".join(f"x{k}" for k in range(40))
+    data = [(1, other), (1, base), (2, near), (3, other), (5, "p q r s t u"), (5, other + " y"), (6, ""), (6, "p q r s t u"), (7, "")]
+    random.seed(seed)
+    random.shuffle(data)
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.component_id) for r in jaccard.jaccard_groups(df, 5, 70).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (5, 1), (5, 1), (6, 1), (6, 1), (7, 7)]
+
+
+def test_groups_of_hot_keys(spark, rows, monkeypatch):
+    monkeypatch.setattr(jaccard, "HOT", 5)
+    data = rows[:40] + edited(rows[:3], 120, 25, 5)
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    got = sorted(tuple(r) for r in jaccard.jaccard_groups(df, 3, 90).select("doc_id", "n_shingles", "component_id").collect())
+    assert got == groups(data, 3, 90)
+
+
+def test_segments_follow_the_number_of_sets():
+    few, many = (sum(jaccard.plan(b, 90, n).near for b in range(8, 20)) for n in (10**4, 10**10))
+    assert few < many
+
+
 @pytest.mark.parametrize("percent,size", [(90, 200), (80, 60), (50, 12)])
 def test_linked_sets_share_a_key(percent, size):
     rng = np.random.default_rng(size)
@@ -144,6 +169,34 @@ def test_lines_repeated_and_null_ids(spark):
     assert lines.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_lines_of_many_rows_without_id(spark):
+    random.seed(5)
+    base = [" ".join(f"a{random.randrange(10**6)}" for _ in range(20)) for _ in range(1000)]
+    near = [x.rsplit(" ", 1)[0] + f" b{k}" for k, x in enumerate(base * 3)]
+    for first in (0, None):
+        df = spark.createDataFrame([(first, "\n".join(base))] + [(None if first is None else k + 1, x) for k, x in enumerate(near)], "doc_id long, text string").repartition(5)
+        got = lines.dedup_lines(df, min_words=1).agg(F.sum("n_removed")).first()[0]
+        assert got == 3000
+
+
+def test_lines_of_hot_words(spark, rows, monkeypatch):
+    monkeypatch.setattr(lines, "HOT", 8)
+    data = rows[:60] + edited(rows[:20], 80, 8, 3)
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    got = lines.dedup_lines(df)
+    assert sorted(((r.doc_id, r.text, r.n_lines, r.n_removed) for r in got.collect()), key=lambda r: r[0]) == without_repeats(data)
+
+
+def test_lines_and_clashing_names(spark, sf):
+    import corpus_pipeline
+
+    df = spark.createDataFrame([(1, "a b c", "x", "y", 1, 2, 5), (2, "a b c\nd", "x", "y", 1, 2, 7)], "doc_id long, text string, n_removed string, n_lines string, row int, __gone int, n_chars int")
+    got = lines.dedup_lines(df)
+    assert sorted(got.columns) == sorted(df.columns) and {r.doc_id: (r.n_lines, r.n_removed) for r in got.collect()} == {1: (1, 0), 2: (2, 1)}
+    kept = corpus_pipeline.line_dedup(spark, df, sf)
+    assert kept.schema == df.schema and sorted(tuple(r) for r in kept.collect()) == [(1, "a b c", "x", "y", 1, 2, 5), (2, "d", "x", "y", 1, 2, 1)]
+
+
 def test_lines_of_few_words(spark, rows):
     long = "".join(chr(0x4E00 + k * 37 % 3000) for k in range(60))
     url = "https://example.org/terms/of/use/and/licence/of/this/text?page="
