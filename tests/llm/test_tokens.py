@@ -91,12 +91,38 @@ def test_packing(spark, texts):
             assert r.start == at and r.doc_tokens == len(ids[doc]) and r.ids_crc32 == crc(ids[doc][at : at + r.length])
             at += r.length
         assert at == len(ids[doc])
+    padding = 0
     for pieces in by_sequence.values():
         at = 0
         for r in sorted(pieces, key=lambda r: r.offset):
             assert r.offset == at
             at += r.length
-        assert at == 256 or at & (at - 1) == 0
+        assert at <= 256
+        padding += 256 - at if at & (at - 1) else 0
+    assert padding < 0.005 * sum(map(len, ids.values()))
+
+
+def test_most_tokens_lie_where_the_rule_placed_them(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").repartition(8)
+    rows = packing.pack(docs, WORD, 2).where("length < 4096").toPandas()
+    share = rows.length[rows.placed].sum() / rows.length.sum()
+    print("share placed", share)
+    assert share > 0.9
+    sizes = rows.groupby("sequence_id").length.sum()
+    assert ((sizes & (sizes - 1)) == 0).all()
+
+
+def test_crc_of_parts():
+    rng = np.random.default_rng(1)
+    for n in (1, 63, 64, 65, 1000):
+        ids = rng.integers(0, 1 << 32, n).astype("<u4")
+        crc, marks = packing.marks_of(ids)
+        assert crc == zlib.crc32(ids.tobytes())
+        cuts = [*range(0, n + 1, 64), *range(n // 64 * 64, n + 1)]
+        for a in cuts:
+            for b in cuts:
+                if a < b:
+                    assert packing.part_crc(marks, n, a, b) == zlib.crc32(ids[a:b].tobytes())
 
 
 def test_sum_of_squares_rule():
