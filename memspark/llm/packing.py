@@ -124,13 +124,10 @@ def fill_up(windows: list[tuple[int, list]], length: np.ndarray, width: int):
 
     for filled, window in windows[:keep]:
         yield [(p, 0, int(length[p]), True) for p in window] + take(width - filled)
-    left = sum(b - a for _, a, b in long + short)
-    while left:
-        got = take(min(width, 1 << (left.bit_length() - 1)))
-        yield got
-        left -= sum(b - a for _, a, b, _ in got)
-        if not got:
-            raise AssertionError("nothing left to take")
+    # what can be cut at marks first, then what can be cut anywhere: both come out even
+    while long or short:
+        left = sum((b - a) // MARK * MARK for _, a, b in long) or sum(b - a for _, a, b in short)
+        yield take(min(width, 1 << (left.bit_length() - 1)))
 
 
 def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, width: int) -> DataFrame:
