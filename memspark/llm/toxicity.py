@@ -1,4 +1,11 @@
-"""Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text."""
+"""Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text.
+
+The ordinary dictionary is trained on ordinary texts, two toxic ones on the windows of toxic texts
+that are some times, or many times, as frequent in toxic texts as in ordinary ones.  A window's
+distance is by how many bytes a toxic dictionary compresses it shorter than the ordinary one does;
+a document is judged by how many of its windows reach each of several distances, for all of which
+weights and one threshold are calibrated on labelled documents outside of the dictionaries.
+"""
 
 from __future__ import annotations
 
@@ -13,9 +20,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import texts_of
+
 LONGEST = 48  # characters of a window; longer words are cut into windows that overlap by half
 REPEAT = 4  # a window is written so often in a frame, else it is too short to be compressed at all
-LEVELS = (2, 3, 4, 5, 6)  # a document's features: windows that gain so many bytes, and its windows
+LEVELS = (2, 3, 4, 5, 6, 7)  # bytes of gain that are counted
+ODDS = (4.0, 20.0)  # how many times as frequent in toxic texts: the first and the second dictionary
+FLOOR = 3  # toxic texts that a window must be in
 
 
 @dataclass(frozen=True)
@@ -53,71 +64,84 @@ def dictionary(samples: list[bytes], size: int, k: int) -> bytes:
 
 
 class Gains(dict):
-    """Window -> bytes that the best toxic dictionary saves against the ordinary one."""
+    """Window -> for each toxic dictionary, the bytes that it saves against the ordinary one."""
 
     def __init__(self, ordinary: bytes, toxic: list[bytes], most: int = 1_000_000):
         super().__init__()
         self.ordinary, self.toxic, self.most = compressor(ordinary), [compressor(t) for t in toxic], most
 
-    def __missing__(self, window: str) -> int:
+    def __missing__(self, window: str) -> tuple[int, ...]:
         if len(self) >= self.most:
             self.clear()
         data = frame(window)
-        gain = len(self.ordinary(data)) - min(len(c(data)) for c in self.toxic)
+        plain = len(self.ordinary(data))
+        gain = tuple([plain - len(c(data)) for c in self.toxic])
         self[window] = gain
         return gain
 
     def features(self, text: str) -> np.ndarray:
+        """One, for each dictionary and level how many windows gain so much (as a logarithm, and for each
+        20 windows), and the logarithm of the number of windows."""
         words = windows(text)
-        gain = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        return np.array([1.0, *(min(3, np.count_nonzero(gain >= n)) for n in LEVELS), math.log1p(len(words))])
+        gain = np.array([self[w] for w in words]).reshape(len(words), len(self.toxic))
+        count = (gain[:, :, None] >= np.array(LEVELS)).sum(0).ravel()
+        return np.concatenate([[1.0], np.log1p(count), count * (20 / max(20, len(words))), [math.log1p(len(words))]])
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.5, steps: int = 100) -> np.ndarray:
+    """Coefficients of a logistic regression with a ridge penalty (none for the first) on standardised
+    columns, by Newton's method with steps that are halved until they help."""
+    mean, scale = x.mean(0), x.std(0)
+    mean[0], scale = 0, np.where(scale > 1e-9, scale, 1)
+    scale[0] = 1
+    z = (x - mean) / scale
+    penalty = np.full(z.shape[1], ridge * weight.sum() / len(y))
+    penalty[0] = 1e-9
 
+    def loss(b):
+        t = z @ b
+        return weight @ (np.logaddexp(0, t) - y * t) + penalty @ (b * b) / 2
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.02, steps: int = 60) -> np.ndarray:
-    """Coefficients of a logistic regression with a ridge penalty (none for the first), by Newton's method."""
-    b = np.zeros(x.shape[1])
-    penalty = np.full(x.shape[1], ridge * weight.sum() / len(y))
-    penalty[0] = 1e-9
+    b = np.zeros(z.shape[1])
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        g = x.T @ (weight * (y - p)) - penalty * b
-        h = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9)
-        move = np.linalg.solve(h, g)
-        b += np.clip(move, -2, 2)
-        if np.abs(move).max() < 1e-7:
+        p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
+        g = z.T @ (weight * (y - p)) - penalty * b
+        h = (z * (weight * p * (1 - p))[:, None]).T @ z + np.diag(penalty + 1e-9)
+        move, size, now = np.linalg.solve(h, g), 1.0, loss(b)
+        while size > 1e-6 and loss(b + size * move) > now:
+            size /= 2
+        b = b + size * move
+        if np.abs(size * move).max() < 1e-7:
             break
+    b = b / scale
+    b[0] -= mean @ b
     return b
 
 
-def fit(toxic: list[str], ordinary: list[str], toxic_all: int, ordinary_all: int, rounds: int = 3, ordinary_size: int = 1 << 16, toxic_size: int = 1 << 10) -> ToxicityModel:
+def fit(toxic: list[str], ordinary: list[str], toxic_all: int, ordinary_all: int, ordinary_texts: int = 1500, ordinary_size: int = 1 << 16, toxic_size: int = 1 << 13) -> ToxicityModel:
     """Dictionaries and calibration from labelled texts.
 
-    The ordinary dictionary is trained on ordinary texts, the first toxic one on those windows of
-    toxic texts that recur in them and are in no ordinary text of the fitting part; each further
-    round trains one more on the windows that still gain too little.  A logistic regression on how
-    many windows of a document gain 2, 3, ... bytes is fitted on the other part of the texts, each
-    class weighted as in all labelled rows; so the score is a probability and the bytes a window
-    must gain are learnt, not set."""
+    Two thirds of each class train the dictionaries: the ordinary one up to ordinary_texts whole
+    texts, each toxic one those windows of all toxic texts whose odds are in its range, one sample a
+    text, so that a window weighs by the texts that it is in.  A logistic regression on the features
+    of the other third, each class weighted as in all labelled rows, makes the score a probability;
+    so what a window must gain, and how many must, is learnt and not set."""
+    none = b"        "
     if not toxic or not ordinary:
         p = min(max(toxic_all / max(1, toxic_all + ordinary_all), 0.001), 0.999)
-        return ToxicityModel(b"        ", [b"        "], [math.log(p / (1 - p))] + [0.0] * (len(LEVELS) + 1), hash(p))
+        return ToxicityModel(none, [none] * len(ODDS), [math.log(p / (1 - p))] + [0.0] * (2 * len(ODDS) * len(LEVELS) + 1), hash(p))
     cut = lambda texts: (texts[: max(1, 2 * len(texts) // 3)], texts[2 * len(texts) // 3 :] or texts)
     (t_fit, t_test), (o_fit, o_test) = cut(toxic), cut(ordinary)
-    o_seen = {w for t in o_fit for w in windows(t)}
-    counts = Counter(w for t in t_fit for w in set(windows(t)) - o_seen)
-    least = max(2, len(t_fit) // 100)
-    recur = {w for w, n in counts.items() if n >= least} or set(counts) or {" "}
-    base = dictionary([(" " + " ".join(windows(t)) + " ").encode() for t in o_fit[:1500]], ordinary_size, 64)
+    in_toxic = [sorted(set(windows(t))) for t in t_fit]
+    seen = Counter(w for ws in in_toxic for w in ws)
+    usual = Counter(w for t in o_fit for w in set(windows(t)) & seen.keys())
+    odds = {w: n / len(t_fit) * len(o_fit) / (usual[w] + 0.5) for w, n in seen.items() if n >= min(FLOOR, len(t_fit))}
+    base = dictionary([(" " + " ".join(windows(t)) + " ").encode("utf-8", "surrogatepass") for t in o_fit[:ordinary_texts]], ordinary_size, 64)
     made: list[bytes] = []
-    left = set(recur)
-    for _ in range(rounds):
-        lists = (sorted(set(windows(t)) & left) for t in t_fit)
-        samples = [(" " + "  ".join(s) + " ").encode() for s in lists if s]
-        if not samples:
-            break
-        made.append(dictionary(samples, toxic_size, 32))
-        gains = Gains(base, made)
-        left = {w for w in recur if gains[w] < 5}
+    for low, high in zip(ODDS, [*ODDS[1:], math.inf]):
+        lists = ([w for w in ws if low <= odds.get(w, 0) < high] for ws in in_toxic)
+        samples = [(" " + "  ".join(ws) + " ").encode("utf-8", "surrogatepass") for ws in lists if ws]
+        made.append(dictionary(samples, toxic_size, 32) if samples else none)
     gains = Gains(base, made)
     x = np.array([gains.features(t) for t in t_test + o_test])
     y = np.array([1.0] * len(t_test) + [0.0] * len(o_test))
@@ -169,7 +193,7 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) -> Data
             _GAINS[m.key] = Gains(m.ordinary, m.toxic)
         gains, b = _GAINS[m.key], np.array(m.coefficients)
         for batch in batches:
-            x = np.array([gains.features(t or "") for t in batch.column(1).to_pylist()]).reshape(-1, len(b))
+            x = np.array([gains.features(t or "") for t in texts_of(batch.column(1))]).reshape(-1, len(b))
             p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 

@@ -67,6 +67,21 @@ def test_toxicity_held_out(spark, sf):
     assert held[held.toxic == 1].predicted.mean() >= 0.4 and held[held.toxic == 0].predicted.mean() <= 0.05
 
 
+def test_toxicity_held_out_of_more_labels(spark):
+    where = "/root/testdata/sf0.1"
+    held = queries.op2_toxicity(spark, where).join(spark.read.parquet(f"{where}/labels.parquet").select("doc_id", "toxic"), "doc_id").where("held_out").toPandas()
+    found, flagged = held[held.toxic == 1].predicted.mean(), held[held.toxic == 0].predicted.mean()
+    print("toxic found", found, "others flagged", flagged)
+    assert found >= 0.8 and flagged <= 0.025
+
+
+def test_toxicity_of_repeated_rows(spark):
+    rows = [(k % 40, "a calm text of the day" if k % 40 < 20 else "you are a wretched gurnok today") for k in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    m = toxicity.train(docs, spark.createDataFrame([(k, int(k >= 20)) for k in range(40)], "doc_id long, toxic int"))
+    assert {(r.doc_id >= 20, r.predicted) for r in toxicity.score(docs, m).collect()} == {(False, 0), (True, 1)}
+
+
 def test_toxicity_edges(spark):
     rng = np.random.default_rng(5)
     words = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(400)]
