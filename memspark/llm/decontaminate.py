@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-Q = 8  # bytes of a q-gram: one 64-bit word
+Q, SHORT_Q = 8, 4  # bytes of a q-gram; of those of passages for which the lemma needs shorter ones
 LEAKS = "doc_id long, item_id long, begin long, end long, edits int, passage_bytes int"
 GAP = b"\0" * Q
 
@@ -22,8 +22,9 @@ def normal(text: str) -> bytes:
 
 @dataclass
 class Passages:
-    """A block of benchmark passages and the index of their q-grams."""
+    """Benchmark passages of a block and the index of their q-grams of q bytes."""
 
+    q: int
     items: np.ndarray  # item of each passage
     texts: list[bytes]
     budget: np.ndarray  # edits allowed
@@ -38,25 +39,33 @@ def passages_of(item: int, text: str, window: int, stretch: int = 0) -> list[tup
     """The whole item, or from 2*window bytes on its parts of `window` bytes; if stretch > 0, also its
     parts of `stretch` bytes, so close that each verbatim stretch of 7/6 of that holds one."""
     data = normal(text)
-    if len(data) < Q:
+    if len(data) < SHORT_Q:
         return []
     cut = lambda size, step: [(item, data[k : k + size]) for k in [*range(0, len(data) - size, step), len(data) - size]]
     found = [(item, data)] if len(data) <= 2 * window else cut(window, window // 2)
     return found + cut(stretch, max(1, stretch // 6)) if 0 < stretch < len(data) else found
 
 
-def grams_of(data: np.ndarray) -> np.ndarray:
-    return np.ndarray((max(len(data) - Q + 1, 0),), "<u8", data, strides=(1,)) if len(data) >= Q else np.zeros(0, np.uint64)
+def grams_of(data: np.ndarray, q: int) -> np.ndarray:
+    return np.ndarray((len(data) - q + 1,), f"<u{q}", data, strides=(1,)).astype(np.uint64, copy=False) if len(data) >= q else np.zeros(0, np.uint64)
 
 
-def index(found: list[tuple[int, bytes]], edit_share: float) -> Passages:
-    """For a passage of n bytes, e edits leave n+1-Q*(e+1) of its q-grams; its commonest q-grams
+def indexes(found: list[tuple[int, bytes]], edit_share: float) -> list[Passages]:
+    """Indexes of the passages by Q, and by SHORT_Q of those that could lose all their longer q-grams
+    by the edits that are allowed."""
+    long = lambda n: n + 1 - Q * (int(n * edit_share) + 1) > 0
+    parts = [(Q, [x for x in found if long(len(x[1]))]), (SHORT_Q, [x for x in found if not long(len(x[1]))])]
+    return [index(part, edit_share, q) for q, part in parts if part]
+
+
+def index(found: list[tuple[int, bytes]], edit_share: float, q: int) -> Passages:
+    """For a passage of n bytes, e edits leave n+1-q*(e+1) of its q-grams; its commonest q-grams
     (those that many passages have) may go uncounted if the bound falls with them."""
     texts = [t for _, t in found]
     size = np.array([len(t) for t in texts], np.int64)
-    budget = np.minimum((size * edit_share).astype(np.int64), size // Q - 1)
-    bound = size + 1 - Q * (budget + 1)
-    every = [grams_of(np.frombuffer(t, np.uint8)) for t in texts]
+    budget = np.minimum((size * edit_share).astype(np.int64), size // q - 1)
+    bound = size + 1 - q * (budget + 1)
+    every = [grams_of(np.frombuffer(t, np.uint8), q) for t in texts]
     of = np.repeat(np.arange(len(texts)), [len(g) for g in every])
     place = np.concatenate([np.arange(len(g)) for g in every])
     gram = np.concatenate(every)
@@ -74,23 +83,24 @@ def index(found: list[tuple[int, bytes]], edit_share: float) -> Passages:
     order = np.argsort(gram, kind="stable")
     gram, of, place = gram[order], of[order], place[order]
     grams, first = np.unique(gram, return_index=True)
-    return Passages(np.array([i for i, _ in found], np.int64), texts, budget, least, grams, np.append(first, len(gram)), of, place)
+    return Passages(q, np.array([i for i, _ in found], np.int64), texts, budget, least, grams, np.append(first, len(gram)), of, place)
 
 
-def blocks(benchmark: DataFrame, edit_share: float, window: int, block_bytes: int = 1 << 22, stretch: int = 0) -> Iterator[Passages]:
-    """The benchmark (item_id, text; null or under Q bytes: never matched) in blocks of about
-    block_bytes, one at a time on the driver: a query set that is broadcast block by block."""
+def blocks(benchmark: DataFrame, edit_share: float, window: int, block_bytes: int = 1 << 22, stretch: int = 0) -> Iterator[list[Passages]]:
+    """The benchmark (item_id, text; null or under SHORT_Q bytes: never matched) in blocks of about
+    block_bytes, whole items each, one at a time on the driver: a query set that is broadcast block
+    by block."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).na.drop().distinct().orderBy("item_id", "text")
     held, size = [], 0
     for item, text in rows.toLocalIterator():
+        if size >= block_bytes and item != held[-1][0]:
+            yield indexes(held, edit_share)
+            held, size = [], 0
         new = passages_of(item, text, window, stretch)
         held += new
         size += sum(len(t) for _, t in new)
-        if size >= block_bytes:
-            yield index(held, edit_share)
-            held, size = [], 0
     if held:
-        yield index(held, edit_share)
+        yield indexes(held, edit_share)
 
 
 def align(passage: bytes, region: np.ndarray, low: int, high: int) -> tuple[int, int]:
@@ -116,7 +126,7 @@ def align(passage: bytes, region: np.ndarray, low: int, high: int) -> tuple[int,
     return int(row[k]), k + low + len(passage)
 
 
-def verify(passage: bytes, budget: int, text: np.ndarray, low: int, high: int) -> tuple[int, int, int] | None:
+def verify(passage: bytes, budget: int, text: np.ndarray, low: int, high: int, q: int) -> tuple[int, int, int] | None:
     """(begin, end, edits) of the passage in text around the diagonals low..high, if within budget."""
     at, to = max(0, low - budget), min(len(text), high + len(passage) + budget)
     region = text[at:to]
@@ -124,8 +134,8 @@ def verify(passage: bytes, budget: int, text: np.ndarray, low: int, high: int) -
     if exact >= 0:
         return at + exact, at + exact + len(passage), 0
     # the whole bound of the lemma, on this region alone
-    own = grams_of(np.frombuffer(passage, np.uint8))
-    if np.count_nonzero(np.isin(own, grams_of(np.ascontiguousarray(region)))) < len(passage) + 1 - Q * (budget + 1):
+    own = grams_of(np.frombuffer(passage, np.uint8), q)
+    if np.count_nonzero(np.isin(own, grams_of(np.ascontiguousarray(region), q))) < len(passage) + 1 - q * (budget + 1):
         return None
     edits, end = align(passage, region, low - budget - at, high + budget - at)
     if edits > budget or end < 0:
@@ -139,6 +149,16 @@ def verify(passage: bytes, budget: int, text: np.ndarray, low: int, high: int) -
 class Scanner:
     """Finds a block's passages in batches of texts."""
 
+    def __init__(self, block: list[Passages]):
+        self.parts = [_Part(p) for p in block]
+
+    def find(self, texts: list[bytes]) -> list[tuple[int, int, int, int, int, int]]:
+        """(text, item, bytes of the passage, begin, end, edits), the best region of each passage in each
+        text; passages of an item of which the text holds a longer one may be left out."""
+        return [x for part in self.parts for x in part.find(texts)]
+
+
+class _Part:
     def __init__(self, p: Passages, bits: int = 22):
         self.p, self.bits = p, np.uint64(64 - bits)
         self.table = np.zeros(1 << bits, bool)
@@ -147,13 +167,11 @@ class Scanner:
     def _slot(self, grams: np.ndarray) -> np.ndarray:
         return ((grams * np.uint64(0x9E3779B97F4A7C15)) >> self.bits).astype(np.int64)
 
-    def find(self, texts: list[bytes]) -> list[tuple[int, int, int, int, int]]:
-        """(text, passage, begin, end, edits), the best region of each passage in each text; passages of
-        an item of which the text holds a longer one are left out."""
+    def find(self, texts: list[bytes]) -> list[tuple[int, int, int, int, int, int]]:
         p = self.p
         data = np.frombuffer(GAP.join(texts) + GAP, np.uint8)
         start = np.cumsum([0] + [len(t) + Q for t in texts])
-        grams = grams_of(data)
+        grams = grams_of(data, p.q)
         at = np.flatnonzero(self.table[self._slot(grams)])
         slot = np.searchsorted(p.grams, grams[at])
         slot[slot == len(p.grams)] = 0
@@ -190,11 +208,11 @@ class Scanner:
                 continue
             e = int(p.budget[k])
             low = (band_ - 1) * (e + 1) - lead
-            found = verify(p.texts[k], e, data[start[d] : start[d + 1] - Q], low, low + 2 * (e + 1) - 1)
+            found = verify(p.texts[k], e, data[start[d] : start[d + 1] - Q], low, low + 2 * (e + 1) - 1, p.q)
             if found and ((d, k) not in best or (found[2], found[0]) < (best[d, k][2], best[d, k][0])):
                 best[d, k] = found
                 longest.setdefault(item, len(p.texts[k]))
-        return [(d, k, *v) for (d, k), v in best.items()]
+        return [(d, int(p.items[k]), len(p.texts[k]), *v) for (d, k), v in best.items()]
 
 
 def _batches(texts: list, most: int = 3_000_000) -> Iterator[tuple[int, list[bytes]]]:
@@ -215,8 +233,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0.1, w
     passage with at most edit_share edits per byte: doc_id, item_id, begin, end (bytes of the normal
     form of the text, see `normal`), edits, passage_bytes; the longest passage, then the one with the
     fewest edits, then the first.  An item's passages are the whole item (over 2*window bytes:
-    overlapping passages of `window` bytes) and all stretches of `stretch` bytes at a sixth of that.
-    Null and empty texts hold nothing; other columns are ignored."""
+    overlapping passages of `window` bytes) and all stretches of `stretch` bytes at a sixth of that; an
+    item of under SHORT_Q bytes has none.  Null and empty texts hold nothing; other columns are ignored.
+    Rows of docs with null or equal doc_id have rows of their own; texts with the same item_id are
+    passages of one item."""
     spark = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     result = None
@@ -225,13 +245,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0.1, w
 
         def run(batches, shared=shared):
             scan = Scanner(shared.value)
-            p = scan.p
             for batch in batches:
                 ids = batch.column(0).to_pylist()
                 rows: dict[tuple[int, int], tuple] = {}
                 for at, texts in _batches(batch.column(1).to_pylist()):
-                    for d, k, begin, end, edits in scan.find(texts):
-                        key, row = (at + d, int(p.items[k])), (-len(p.texts[k]), edits, begin, end)
+                    for d, item, size, begin, end, edits in scan.find(texts):
+                        key, row = (at + d, item), (-size, edits, begin, end)
                         rows[key] = min(row, rows.get(key, row))
                 if rows:
                     out = [(ids[d], item, begin, end, edits, -size) for (d, item), (size, edits, begin, end) in rows.items()]

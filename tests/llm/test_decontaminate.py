@@ -24,8 +24,9 @@ def items(spark):
 
 def test_equals_brute_force(spark, items):
     random.seed(3)
-    p = d.index([x for i, t in items for x in d.passages_of(i, t, 400)], 0.1)
-    scan = d.Scanner(p)
+    block = d.indexes([x for i, t in items for x in d.passages_of(i, t, 400)], 0.1)
+    assert [p.q for p in block] == [d.Q]
+    p, scan = block[0], d.Scanner(block)
     found = 0
     for _ in range(40):
         k = random.randrange(len(p.texts))
@@ -40,11 +41,11 @@ def test_equals_brute_force(spark, items):
                 q.insert(j, random.choice(b"abcdefgh "))
         text = p.texts[(k + 1) % len(p.texts)][:150] + b" " + bytes(q) + b" the end of it"
         best = distance(p.texts[k], text)
-        got = [r for r in scan.find([text]) if r[1] == k]
+        got = [r for r in scan.find([text]) if r[1] == p.items[k]]
         assert bool(got) == (best <= p.budget[k])
         if got:
             found += 1
-            _, _, begin, end, edits = got[0]
+            _, _, _, begin, end, edits = got[0]
             assert edits == best and distance(p.texts[k], text[begin:end]) == best
     assert found > 10
 
@@ -65,7 +66,7 @@ def test_tables(spark, items):
 def test_blocks_give_the_same(spark, items):
     bench = spark.createDataFrame(items, "item_id long, text string")
     blocks = list(d.blocks(bench, 0.1, 400, block_bytes=500))
-    assert len(blocks) > 2 and sorted(i for b in blocks for i in b.items.tolist()) == [i for i, _ in items]
+    assert len(blocks) > 2 and sorted(i for b in blocks for p in b for i in p.items.tolist()) == [i for i, _ in items]
 
 
 def test_stretches_of_items(spark, items):
@@ -84,3 +85,23 @@ def test_stretches_of_items(spark, items):
     df = spark.createDataFrame([*docs, (-1, "0 1 2 3 4 5 6 7 8 9 " * 40)], "doc_id long, text string").repartition(4)
     assert {(r.doc_id, r.item_id) for r in d.find_leaks(df, bench).collect()} == want
     assert [r.doc_id for r in d.drop_leaks(df, bench).collect()] == [-1]
+
+
+def test_short_items(spark):
+    bench = spark.createDataFrame([(1, "abcdefg"), (2, "the quick brown foxy"), (3, "xy"), (4, "a b c d e f")], "item_id long, text string")
+    texts = ["... abcdefg ...", "abcdef", "see the quack brwn foxy run", "see the quack brxn fexy run", "xy", "so A  b\nc d e f", None, ""]
+    got = d.find_leaks(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.edits) for r in got) == [(0, 1, 0), (2, 2, 2), (5, 4, 0)]
+
+
+def test_an_item_with_several_texts_is_one(spark):
+    rows = [(7, f"item text number {k} " + " ".join(f"w{k}x{j}" for j in range(30))) for k in range(6)]
+    bench = spark.createDataFrame(rows, "item_id long, text string")
+    docs = spark.createDataFrame([(None, "so " + rows[0][1]), (3, rows[1][1] + " and " + rows[4][1]), (3, rows[5][1])], "doc_id long, text string")
+    original = d.blocks
+    d.blocks = lambda *a, **k: original(*a, **{**k, "block_bytes": 100})
+    try:
+        got = d.find_leaks(docs, bench).collect()
+    finally:
+        d.blocks = original
+    assert sorted((str(r.doc_id), r.item_id) for r in got) == [("3", 7), ("3", 7), ("None", 7)]
