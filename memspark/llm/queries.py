@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, jaccard, langid, lines, media, packing, repeats, token_counts, token_files, toxicity
-from .common import read
+from .common import read, written
+from .sql import ORACLE_SQL  # noqa: F401
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +29,7 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_features(media.store_media(read(spark, sf_dir, "documents")))
+    return media.media_features(written(media.store_media(read(spark, sf_dir, "documents")), "media"))
 
 
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,5 +70,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lines": op9_lines,
     "op10_langid": op10_langid,
 }
-
-ORACLE_SQL: dict[str, str] = {}
