@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .encode import blocks, encoder
+from .encode import blocks, encoder, forget
 
 CUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, marks binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, placed boolean"
@@ -130,7 +130,7 @@ def fill_up(windows: list[tuple[int, list]], length: np.ndarray, width: int):
         yield take(min(width, 1 << (left.bit_length() - 1)))
 
 
-def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, width: int) -> DataFrame:
+def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, width: int, keep_encoder: bool) -> DataFrame:
     """The ids of each document as pieces: full windows, and a remainder with its marks."""
 
     def run(batches):
@@ -153,11 +153,14 @@ def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, width: int) -> D
                             crc, marks = marks_of(ids[full:])
                             rows.append((doc, full, n - full, crc, n, marks))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == 5 else pa.int64()) for k, c in enumerate(zip(*rows))], [c.split()[0] for c in CUT.split(", ")])
+        if not keep_encoder:
+            del use
+            forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, CUT)
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, width: int = 4096, group: int = 200_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int, width: int = 4096, group: int = 200_000, keep_encoder: bool = True) -> DataFrame:
     """Pieces of docs (doc_id, text; other columns are ignored) in sequences of at most `width`
     tokens, one row a piece: doc_id, start (in its document), length, ids_crc32, doc_tokens,
     sequence_id, offset (in its sequence), placed (whether it lies where the rule placed it, or is a
@@ -169,8 +172,10 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, width: int = 4096, group:
     packs one by one in their random order.  Of the windows that are open at a group's end, the
     fullest are filled up with parts of the emptiest (see fill_up), which are few, as a group is
     large.  So next to no sequence needs padding: under MARK tokens of one for which no piece is left
-    that can be cut at such a place."""
-    table = written(cut_documents(docs, tokenizer, end_id, width), "pieces")
+    that can be cut at such a place.
+
+    A worker keeps its encoder for later tasks unless keep_encoder is false."""
+    table = written(cut_documents(docs, tokenizer, end_id, width, keep_encoder), "pieces")
     names = [c.split()[0] for c in PIECES.split(", ")]
     numbered = table.withColumn("number", F.monotonically_increasing_id())
     full = numbered.where(F.col("length") == width).withColumns({"sequence_id": F.col("number") * 2, "offset": F.lit(0).cast("long"), "placed": F.lit(True)})
