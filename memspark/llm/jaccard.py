@@ -461,5 +461,7 @@ def one_of_each_group(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
     """The rows of docs, all columns unchanged, whose doc_id is the smallest of its group; rows with a
     null doc_id stay, and rows of equal doc_id, which are one document."""
     groups = jaccard_groups(docs, words, percent)
-    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
+    gone = written(groups.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
+    if gone.count() <= 1_000_000:  # of 8 bytes each; more are shuffled, and docs with them
+        gone = F.broadcast(gone)
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -449,10 +449,14 @@ def _unused(columns: list[str], name: str) -> str:
 def rewritten(docs: DataFrame, percent: int = 80, min_words: int = 3, grams: int = 0) -> tuple[DataFrame, str, str]:
     """(docs without their repeated lines, name of a column with the number of lines of each text, name
     of one with how many of them went); see find_repeated_lines.  All rows and columns of docs stay."""
-    lists = find_repeated_lines(docs, percent, min_words, grams=grams).groupBy("doc", "row").agg(F.collect_list("line").alias("gone"))
+    lists = written(find_repeated_lines(docs, percent, min_words, grams=grams).groupBy("doc", "row").agg(F.collect_list("line").alias("gone")), "lists")
+    rows, numbers = lists.agg(F.count("*"), F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()
+    # by their size; more are shuffled, and docs with them
+    few = 64 * rows + 4 * numbers <= 32_000_000
     doc, row, gone, n_lines, n_removed = (_unused(docs.columns, f"__{c}") for c in ("doc", "row", "gone", "n_lines", "n_removed"))
     key = [c.alias(n) for c, n in zip(_identity(), (doc, row))]
-    joined = docs.select("*", *key).join(lists.toDF(doc, row, gone), [doc, row], "left")
+    lists = lists.toDF(doc, row, gone)
+    joined = docs.select("*", *key).join(F.broadcast(lists) if few else lists, [doc, row], "left")
     lines = F.split(F.col("text").cast("string"), "\n", -1)
     numbered = F.filter(F.transform(lines, lambda x, k: F.when(~F.array_contains(F.col(gone), k), x)), lambda x: x.isNotNull())
     text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(numbered, "\n"))
