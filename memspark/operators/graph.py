@@ -76,7 +76,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         new = label.join(near, "node", "left").select("node", F.least("component", F.coalesce("m", "component")).alias("component"))
         hop = new.select(F.col("node").alias("component"), F.col("component").alias("up"))
         label = settled(new.join(hop, "component", "left").select("node", F.least("component", F.coalesce("up", "component")).alias("component")))
-        state = label.agg(F.sum("component")).first()[0]
+        state = label.agg(F.bit_xor(F.xxhash64("node", "component"))).first()[0]
         if state == before:
             return label
         before = state

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring
-from .consolidate import duplicate_pairs
+from .consolidate import consolidate, duplicate_pairs
 
 
 def _days(n: int) -> Column:
@@ -53,6 +53,15 @@ def prune_access(log: DataFrame, as_of: Column, days: int = 90) -> DataFrame:
     return log.where(F.col("created_at") >= as_of - _days(days))
 
 
+def maintain(mem: DataFrame, log: DataFrame, as_of: Column, days: int = 90) -> tuple[DataFrame, DataFrame]:
+    """(state', access log') after all jobs in a row, each on the state that the one before left (M7):
+    duplicates merged, stale ones archived, invalid ones marked, expired ones retracted, recency
+    computed anew, old accesses pruned."""
+    new = consolidate(mem, as_of)[0]
+    new = retract_expired(mark_stale(archive_stale(new, as_of, days), as_of), as_of)
+    return recompute_recency(new, as_of), prune_access(log, as_of, days)
+
+
 def run_maintenance(mem: DataFrame, log: DataFrame, as_of: Column, days: int = 90) -> DataFrame:
     """A report of what each job would touch on this state (M7): job, affected."""
     jobs = [

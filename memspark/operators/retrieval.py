@@ -9,6 +9,9 @@ from ..functions import scoring
 from .filters import is_valid
 
 
+MOST = 100  # the greatest top_k that a query may ask for
+
+
 def _matches(mem: DataFrame, queries: DataFrame, as_of: Column | None) -> DataFrame:
     """Each query with its user's active (and valid) memories.  Vectors get their norms before the
     join; queries join by user, and Spark broadcasts them where they are small."""
@@ -27,7 +30,8 @@ def vector_search(mem: DataFrame, queries: DataFrame, min_score: float | None =
     if min_score is not None:
         scored = scored.where(F.col("score") >= min_score)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(order)).where("rank <= top_k").select("query_id", "user_id", "rank", "id", "score")
+    # top_k is at most MOST; a literal bound lets each task keep the first rows only
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= MOST).where("rank <= top_k").select("query_id", "user_id", "rank", "id", "score")
 
 
 def hybrid_search(mem: DataFrame, queries: DataFrame, as_of: Column, weights: dict[str, float] = scoring.WEIGHTS, overfetch: int = 2, explain: bool = False) -> DataFrame:
@@ -83,10 +87,15 @@ def results_as_text(results: DataFrame, mem: DataFrame, score: str = "final_scor
     return rows.groupBy("query_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("text"))
 
 
-def retrieval_audit(results: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(logs, items): a header for each query with results, and its ranked items."""
-    logs = results.groupBy("query_id", "user_id", "strategy").agg(F.max("candidates").alias("total_candidates"), F.count("*").alias("returned"))
-    return logs, results.select("query_id", F.col("id").alias("memory_id"), "rank", "final_score")
+def retrieval_audit(results: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(logs, items): a header for each query, also of one without results, and its ranked items with
+    the parts of their scores, if results (of hybrid_search) have them (S8)."""
+    counts = results.groupBy("query_id").agg(F.max("candidates").alias("total_candidates"), F.count("*").alias("returned"))
+    strategy = F.when(F.col("query_embedding").isNull(), "metadata_only").otherwise("hybrid_vector")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    logs = queries.select("query_id", "user_id", strategy.alias("strategy")).join(counts, "query_id", "left").select("query_id", "user_id", "strategy", zero("total_candidates"), zero("returned"))
+    parts = [c for c in ("vector_score", "recency", "importance_score", "authority", "confidence") if c in results.columns]
+    return logs, results.select("query_id", F.col("id").alias("memory_id"), "rank", "final_score", *parts)
 
 
 def access_rows(results: DataFrame, access_type: str, as_of: Column) -> DataFrame:

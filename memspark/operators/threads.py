@@ -76,6 +76,12 @@ def latest_checkpoint(mem: DataFrame) -> DataFrame:
     return checkpoints(mem).groupBy("thread_id").agg(F.max("checkpoint_id").alias("checkpoint_id"), F.max_by("content", "checkpoint_id").alias("content"))
 
 
+def delete_checkpoints(mem: DataFrame, threads: DataFrame) -> DataFrame:
+    """mem without all checkpoints and latest pointers of the given threads (thread_id)."""
+    gone = threads.select(F.concat(F.lit("checkpoint:"), F.col("thread_id").cast("string")).alias("_prefix")).distinct()
+    return mem.withColumn("_prefix", F.regexp_extract("memory_key", r"^(checkpoint:.*):[^:]*$", 1)).join(gone, "_prefix", "left_anti").select(*mem.columns)
+
+
 def list_threads(messages: DataFrame) -> DataFrame:
     """Threads with their number of messages, first and last seq."""
     return messages.groupBy("thread_id").agg(F.count("*").alias("n_messages"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))

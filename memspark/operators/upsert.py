@@ -70,8 +70,10 @@ def action_counts(actions: DataFrame) -> DataFrame:
 
 
 def set_status(mem: DataFrame, changes: DataFrame, as_of: Column) -> DataFrame:
-    """Status changes (id, status) applied; of several for an id the greatest."""
-    new = changes.groupBy(F.col("id").alias("_id")).agg(F.max("status").alias("_status"))
+    """Status changes (id, status, seq if there are several for an id) applied; the one of the greatest
+    seq wins, then the greatest status (U7)."""
+    order = F.struct("seq", "status") if "seq" in changes.columns else F.struct("status")
+    new = changes.groupBy(F.col("id").alias("_id")).agg(F.max(order)["status"].alias("_status"))
     joined = mem.join(new, F.col("id") == F.col("_id"), "left")
     moved = F.col("_status").isNotNull()
     return joined.withColumns({"updated_at": F.when(moved, as_of).otherwise(F.col("updated_at")), "status": F.coalesce("_status", "status")}).select(*mem.columns)

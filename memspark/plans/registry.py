@@ -138,15 +138,16 @@ def u2_upsert_simple_state(s, d):
     return _written(s, d, False)[0].select("user_id", "memory_key", "content", "version", F.round("importance_score", 6).alias("importance_score"), day("updated_at"))
 
 
-@query("SELECT user_id, memory_key, version, content FROM chain WHERE action <> 'skip_identical' AND user_id IN (1, 2)", "chain")
+@query("SELECT user_id, memory_key, version, content FROM chain WHERE action <> 'skip_identical'", "chain")
 def u4_versions_of(s, d):
-    c = upsert.chain(None, views.memory_writes(s, d).where("user_id in (1, 2)"), KEY, [])
+    c = upsert.chain(None, views.memory_writes(s, d), KEY, [])
     return c.where("action <> 'skip_identical'").select("user_id", "memory_key", "version", "content")
 
 
-@query("SELECT user_id, memory_key, seq, 'supersedes' AS link_type FROM chain WHERE action = 'updated' AND seq % 5 = 0", "chain")
+@query("SELECT user_id, memory_key, seq, 'supersedes' AS link_type FROM chain WHERE action = 'updated' AND content = 'error'", "chain")
 def u5_contradictions(s, d):
-    return upsert.contradictions(_written(s, d, True)[2].where("seq % 5 = 0"), KEY)
+    # writes of errors are those that contradict
+    return upsert.contradictions(_written(s, d, True)[2].where(F.col("content_hash") == F.sha2(F.lit("error"), 256)), KEY)
 
 
 @query("SELECT action, count(*) AS n FROM chain GROUP BY action", "chain")
@@ -178,10 +179,9 @@ def u10_create_links(s, d):
     return upsert.create_links(mem(s, d), edges)[0].select("source_id", "target_id", "link_type")
 
 
-@query("SELECT id, content_hash FROM memories WHERE NOT regexp_matches(content, '[0-9]')", "memories")
+@query()
 def u11_enrich(s, d):
-    m = mem(s, d).where(~F.col("content").rlike("[0-9]")).select("id", "content")
-    return upsert.enrich(m, 16).select("id", "content_hash")
+    return upsert.enrich(mem(s, d).select("id", "content"), 16).select("id", "content", "content_hash", F.size("embedding").alias("dim"))
 
 
 @query("SELECT user_id, 'insight:' || event_id AS memory_key, content, CAST(0.7 AS DOUBLE) AS importance_score, CAST(0.8 AS DOUBLE) AS confidence FROM raw_events WHERE event_type = 'user_input'", "raw_events")
@@ -248,11 +248,11 @@ def v4_explain(s, d):
 
 def _text_queries(s, d):
     b = tables.table(s, d, "benchmark")
-    words = F.array_join(F.slice(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 4), 1, 4), " ")
+    words = F.array_join(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 4), " ")
     return b.select(F.col("item_id").alias("query_id"), (F.col("item_id") % 8).alias("user_id"), words.alias("query_text"))
 
 
-TEXT_QUERIES = "SELECT item_id AS query_id, item_id % 8 AS user_id, array_to_string(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: length(w) >= 4)[1:4], ' ') AS query_text FROM benchmark"
+TEXT_QUERIES = "SELECT item_id AS query_id, item_id % 8 AS user_id, array_to_string(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: length(w) >= 4), ' ') AS query_text FROM benchmark"
 
 
 @query(
@@ -314,14 +314,14 @@ def v11_context_window(s, d):
     return retrieval.context_window(m, owners, _hybrid(s, d), 4)
 
 
-@query("SELECT query_id, user_id, strategy, max(candidates) AS total_candidates, count(*) AS returned FROM hybrid GROUP BY query_id, user_id, strategy", "hybrid")
+@query("SELECT q.query_id, q.user_id, CASE WHEN q.query_embedding IS NULL THEN 'metadata_only' ELSE 'hybrid_vector' END AS strategy, coalesce(h.total_candidates, 0) AS total_candidates, coalesce(h.returned, 0) AS returned FROM queries q LEFT JOIN (SELECT query_id, max(candidates) AS total_candidates, count(*) AS returned FROM hybrid GROUP BY query_id) h USING (query_id)", "queries hybrid")
 def s8_retrieval_logs(s, d):
-    return retrieval.retrieval_audit(_hybrid(s, d))[0]
+    return retrieval.retrieval_audit(_hybrid(s, d), views.queries(s, d))[0]
 
 
-@query("SELECT query_id, id AS memory_id, rank, final_score FROM hybrid", "hybrid")
+@query("SELECT query_id, id AS memory_id, rank, final_score, round(v, 6) AS vector_score, round(rec, 6) AS recency, importance_score, auth AS authority, confidence FROM hybrid", "hybrid")
 def s8_retrieval_items(s, d):
-    return retrieval.retrieval_audit(_hybrid(s, d))[1]
+    return retrieval.retrieval_audit(_hybrid(s, d, explain=True), views.queries(s, d))[1]
 
 
 @query("SELECT id AS memory_id, user_id, 'retrieval' AS access_type, '2024-02-01 00:00:00' AS created_at FROM hybrid", "hybrid")
@@ -390,9 +390,9 @@ def a9_histogram(s, d):
     return stats.latency_histogram(tables.table(s, d, "events"), "value", (10.0, 25.0, 50.0, 75.0, 100.0))
 
 
-@query("SELECT strategy, count(*) AS n FROM (SELECT DISTINCT query_id, strategy FROM hybrid) GROUP BY strategy", "hybrid")
+@query("SELECT CASE WHEN query_embedding IS NULL THEN 'metadata_only' ELSE 'hybrid_vector' END AS strategy, count(*) AS n FROM queries GROUP BY ALL", "queries")
 def a9_search_counters(s, d):
-    return stats.count_by(retrieval.retrieval_audit(_hybrid(s, d))[0], "strategy")
+    return stats.count_by(retrieval.retrieval_audit(_hybrid(s, d), views.queries(s, d))[0], "strategy")
 
 
 @query("SELECT node, link_type, count(*) AS n FROM edges GROUP BY node, link_type", "edges")
@@ -442,23 +442,24 @@ def k3_consolidate_near(s, d):
 
 # Graph
 
-BFS = """walk AS (SELECT id AS seed, id AS node, 0 AS depth FROM memories WHERE id IN (0, 7, 50, 123)
+BFS = """walk AS (SELECT id AS seed, id AS node, 0 AS depth FROM memories WHERE id % 50 = 0
   UNION SELECT w.seed, e.neighbour, w.depth + 1 FROM walk w JOIN edges e ON e.node = w.node JOIN memories m ON m.id = e.neighbour WHERE m.status = 'active' AND w.depth < 3)"""
 
 
 @query("SELECT seed, node, min(depth) AS depth FROM walk WHERE node <> seed GROUP BY seed, node", "edges memories", BFS)
 def g1_expand(s, d):
     m = mem(s, d).select("id", "status")
-    return graph.expand(m, views.memory_links(s, d), m.where("id in (0, 7, 50, 123)").select(F.col("id").alias("seed")), 3)
+    return graph.expand(m, views.memory_links(s, d), m.where("id % 50 = 0").select(F.col("id").alias("seed")), 3)
 
 
-PATHS = """walk AS (SELECT p.source, p.target, p.source AS node, 0 AS length FROM (VALUES (0, 40), (3, 500), (10, 77)) AS p(source, target)
+PATHS = """walk AS (SELECT p.source, p.target, p.source AS node, 0 AS length FROM (SELECT doc_id AS source, (doc_id * 7 + 40) % (SELECT count(*) FROM documents) AS target FROM documents WHERE doc_id % 50 = 0) p
   UNION SELECT w.source, w.target, e.neighbour, w.length + 1 FROM walk w JOIN edges e ON e.node = w.node WHERE w.length < 5)"""
 
 
 @query("SELECT CAST(source AS BIGINT) AS source, CAST(target AS BIGINT) AS target, min(length) AS length FROM walk WHERE node = target GROUP BY source, target", "edges", PATHS)
 def g2_shortest_paths(s, d):
-    pairs = s.createDataFrame([(0, 40), (3, 500), (10, 77)], "source long, target long")
+    docs = tables.table(s, d, "documents")
+    pairs = docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("source")).crossJoin(docs.agg(F.count("*").alias("n"))).select("source", F.expr("(source * 7 + 40) % n").alias("target"))
     return graph.shortest_paths(views.memory_links(s, d), pairs, 5).select("source", "target", "length")
 
 
@@ -631,14 +632,21 @@ def c8_latest_checkpoint(s, d):
     return threads.latest_checkpoint(threads.checkpoint_writes(states))
 
 
+@query("SELECT 'checkpoint:' || thread_id || ':' || seq AS memory_key FROM thread_messages WHERE thread_id % 5 <> 0 UNION ALL SELECT DISTINCT 'checkpoint:' || thread_id || ':latest' FROM thread_messages WHERE thread_id % 5 <> 0", "thread_messages")
+def c8_delete_checkpoints(s, d):
+    m = views.thread_messages(s, d)
+    states = m.select("thread_id", F.col("seq").alias("checkpoint_id"), F.col("content").alias("state"))
+    return threads.delete_checkpoints(threads.checkpoint_writes(states), m.where("thread_id % 5 = 0").select("thread_id")).select("memory_key")
+
+
 # Change events
 
 
 def _changes(s, d):
-    return events.change_events(_written(s, d, True)[2].where("seq % 20 = 0")).select("seq", "user_id", "event_type")
+    return events.change_events(_written(s, d, True)[2]).select("seq", "user_id", "event_type")
 
 
-CHANGES = "SELECT seq, user_id, CASE action WHEN 'created' THEN 'memory.created' ELSE 'memory.updated' END AS event_type FROM chain WHERE action <> 'skip_identical' AND seq % 20 = 0"
+CHANGES = "SELECT seq, user_id, CASE action WHEN 'created' THEN 'memory.created' ELSE 'memory.updated' END AS event_type FROM chain WHERE action <> 'skip_identical'"
 
 
 @query(CHANGES, "chain")
@@ -651,9 +659,9 @@ def x2_route(s, d):
     return events.route(_changes(s, d)).select("seq", "channel")
 
 
-@query(f"SELECT DISTINCT c.seq, s.subscriber FROM (SELECT seq, 'user:' || user_id AS channel FROM ({CHANGES}) UNION ALL SELECT seq, 'global' FROM ({CHANGES})) c JOIN (SELECT c_custkey AS subscriber, CASE WHEN c_custkey % 100 = 0 THEN 'global' ELSE 'user:' || (c_custkey % 150) END AS channel FROM customer WHERE c_custkey % 3 = 0) s ON s.channel = c.channel", "chain")
+@query(f"SELECT DISTINCT c.seq, s.subscriber FROM (SELECT seq, 'user:' || user_id AS channel FROM ({CHANGES}) UNION ALL SELECT seq, 'global' FROM ({CHANGES})) c JOIN (SELECT c_custkey AS subscriber, CASE WHEN c_custkey % 100 = 0 THEN 'global' ELSE 'user:' || (c_custkey % 150) END AS channel FROM customer) s ON s.channel = c.channel", "chain")
 def x3_fan_out(s, d):
-    subs = tables.table(s, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("subscriber"), F.when(F.col("c_custkey") % 100 == 0, "global").otherwise(F.concat(F.lit("user:"), (F.col("c_custkey") % 150).cast("string"))).alias("channel"))
+    subs = tables.table(s, d, "customer").select(F.col("c_custkey").alias("subscriber"), F.when(F.col("c_custkey") % 100 == 0, "global").otherwise(F.concat(F.lit("user:"), (F.col("c_custkey") % 150).cast("string"))).alias("channel"))
     return events.fan_out(events.route(_changes(s, d)), subs, "seq")
 
 
@@ -665,8 +673,7 @@ def x4_match_webhooks(s, d):
 @query()
 def s7_webhook_outbox(s, d):
     secrets = views.webhooks(s, d).select("webhook_id", F.concat(F.lit("secret-"), F.col("webhook_id").cast("string")).alias("secret"))
-    changes = events.change_events(_written(s, d, True)[2]).select("seq", "user_id", "event_type")
-    return events.webhook_outbox(events.match_webhooks(changes, views.webhooks(s, d)), secrets)
+    return events.webhook_outbox(events.match_webhooks(_changes(s, d), views.webhooks(s, d)), secrets)
 
 
 @query("SELECT user_id AS webhook_id, CAST(props ->> '$.k' AS BIGINT) AS event_id, max(event_id % 3) AS attempts, bool_or(event_type <> 'error') AS success FROM events GROUP BY ALL")

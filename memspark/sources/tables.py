@@ -52,6 +52,8 @@ def settled(df: DataFrame) -> DataFrame:
     """df checkpointed to the folder all executors share: cuts the lineage of an iteration."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="memspark-")
-        sc.setCheckpointDir(folder)
+        folder = sc.getConf().get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="memspark-"))
     return df.checkpoint()
