@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.events import extract_observations
+from ..operators.events import extract_observations, observations_to_writes
+from ..operators.upsert import SIMPLE_KEY, upsert
 from ..sources.schemas import TRANSITIONS
 
 
@@ -21,11 +22,19 @@ def stream_observations(events: DataFrame, delay: str = "1 day") -> DataFrame:
 
 
 def stream_memories(observations: DataFrame, path: str, checkpoint: str):
-    """A query that folds observations into a versioned table under path (X7).  Each batch is written to
-    a folder by its number, so a repeated batch replaces itself."""
+    """A query that upserts observations (with created_at) into a table of memories (X7).  Batch n reads
+    the state of batch n-1 and writes its own, with the superseded versions beside it, to
+    path/state/batch=n and path/versions/batch=n; so a repeated batch replaces itself, and the last
+    folder of path/state is the table.  Identical content makes no new version."""
 
     def fold(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        writes = observations_to_writes(batch).withColumn("first_at", F.col("written_at"))
+        state = None
+        if number > 0:
+            state = batch.sparkSession.read.parquet(f"{path}/state/batch={number - 1}").withColumn("written_at", F.col("updated_at"))
+        new, snapshots, _ = upsert(state, writes, SIMPLE_KEY, ("confidence", "metadata", "first_at"), first_wins=("first_at",))
+        new.withColumn("created_at", F.col("first_at")).write.mode("overwrite").parquet(f"{path}/state/batch={number}")
+        snapshots.write.mode("overwrite").parquet(f"{path}/versions/batch={number}")
 
     return observations.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from memspark.functions import masking, scoring
 from memspark.functions.facts import extract_facts
-from memspark.operators import events, graph, tasks, threads, upsert, vectors
-from memspark.sources import portability, schemas, tables
+from memspark.operators import events, graph, maintenance, retrieval, tasks, threads, upsert, vectors
+from memspark.sources import portability, schemas, tables, views
 from memspark.sources.schemas import TRANSITIONS
 from memspark.streaming import streams
 
@@ -220,9 +220,41 @@ def test_streams_equal_batches(spark, sf, tmp_path):
     relabelled = stream().withColumn("event_type", F.lit("user_input"))
     seen = run(streams.stream_observations(relabelled), "seen", "append")
     assert seen.count() == e.count()
-    q = streams.stream_memories(streams.stream_observations(relabelled), str(tmp_path / "mem"), str(tmp_path / "ck"))
-    q.awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "mem")).count() == e.count()
+
+
+def test_stream_memories_upserts(spark, tmp_path):
+    schema = "event_id long, run_id long, user_id long, event_type string, content string, sequence_number int, created_at timestamp"
+    hour = lambda k: datetime(2024, 1, 1, k)
+    batches = [
+        [(1, 7, 1, "user_input", "a", 1, hour(1)), (2, 7, 1, "user_input", "b", 2, hour(2)), (3, 8, 1, "user_input", "c", 1, hour(3))],
+        [(4, 7, 1, "user_input", "b", 3, hour(4)), (5, 8, 1, "user_input", "d", 2, hour(5)), (6, 9, 2, "user_input", "e", 1, hour(6))],
+    ]
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        streams.stream_memories(streams.stream_observations(stream), str(tmp_path / "mem"), str(tmp_path / "ck")).awaitTermination()
+    last = sorted((tmp_path / "mem" / "state").iterdir(), key=lambda p: int(p.name.split("=")[1]))[-1]
+    got = {r.memory_key: (r.content, r.version, r.created_at.hour, r.updated_at.hour) for r in spark.read.parquet(str(last)).collect()}
+    assert got == {"obs:7": ("b", 2, 1, 4), "obs:8": ("d", 2, 3, 5), "obs:9": ("e", 1, 6, 6)}
+    old = {(r.memory_key, r.version, r.content) for r in spark.read.parquet(str(tmp_path / "mem" / "versions")).collect()}
+    assert old == {("obs:7", 1, "a"), ("obs:8", 1, "c")}
+
+
+def test_maintenance_in_a_row(spark, sf):
+    m = views.memories(spark, sf)
+    new, log = maintenance.maintain(m, views.access_log(spark, sf), views.as_of(), 15)
+    assert new.columns == m.columns and new.count() == m.count()
+    assert log.count() + maintenance.run_maintenance(m, views.access_log(spark, sf), views.as_of(), 15).where("job = 'prune_access'").first().affected == views.access_log(spark, sf).count()
+    active = new.where("status = 'active'")
+    assert active.where(maintenance.stale_test(views.as_of(), 15) | maintenance.invalid_test(views.as_of())).count() == 0
+    assert active.groupBy("user_id", "content_hash").count().where("count > 1").count() == 0
+
+
+def test_search_without_results_has_a_header(spark):
+    q = spark.createDataFrame([(1, 1, None), (2, 2, [0.5])], "query_id long, user_id long, query_embedding array<double>")
+    found = spark.createDataFrame([(1, 1, 1, 10, 0.5, 3)], "query_id long, user_id long, rank int, id long, final_score double, candidates long")
+    logs, items = retrieval.retrieval_audit(found, q)
+    assert sorted(map(tuple, logs.collect())) == [(1, 1, "metadata_only", 3, 1), (2, 2, "hybrid_vector", 0, 0)] and items.count() == 1
 
 
 def test_stream_transitions(spark, tmp_path):
