@@ -45,6 +45,14 @@ def discard(*tables: DataFrame) -> None:
         where.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 8 MB at most, unless the cluster sets a size of its own: workers and Arrow's
+    buffers then need little memory, however long the texts are."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext.getConf().get(name, None) is None:
+        spark.conf.set(name, "8m")
+
+
 def texts_of(column, most: int = 64):
     """The values of an Arrow column one after the other, of which few are Python objects at once."""
     for at in range(0, len(column), most):
