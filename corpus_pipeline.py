@@ -14,12 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memspark.llm import decontaminate, jaccard, langid, lines, packing
-from memspark.llm.common import read, written
+from memspark.llm.common import read, small_batches, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with an identified language, by a model of these documents' own lang labels; texts
     that are null or without letters, and those of a calibrated score under 0.35, go."""
+    small_batches(spark)
     return langid.keep_identified(docs, langid.train(docs), min_score=0.35)
 
 
@@ -27,6 +28,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that match an earlier line (80 of 100 words, or
     of 100 character 3-grams of lines of few words); n_chars follows.  A
     document of which only white space is left goes."""
+    small_batches(spark)
     kept, _, removed = lines.rewritten(docs, percent=80, min_words=1, grams=16)
     kept = kept.where((F.col(removed) == 0) | F.col("text").rlike(r"\S"))
     if "n_chars" in docs.columns:
@@ -36,16 +38,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word shingles of Jaccard similarity 0.8 or more."""
+    small_batches(spark)
     return jaccard.one_of_each_group(docs, words=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of `benchmark`, up to a tenth of its bytes edited."""
+    small_batches(spark)
     return decontaminate.drop_leaks(docs, read(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of at most 4096 tokens."""
+    small_batches(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 2, keep_encoder=False)
 
 
