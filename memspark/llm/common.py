@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 
@@ -45,6 +47,26 @@ def discard(*tables: DataFrame) -> None:
         where.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def give_back() -> None:
+    """Return the memory that a Python worker no longer uses: Spark keeps workers for later tasks, and
+    what they hold counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run):
+    """A function for mapInArrow that gives memory back at the end of its task."""
+
+    @functools.wraps(run)
+    def inner(batches):
+        yield from run(batches)
+        give_back()
+
+    return inner
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of 8 MB at most, unless the cluster sets a size of its own: workers and Arrow's
     buffers then need little memory, however long the texts are."""

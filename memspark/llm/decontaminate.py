@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 Q, SHORT_Q = 8, 4  # bytes of a q-gram; of those of passages for which the lemma needs shorter ones
 LEAKS = "doc_id long, item_id long, begin long, end long, edits int, passage_bytes int"
 GAP = b"\0" * Q
@@ -257,7 +259,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0.1, w
                     kinds = [pa.int64()] * 4 + [pa.int32()] * 2
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], [x.split()[0] for x in LEAKS.split(", ")])
 
-        found = slim.mapInArrow(run, LEAKS)
+        found = slim.mapInArrow(tidy(run), LEAKS)
         result = found if result is None else result.unionByName(found)
     return slim.limit(0).select("doc_id", *(F.lit(None).cast(x.split()[1]).alias(x.split()[0]) for x in LEAKS.split(", ")[1:])) if result is None else result
 
@@ -276,5 +278,5 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0.1, w
                     keep[[at + row[0] for row in scan.find(texts)]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidy(run), docs.schema)
     return docs

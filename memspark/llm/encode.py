@@ -10,7 +10,6 @@ lives as long as a Python worker.
 
 from __future__ import annotations
 
-import ctypes
 import json
 import os
 import re
@@ -188,9 +187,5 @@ def blocks(texts: list, max_chars: int = 1_000_000):
 
 
 def forget() -> None:
-    """Drop the encoders of this worker and give their memory back: for jobs whose other stages run in
-    the same workers."""
+    """Drop the encoders of this worker: for jobs whose other stages run in the same workers."""
     _ENCODERS.clear()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)

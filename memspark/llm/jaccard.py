@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, flat_bytes, runs_by_size, texts_of, written
+from .common import discard, flat_bytes, runs_by_size, texts_of, tidy, written
 from .components import components
 from .repeats import _mix, _Sums
 
@@ -242,7 +242,7 @@ def shingled(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 parts.append(pa.RecordBatch.from_arrays([doc[mine], pa.array(row[mine]), pa.array(size.astype(np.int32)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array([next(marks) if f else None for f in first], pa.binary()), lists], [c.split()[0] for c in SETS.split(", ")]))
             yield from parts
 
-    return written(docs.select("doc_id", "row", "text").mapInArrow(run, SETS), "shingled")
+    return written(docs.select("doc_id", "row", "text").mapInArrow(tidy(run), SETS), "shingled")
 
 
 def item_sets(docs: DataFrame, wanted: DataFrame, words: int, bits: int = 1 << 22) -> DataFrame:
@@ -256,7 +256,7 @@ def item_sets(docs: DataFrame, wanted: DataFrame, words: int, bits: int = 1 << 2
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(slot(*(c.to_numpy() for c in batch.columns))).astype(np.int32))], ["slot"])
 
     table = np.zeros(bits, bool)
-    table[wanted.select("doc_id", "row").mapInArrow(mark, "slot int").distinct().toArrow()["slot"].to_numpy()] = True
+    table[wanted.select("doc_id", "row").mapInArrow(tidy(mark), "slot int").distinct().toArrow()["slot"].to_numpy()] = True
     packed = docs.sparkSession.sparkContext.broadcast(np.packbits(table))
 
     def sets(batches):
@@ -272,7 +272,7 @@ def item_sets(docs: DataFrame, wanted: DataFrame, words: int, bits: int = 1 << 2
                 items = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(shingle)])
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], items], ["doc_id", "row", "items"])
 
-    found = docs.select("doc_id", "row", "text").where("doc_id is not null").mapInArrow(sets, "doc_id long, row long, items binary")
+    found = docs.select("doc_id", "row", "text").where("doc_id is not null").mapInArrow(tidy(sets), "doc_id long, row long, items binary")
     # equal rows of docs have equal sets
     return written(found.join(wanted, ["doc_id", "row"]).select("node", "items").dropDuplicates(["node"]), "items")
 
@@ -305,7 +305,7 @@ def verified(items: DataFrame, pairs: DataFrame, percent: int, block: int = 128)
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
     met = roles.join(items, "node").select("a", "part", "role", "node", "items").repartition("a", "part").sortWithinPartitions("a", "part", "role")
-    return written(met.mapInArrow(check, "a long, b long"), "links")
+    return written(met.mapInArrow(tidy(check), "a long, b long"), "links")
 
 
 PAIRS = "a long, b long"
@@ -327,7 +327,7 @@ def plausible(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
 
     side = lambda s: own.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
     met = pairs.join(side("a"), "a").join(side("b"), "b")
-    return met.select("a", "b", "n_a", "sketch_a", "n_b", "sketch_b").mapInArrow(run, PAIRS)
+    return met.select("a", "b", "n_a", "sketch_a", "n_b", "sketch_b").mapInArrow(tidy(run), PAIRS)
 
 
 def candidates(members: DataFrame, percent: int, nearest: int | None) -> DataFrame:
@@ -377,7 +377,7 @@ def candidates(members: DataFrame, percent: int, nearest: int | None) -> DataFra
             yield done(held)
 
     ordered = members.repartition("key").sortWithinPartitions("key", "n")
-    return ordered.select("key", "part", "node", "n", "c", "sketch").mapInArrow(run, PAIRS).distinct()
+    return ordered.select("key", "part", "node", "n", "c", "sketch").mapInArrow(tidy(run), PAIRS).distinct()
 
 
 def in_parts(members: DataFrame) -> DataFrame:

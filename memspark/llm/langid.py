@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import give_back, texts_of, tidy
 
 ORDERS = (1, 2, 3)
 UNKNOWN = "und"
@@ -112,7 +112,7 @@ def document_frequencies(texts: DataFrame, buckets: int) -> tuple[np.ndarray, in
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "df"])
 
-    rows = texts.select("text").mapInArrow(run, "bucket int, df long").groupBy("bucket").agg(F.sum("df").alias("df")).collect()
+    rows = texts.select("text").mapInArrow(tidy(run), "bucket int, df long").groupBy("bucket").agg(F.sum("df").alias("df")).collect()
     df = np.zeros(buckets + 1, np.int64)
     for bucket, count in rows:
         df[bucket] = count
@@ -147,6 +147,11 @@ def train(labelled: DataFrame, per_language: int = 1000, buckets: int = 1 << 16)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a.tobytes() for a, _ in found], pa.binary()), pa.array([c.astype(np.int32).tobytes() for _, c in found], pa.binary())], ["lang", "h", "at", "n"])
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        made = fitted(pdf)
+        give_back()
+        return made
+
+    def fitted(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["h", "lang"]).reset_index(drop=True)
         data = []
         for lang, at, c in zip(pdf["lang"], pdf["at"], pdf["n"]):
@@ -161,7 +166,7 @@ def train(labelled: DataFrame, per_language: int = 1000, buckets: int = 1 << 16)
         kept = np.flatnonzero(np.any(w, axis=1))
         return pd.DataFrame({"kept": [kept.astype("<i4").tobytes()], "w": [w[kept].astype("<f4").tobytes()], "b": [bias.astype("<f8").tobytes()], "t": [t]})
 
-    vectors = sample.mapInArrow(features, "lang string, h long, at binary, n binary")
+    vectors = sample.mapInArrow(tidy(features), "lang string, h long, at binary, n binary")
     made = vectors.groupBy().applyInPandas(fit, "kept binary, w binary, b binary, t double").first()
     kept = np.frombuffer(made["kept"], "<i4").astype(np.int64)
     return LanguageModel(languages, kept, np.frombuffer(made["w"], "<f4").reshape(len(kept), len(languages)).astype(float), np.frombuffer(made["b"], "<f8"), idf, float(made["t"]))
@@ -194,7 +199,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
             said = [judge(t) for t in texts_of(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, min_score: float = 0.5) -> DataFrame:
@@ -208,7 +213,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel, min_score: float = 0.
         for batch in batches:
             yield batch.filter(pa.array([lang != UNKNOWN and score >= min_score for lang, score in map(judge, texts_of(batch.column(text_at)))], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def in_fold(modulus: int, fold: int, doc_id: str = "doc_id"):

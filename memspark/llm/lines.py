@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, flat_bytes, runs_by_size, written
+from .common import discard, flat_bytes, runs_by_size, tidy, written
 from .jaccard import LOWER, SPACE, word_hashes
 from .repeats import _mix, _Sums
 
@@ -115,7 +115,7 @@ def word_counts(texts: DataFrame, buckets: int, grams: int = 0) -> np.ndarray:
     schema = "at int, counts binary"
     total = np.zeros(buckets, np.int64)
     # a row for each chunk: a table of fixed size
-    for at, counts in texts.select("text").mapInArrow(count, schema).repartition("at").mapInArrow(add, schema).collect():
+    for at, counts in texts.select("text").mapInArrow(tidy(count), schema).repartition("at").mapInArrow(tidy(add), schema).collect():
         total[at : at + chunk] = np.frombuffer(counts, "<i4" if len(counts) == 4 * chunk else "<i8")
     return total
 
@@ -272,7 +272,7 @@ def candidates(classes: DataFrame, percent: int, failed: DataFrame | None = None
         blocks = keyed(blocks, F.hash("token", F.least("part", "q"), F.greatest("part", "q"))).withColumn("part", F.when(F.col("part") == F.col("q"), -1).otherwise(F.col("part")))
         rest = keyed(rows.join(hot, "token", "left_anti"), F.col("token")).withColumns({"part": F.lit(-1), "seek": seek})
         plain = rest.select(*names).unionByName(blocks.select(*names)).repartition(F.shiftright("key", 32)).sortWithinPartitions("key")
-    return plain.select(*names).mapInArrow(run, PAIRS).groupBy("x", "y").agg(F.max("more").alias("more"))
+    return plain.select(*names).mapInArrow(tidy(run), PAIRS).groupBy("x", "y").agg(F.max("more").alias("more"))
 
 
 def find_repeated_lines(docs: DataFrame, percent: int = 80, min_words: int = 3, buckets: int = 1 << 20, grams: int = 0) -> DataFrame:
@@ -333,7 +333,7 @@ def find_repeated_lines(docs: DataFrame, percent: int = 80, min_words: int = 3,
                 columns = doc[t], row[t], number[line[s]].astype(np.int32), gram[s], n[s].astype(np.int32), h[s].view(np.int64), p1[s].view(np.int64), p2[s].view(np.int64), times[s]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns), lists.slice(k, 20_000)], [c.split()[0] for c in LINES.split(", ")])
 
-    table = written(slim.mapInArrow(sets, LINES), "lines")
+    table = written(slim.mapInArrow(tidy(sets), LINES), "lines")
 
     # equal sets are one class, its place is that of its first line
     set_of = ["h", "n", "p1", "p2"]
@@ -391,7 +391,7 @@ def verified(slim: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(slot(*(c.to_numpy() for c in batch.columns))).astype(np.int32))], ["slot"])
 
     table = np.zeros(bits, bool)
-    table[asked.select("doc", "row", "line").mapInArrow(mark, "slot int").distinct().toArrow()["slot"].to_numpy()] = True
+    table[asked.select("doc", "row", "line").mapInArrow(tidy(mark), "slot int").distinct().toArrow()["slot"].to_numpy()] = True
     packed = slim.sparkSession.sparkContext.broadcast(np.packbits(table))
 
     def read_sets(batches):
@@ -420,7 +420,7 @@ def verified(slim: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int
                 at = first + np.flatnonzero(here)[of]
                 yield pa.RecordBatch.from_arrays([pa.array(doc[text[at]]), pa.array(row[text[at]]), pa.array(number[at].astype(np.int32)), pa.array(np.arange(len(of)) >= len(own) - 1), words], ["doc", "row", "line", "gram", "words"])
 
-    found = slim.mapInArrow(read_sets, "doc long, row long, line int, gram boolean, words binary")
+    found = slim.mapInArrow(tidy(read_sets), "doc long, row long, line int, gram boolean, words binary")
     # equal rows of docs have equal sets
     sets = written(found.join(asked, ["doc", "row", "line", "gram"]).select("id", "words").dropDuplicates(["id"]), "line-sets")
 
@@ -435,7 +435,7 @@ def verified(slim: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int
 
     side = lambda s: sets.select(F.col("id").alias(s), F.col("words").alias(f"words_{s}"))
     joined = pairs.select("x", "y").join(side("x"), "x").join(side("y"), "y")
-    matches = written(joined.select("x", "y", "words_x", "words_y").mapInArrow(check, "x long, y long"), "matches")
+    matches = written(joined.select("x", "y", "words_x", "words_y").mapInArrow(tidy(check), "x long, y long"), "matches")
     discard(sets, asked)
     return matches
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import tidy, written
 from .encode import blocks, encoder, forget
 
 CUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, marks binary"
@@ -157,7 +157,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, width: int, keep
             del use
             forget()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, CUT)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), CUT)
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int, width: int = 4096, group: int = 200_000, keep_encoder: bool = True) -> DataFrame:
@@ -236,5 +236,5 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, width: int = 4096, group:
             yield from done()
 
     dealt = rest.withColumn("g", F.pmod("turn", F.lit(groups))).repartition(groups, "g").sortWithinPartitions("g", "turn")
-    packed = dealt.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "marks", "g").mapInArrow(run, PIECES)
+    packed = dealt.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "marks", "g").mapInArrow(tidy(run), PIECES)
     return full.select(*names).unionByName(packed)
