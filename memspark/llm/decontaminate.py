@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import texts_of, tidy
 
 Q, SHORT_Q = 8, 4  # bytes of a q-gram; of those of passages for which the lemma needs shorter ones
 LEAKS = "doc_id long, item_id long, begin long, end long, edits int, passage_bytes int"
@@ -217,7 +217,7 @@ class _Part:
         return [(d, int(p.items[k]), len(p.texts[k]), *v) for (d, k), v in best.items()]
 
 
-def _batches(texts: list, most: int = 3_000_000) -> Iterator[tuple[int, list[bytes]]]:
+def _batches(texts: Iterable, most: int = 500_000) -> Iterator[tuple[int, list[bytes]]]:
     held, size, at = [], 0, 0
     for k, t in enumerate(texts):
         data = normal(t) if t else b""
@@ -250,7 +250,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0.1, w
             for batch in batches:
                 ids = batch.column(0).to_pylist()
                 rows: dict[tuple[int, int], tuple] = {}
-                for at, texts in _batches(batch.column(1).to_pylist()):
+                for at, texts in _batches(texts_of(batch.column(1))):
                     for d, item, size, begin, end, edits in scan.find(texts):
                         key, row = (at + d, item), (-size, edits, begin, end)
                         rows[key] = min(row, rows.get(key, row))
@@ -274,7 +274,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0.1, w
             scan = Scanner(shared.value)
             for batch in batches:
                 keep = np.ones(len(batch), bool)
-                for at, texts in _batches(batch.column(text_at).to_pylist()):
+                for at, texts in _batches(texts_of(batch.column(text_at))):
                     keep[[at + row[0] for row in scan.find(texts)]] = False
                 yield batch.filter(pa.array(keep))
 
