@@ -411,6 +411,9 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     set_of = ["n", "s1", "s2"]
     found = table.where("sketch is not null").repartition("s1").groupBy(*set_of).agg(F.min(F.struct("doc_id", "row")).alias("first"), F.any_value("sketch").alias("sketch"), F.any_value("keys").alias("keys"))
     classes = written(found.select(F.monotonically_increasing_id().alias("node"), *set_of, "first.*", "sketch", "keys"), "classes")
+    # what the result needs, without the keys, which are most of it
+    whole, table = table, written(table.select("doc_id", *set_of), "sets")
+    discard(whole)
     keyed = classes.select("node", "n", F.explode("keys").alias("key"))
 
     # under each key: the first of the smallest sets and its partners
@@ -418,6 +421,8 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     rows = keyed.withColumn("first", F.first(F.struct("n", "node")).over(by_key.orderBy("n", "node"))).withColumn("sets", F.count("*").over(by_key))
     rows = written(rows.where("sets > 1").select("key", "node", "n", "first"), "meetings")
     involved = written(classes.drop("keys").join(rows.select("node").distinct(), "node", "left_semi"), "involved")
+    whole, classes = classes, written(classes.select("node", *set_of, "doc_id"), "class-sets")
+    discard(whole)
     marks = involved.select("node", "n", "sketch")
     stars = rows.where((F.col("first.node") != F.col("node")) & (F.col("n") * percent <= F.col("first.n") * 100)).select(F.least("first.node", "node").alias("a"), F.greatest("first.node", "node").alias("b")).distinct()
     tried = written(plausible(stars, marks, percent), "pairs")
