@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, langid, lines, media, packing, repeats, token_counts, token_files, toxicity
+from . import alignment, decontaminate, jaccard, langid, lines, media, packing, repeats, token_counts, token_files, toxicity
 from .common import read, written
 from .sql import ORACLE_SQL  # noqa: F401
 
@@ -58,6 +58,19 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.train(docs.where(~held))).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.digests(conversations.repair(conversations.damaged(read(spark, sf_dir, "conversations"))))
+
+
+def op12_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binpacking.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 0)
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.align(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", *alignment.NUMBERS, F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_toxicity": op2_toxicity,
@@ -69,4 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_lines": op9_lines,
     "op10_langid": op10_langid,
+    "op11_conversations": op11_conversations,
+    "op12_bins": op12_bins,
+    "op13_alignment": op13_alignment,
 }
