@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, decontaminate, jaccard, langid, lines, media, packing, repeats, token_counts, token_files, toxicity
+from . import alignment, binpacking, conversations, decontaminate, jaccard, langid, lines, media, packing, repeats, token_counts, token_files, toxicity
 from .common import read, written
 from .sql import ORACLE_SQL  # noqa: F401
 
@@ -59,7 +59,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conversations.digests(conversations.repair(conversations.damaged(read(spark, sf_dir, "conversations"))))
+    return conversations.digests(conversations.repair(conversations.damaged(read(spark, sf_dir, "conversations")), F.col("present")))
 
 
 def op12_bins(spark: SparkSession, sf_dir: str) -> DataFrame:

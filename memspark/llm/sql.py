@@ -74,8 +74,84 @@ FROM documents d LEFT JOIN l USING (doc_id) LEFT JOIN gone ON gone.doc_id = l.do
 """
 
 
+def conversations() -> str:
+    """The DP goes over the rows one by one; of each of its four states the cheapest edits, of equal
+    cost the ASCII-least, so a state is a struct of cost and edits, and least() compares both."""
+
+    def add(state: str, cost: str, edit: str) -> str:
+        return f"struct_pack(c := {state}.c + {cost}, e := {state}.e || '{edit}')"
+
+    def kept(letter: str, states: list[str]) -> list[str]:
+        return [f"CASE WHEN stays AND letter = '{letter}' THEN {add(s, 'extra', 'K')} END" for s in states]
+
+    def rerole(states: list[str]) -> list[str]:
+        return [f"CASE WHEN stays THEN {add(s, '1 + extra', 'R')} END" for s in states]
+
+    inserted = [
+        ("i0", ["s0"]),
+        ("i1", ["s1"]),
+        ("i2", ["s2", *(add(s, "5", "I") for s in ("s0", "s1", "s3"))]),
+        ("i3", ["s3", add("s2", "5", "I"), add("s0", "10", "II"), add("s1", "10", "II")]),
+    ]
+    moved = [
+        ("s0", [add("i0", "2", "D")]),
+        ("s1", [add("i1", "2", "D"), *kept("s", ["i0"])]),
+        ("s2", [add("i2", "2", "D"), *kept("u", ["i0", "i1", "i3"]), *rerole(["i0", "i1", "i3"])]),
+        ("s3", [add("i3", "2", "D"), *kept("a", ["i2"]), *rerole(["i2"])]),
+    ]
+    least = lambda parts: f"least({', '.join(parts)})" if len(parts) > 1 else parts[0]
+    start = ", ".join(f"struct_pack(c := CAST({0 if k == 0 else 10**9} AS BIGINT), e := '') AS s{k}" for k in range(4))
+    return rf"""
+WITH RECURSIVE crc AS (
+    SELECT *, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(key) + 1), lambda i: CAST(ascii(substr(key, i, 1)) AS BIGINT))),
+        lambda s, b: list_reduce(list_prepend(xor(s, b), list_transform(range(8), lambda i: CAST(0 AS BIGINT))), lambda c, i: xor(c >> 1, (c & 1) * CAST(3988292384 AS BIGINT)))), CAST(4294967295 AS BIGINT)) % 20 AS k
+    FROM (SELECT dense_rank() OVER (ORDER BY conv_id) AS id, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations)
+),
+damaged AS (
+    SELECT id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS copy
+    FROM crc WHERE k <> 0
+),
+placed AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged),
+faults AS MATERIALIZED (
+    SELECT id, i, turn, role, text, substr(role, 1, 1) AS letter, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank'
+        WHEN row_number() OVER (PARTITION BY id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 'truncated' ELSE '' END AS fault,
+        lag(substr(role, 1, 1)) OVER (PARTITION BY id ORDER BY i) AS earlier
+    FROM placed
+),
+counts AS (
+    SELECT id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+        count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE i > 1 AND earlier || letter NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM faults GROUP BY id
+),
+steps AS (
+    SELECT id, CAST(0 AS BIGINT) AS i, {start} FROM counts
+    UNION ALL
+    SELECT id, i, {", ".join(f"{least(parts)} AS {name}" for name, parts in moved)} FROM (
+        SELECT s.id, f.i, f.letter, fault IN ('', 'truncated') AS stays, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS extra, {", ".join(f"{least(parts)} AS {name}" for name, parts in inserted)}
+        FROM steps s JOIN faults f ON f.id = s.id AND f.i = s.i + 1
+    )
+),
+ended AS MATERIALIZED (SELECT id, {least(["s0", "s3", add("s2", "5", "I"), add("s1", "10", "II")])} AS r FROM steps JOIN counts USING (id) WHERE i = n),
+chars AS (SELECT id, r.e AS e, unnest(range(1, length(r.e) + 1)) AS p FROM ended),
+marked AS (SELECT id, p, substr(e, p, 1) AS edit, sum(CASE WHEN substr(e, p, 1) <> 'I' THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY p) AS i FROM chars),
+kept AS (
+    SELECT m.id, p, edit, row_number() OVER (PARTITION BY m.id ORDER BY p) AS place, CASE WHEN edit <> 'I' THEN text ELSE '' END AS text, role, first_value(CASE WHEN edit = 'K' AND letter = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY m.id ORDER BY p) AS shift
+    FROM marked m LEFT JOIN faults f ON f.id = m.id AND f.i = m.i WHERE edit <> 'D'
+),
+repaired AS (
+    SELECT id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (place - shift) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY p) AS lines FROM kept GROUP BY id
+)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+    CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(r.c, 0) AS BIGINT) AS cost, coalesce(r.e, '') AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
+FROM (SELECT DISTINCT id, conv_id FROM crc) o LEFT JOIN counts c ON c.id = o.id LEFT JOIN ended e ON e.id = o.id LEFT JOIN repaired p ON p.id = o.id
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op3_jaccard": jaccard_groups(3, 90),
     "op5_repeats": repeats(200),
     "op9_lines": dedup_lines(80, 16),
+    "op11_conversations": conversations(),
 }
