@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -95,6 +95,43 @@ def as_of_view(versions: DataFrame, at: Column) -> DataFrame:
     return past.groupBy("user_id", "memory_key").agg(F.max_by(F.struct(*columns), "version").alias("_v")).select("user_id", "memory_key", "_v.*")
 
 
+def history(state: DataFrame, snapshots: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
+    """Current rows and superseded versions of upsert() as one table of versions with effective_from."""
+    current = state.select(*key, "version", F.col("changed_at").alias("effective_from"), *columns)
+    return current.unionByName(snapshots.select(*key, "version", "effective_from", *columns))
+
+
+def as_of_join(versions: DataFrame, asked: DataFrame, key: list[str], at: str = "at", slice_: str = "day") -> DataFrame:
+    """Each row of asked (key, `at`, ...) with the version of its key that was current at that time
+    (F12): columns of versions beside the key, and `valid`, whether that version's row was valid then
+    (valid_from, valid_to and expires_at, as far as versions have them).  Times before the first
+    version give null and false.
+
+    Versions and times stand in one sorted union, in which the last version before each time is
+    carried on; there is no range join.  Time is cut into slices (of date_trunc), each of which starts
+    with the version that slices before it end with, so a key of any length lies in many tasks."""
+    fields = [c for c in versions.columns if c not in key]
+    others = [c for c in asked.columns if c not in key]
+    some = F.struct(*fields).alias("_v")
+    rows = versions.select(*key, F.col("effective_from").alias("_t"), F.lit(1).alias("_kind"), some, F.lit(None).cast(asked.select(F.struct(*others)).schema[0].dataType).alias("_a"))
+    times = asked.select(*key, F.col(at).alias("_t"), F.lit(2).alias("_kind"), F.lit(None).cast(rows.schema["_v"].dataType).alias("_v"), F.struct(*others).alias("_a"))
+    rows = rows.unionByName(times).withColumn("_slice", F.date_trunc(slice_, "_t"))
+    place = F.when(F.col("_kind") == 1, F.struct("_t", "_v.version"))
+    ends = rows.groupBy(*key, "_slice").agg(F.max_by("_v", place).alias("_v"))
+    earlier = Window.partitionBy(*key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ends.withColumn("_v", F.last("_v", ignorenulls=True).over(earlier)).where("_v is not null")
+    starts = starts.select(*key, F.col("_slice").alias("_t"), F.lit(0).alias("_kind"), "_v", F.lit(None).cast(rows.schema["_a"].dataType).alias("_a"), "_slice")
+    order = Window.partitionBy(*key, "_slice").orderBy("_t", "_kind", F.col("_v.version"))
+    found = rows.unionByName(starts).withColumn("_v", F.last("_v", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))).where("_kind = 2")
+    valid = F.col("_v").isNotNull()
+    for c in fields:
+        if c == "valid_from":
+            valid = valid & (F.col("_v.valid_from").isNull() | (F.col("_v.valid_from") <= F.col("_t")))
+        elif c in ("valid_to", "expires_at"):
+            valid = valid & (F.col(f"_v.{c}").isNull() | (F.col(f"_v.{c}") > F.col("_t")))
+    return found.select(*key, "_a.*", *(F.col(f"_v.{c}").alias(c) for c in fields), valid.alias("valid"))
+
+
 def validate(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good, rejects): scores within 0..1, authority within 1..4."""
     good = F.coalesce(F.col("confidence").between(0, 1) & F.col("importance_score").between(0, 1) & F.col("authority_level").between(1, 4), F.lit(False))

@@ -13,17 +13,38 @@ SERVER_KEY = ["user_id", "memory_key", "scope", "project_id"]
 SIMPLE_KEY = ["user_id", "memory_key"]
 
 
+FIRST = -(1 << 63)  # the place of a state's row before all writes
+
+
+def _state_rows(state: DataFrame, key: list[str], carry: list[str]) -> DataFrame:
+    """A state as rows of a chain.  A state that upsert returned has created_at, updated_at and
+    changed_at (of its content); what another lacks is taken from the times it has."""
+    pick = lambda *names: F.col(next(n for n in names if n in state.columns))
+    recency = F.col("recency_score") if "recency_score" in state.columns else F.lit(None).cast("double")
+    return state.select(
+        *key,
+        F.lit(FIRST).alias("seq"),
+        "content",
+        pick("changed_at", "written_at", "updated_at").alias("written_at"),
+        F.col("version").cast("int").alias("base"),
+        pick("created_at", "written_at").alias("_created"),
+        pick("updated_at", "written_at").alias("_touched"),
+        recency.alias("_recency"),
+        *carry,
+    )
+
+
 def chain(state: DataFrame | None, writes: DataFrame, key: list[str], carry: list[str]) -> DataFrame:
-    """Every state and write of each key in order, with content_hash, changed and version.  writes and
-    state: key columns, content, written_at, `carry`; writes also seq, state also version."""
-    cols = [*key, "seq", "content", "written_at", *carry]
-    rows = writes.select(*cols, F.lit(None).cast("int").alias("base"))
+    """Every state and write of each key in order, with content_hash, action, changed and version.
+    writes: key columns, seq, content, written_at, `carry`; state: those of a former upsert."""
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = writes.select(*key, F.col("seq").cast("long").alias("seq"), "content", "written_at", none("int").alias("base"), F.col("written_at").alias("_created"), F.col("written_at").alias("_touched"), none("double").alias("_recency"), *carry)
     if state is not None:
-        rows = state.withColumn("seq", F.lit(-1).cast("long")).select(*cols, F.col("version").cast("int").alias("base")).unionByName(rows)
+        rows = _state_rows(state, key, carry).unionByName(rows)
     rows = rows.withColumn("content_hash", F.sha2("content", 256))
     order = Window.partitionBy(*key).orderBy("seq")
     before = F.lag("content_hash").over(order)
-    rows = rows.withColumn("action", F.when(F.col("base").isNotNull(), "existing").when(F.row_number().over(order) == 1, "created").when(before == F.col("content_hash"), "skip_identical").otherwise("updated"))
+    rows = rows.withColumn("action", F.when(F.col("base").isNotNull(), "existing").when(F.row_number().over(order) == 1, "created").when(before.eqNullSafe(F.col("content_hash")), "skip_identical").otherwise("updated"))
     changed = F.when(F.col("action") == "existing", F.col("base")).when(F.col("action").isin("created", "updated"), 1).otherwise(0)
     return rows.withColumn("version", F.sum(changed).over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
 
@@ -31,31 +52,29 @@ def chain(state: DataFrame | None, writes: DataFrame, key: list[str], carry: lis
 def upsert(state: DataFrame | None, writes: DataFrame, key: list[str] = SERVER_KEY, carry: tuple[str, ...] = (), touch_on_skip: bool = True, first_wins: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(state', snapshots, actions).
 
-    state' has a row for each key: content, content_hash, version, created_at, updated_at and carry
-    columns as of the last change; columns of first_wins keep their first value.  touch_on_skip: an
-    identical write still sets updated_at.  snapshots: superseded versions with effective_from and
-    superseded_at.  actions: each write with its action and version."""
+    state' has a row for each key: content, content_hash, version, created_at (of the key), changed_at
+    (of the content), updated_at, recency_score and carry columns as of the last change; columns of
+    first_wins keep their first value.  It is a state for the next call as it is.  touch_on_skip: an
+    identical write still sets updated_at and recency_score.  recency_score is 1 for what was written
+    and stays as it was for the rest.  valid_from, if carried, is by default the time of creation.
+    snapshots: superseded versions with created_at, effective_from and superseded_at.  actions: each
+    write with its action and version."""
     carry = list(carry)
     c = chain(state, writes, key, carry)
-    versions = c.where("action <> 'skip_identical'")
-    last = F.max_by(F.struct("content", "content_hash", "version", "written_at", *carry), "seq")
-    kept = versions.groupBy(*key).agg(last.alias("l"), F.min_by(F.struct("written_at", *first_wins), "seq").alias("f"))
-    columns = [F.col("l.content"), F.col("l.content_hash"), F.col("l.version"), F.col("f.written_at").alias("created_at"), F.col("l.written_at").alias("changed_at")]
-    columns += [F.col(f"{'f' if x in first_wins else 'l'}.{x}").alias(x) for x in carry]
-    new = kept.select(*key, *columns)
-    if touch_on_skip:
-        touched = c.groupBy(*key).agg(F.max_by("written_at", "seq").alias("updated_at"))
-        test = [F.col(x).eqNullSafe(F.col(f"_{x}")) for x in key]
-        touched = touched.select(*(F.col(x).alias(f"_{x}") for x in key), "updated_at")
-        on = test[0]
-        for t in test[1:]:
-            on = on & t
-        new = new.join(touched, on).drop(*(f"_{x}" for x in key), "changed_at")
-    else:
-        new = new.withColumnRenamed("changed_at", "updated_at")
-    after = Window.partitionBy(*key).orderBy("version")
-    snapshots = versions.withColumn("superseded_at", F.lead("written_at").over(after)).where("superseded_at is not null")
-    snapshots = snapshots.select(*key, "version", "content", "content_hash", F.col("written_at").alias("effective_from"), "superseded_at", *carry)
+    if "valid_from" in carry:
+        c = c.withColumn("valid_from", F.when(F.col("action") == "created", F.coalesce("valid_from", "written_at")).otherwise(F.col("valid_from")))
+    change = F.when(F.col("action") != "skip_identical", F.col("seq"))  # null orders are left out by max_by
+    touch = F.col("seq") if touch_on_skip else change
+    last = F.max_by(F.struct("content", "content_hash", "version", F.col("written_at").alias("changed_at"), *carry), change)
+    first = F.min_by(F.struct(F.col("_created").alias("created_at"), *first_wins), "seq")
+    recency = F.max_by(F.when(F.col("base").isNull(), 1.0).otherwise(F.col("_recency")), touch)
+    kept = c.groupBy(*key).agg(last.alias("l"), first.alias("f"), F.max_by("_touched", touch).alias("updated_at"), recency.alias("recency_score"))
+    columns = ["l.content", "l.content_hash", "l.version", "f.created_at", "l.changed_at", "updated_at", "recency_score"]
+    new = kept.select(*key, *columns, *(F.col(f"{'f' if x in first_wins else 'l'}.{x}").alias(x) for x in carry))
+    order = Window.partitionBy(*key).orderBy("seq")
+    versions = c.withColumn("created_at", F.first("_created").over(order)).where("action <> 'skip_identical'")
+    snapshots = versions.withColumn("superseded_at", F.lead("written_at").over(order)).where("superseded_at is not null")
+    snapshots = snapshots.select(*key, "version", "content", "content_hash", "created_at", F.col("written_at").alias("effective_from"), "superseded_at", *carry)
     actions = c.where("action <> 'existing'").select(*key, "seq", "action", "version", "content_hash", "written_at")
     return new, snapshots, actions
 

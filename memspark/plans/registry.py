@@ -106,6 +106,26 @@ def f12_as_of_view(s, d):
     return filters.as_of_view(c, F.lit("2024-01-15").cast("timestamp")).select("user_id", "memory_key", "version", "content")
 
 
+VERSIONED = """SELECT user_id, memory_key, version, content, written_at AS effective_from, lead(written_at) OVER (PARTITION BY user_id, memory_key ORDER BY version) AS until,
+  written_at + to_days(CAST(1 + version % 20 AS INTEGER)) AS valid_to FROM chain WHERE action <> 'skip_identical'"""
+
+
+@query(
+    f"""SELECT k.user_id, k.memory_key, strftime(k.at, '%Y-%m-%d %H:%M:%S') AS at, v.version, v.content, coalesce(v.valid_to > k.at, false) AS valid FROM (
+      SELECT user_id, memory_key, TIMESTAMP '2023-12-30' + to_hours(CAST(10 * i AS INTEGER)) AS at FROM (SELECT DISTINCT user_id, memory_key, unnest(range(100)) AS i FROM memory_writes)) k
+    LEFT JOIN ({VERSIONED}) v ON v.user_id = k.user_id AND v.memory_key = k.memory_key AND v.effective_from <= k.at AND (v.until IS NULL OR v.until > k.at)""",
+    "chain",
+)
+def f12_as_of_join(s, d):
+    # every key at 100 times, against current rows and superseded versions
+    valid_to = lambda df, at: df.withColumn("valid_to", F.col(at) + F.make_dt_interval((1 + F.col("version") % 20).cast("int")))
+    state, old, _ = upsert.upsert(None, views.memory_writes(s, d), KEY)
+    versions = filters.history(valid_to(state, "changed_at"), valid_to(old, "effective_from"), KEY, ["content", "valid_to"])
+    start = F.lit("2023-12-30").cast("timestamp")
+    asked = state.select(*KEY, F.explode(F.sequence(start, start + F.expr("INTERVAL 990 HOURS"), F.expr("INTERVAL 10 HOURS"))).alias("at"))
+    return filters.as_of_join(versions, asked, KEY).select(*KEY, day("at"), "version", "content", "valid")
+
+
 @query("SELECT ok, count(*) AS n FROM (SELECT coalesce(confidence BETWEEN 0 AND 1 AND importance_score BETWEEN 0 AND 1 AND authority_level + id % 3 BETWEEN 1 AND 4, false) AS ok FROM memories) GROUP BY ok", "memories")
 def f13_validate(s, d):
     good, bad = filters.validate(mem(s, d).withColumn("authority_level", F.col("authority_level") + F.col("id") % 3))
@@ -128,6 +148,46 @@ def u1_upsert_state(s, d):
     return _written(s, d, True)[0].select("user_id", "memory_key", "content", "version", F.round("importance_score", 6).alias("importance_score"), day("updated_at"))
 
 
+THIRDS = ("TIMESTAMP '2024-01-11'", "TIMESTAMP '2024-01-21'")
+
+
+def _thirds(s, d):
+    """The writes in three batches by their time."""
+    w = views.memory_writes(s, d)
+    a, b = (F.expr(t) for t in THIRDS)
+    at = F.col("written_at")
+    return [w.where(at < a), w.where((at >= a) & (at < b)), w.where(at >= b)]
+
+
+# the same order in SQL: by batch, then by seq
+BATCHED = f"""batched AS (SELECT *, lag(content) OVER o AS before, row_number() OVER o AS n FROM (SELECT *, (written_at >= {THIRDS[0]})::INT + (written_at >= {THIRDS[1]})::INT AS batch FROM memory_writes) WINDOW o AS (PARTITION BY user_id, memory_key ORDER BY batch, seq)),
+numbered AS (SELECT *, CAST(sum(CASE WHEN before = content THEN 0 ELSE 1 END) OVER (PARTITION BY user_id, memory_key ORDER BY n) AS INTEGER) AS version FROM batched)"""
+FED_BACK = f"""SELECT user_id, memory_key, arg_max(content, n) AS content, max(version) AS version, strftime(arg_min(written_at, n), '%Y-%m-%d %H:%M:%S') AS created_at, strftime(arg_min(written_at, n) FILTER (version = top), '%Y-%m-%d %H:%M:%S') AS changed_at,
+  strftime(arg_max(written_at, n), '%Y-%m-%d %H:%M:%S') AS updated_at, CAST(1 AS DOUBLE) AS recency_score FROM (SELECT *, max(version) OVER (PARTITION BY user_id, memory_key) AS top FROM numbered) GROUP BY user_id, memory_key"""
+
+
+def _memory(state):
+    return state.select("user_id", "memory_key", "content", "version", day("created_at"), day("changed_at"), day("updated_at"), "recency_score")
+
+
+@query(FED_BACK, "memory_writes", BATCHED)
+def u1_state_fed_back(s, d):
+    # each batch on the state that the one before gave
+    state = None
+    for batch in _thirds(s, d):
+        state = upsert.upsert(state, batch, KEY, ("importance_score",))[0]
+    return _memory(state)
+
+
+@query(FED_BACK, "memory_writes", BATCHED)
+def x7_kept_memories(s, d):
+    path = tables.shared_path(s, "kept-memories")
+    schema = "user_id long, memory_key string, content string, content_hash string, version int, created_at timestamp, changed_at timestamp, updated_at timestamp, recency_score double, importance_score double"
+    for n, batch in enumerate(_thirds(s, d)):
+        streams.merge_memories(batch, path, n, KEY, ("importance_score",), schema)
+    return _memory(streams.kept_memories(s, path, schema))
+
+
 @query("SELECT user_id, memory_key, version, content, strftime(written_at, '%Y-%m-%d %H:%M:%S') AS effective_from FROM (SELECT *, lead(version) OVER (PARTITION BY user_id, memory_key ORDER BY version) AS later FROM chain WHERE action <> 'skip_identical') WHERE later IS NOT NULL", "chain")
 def u1_upsert_versions(s, d):
     return _written(s, d, True)[1].select("user_id", "memory_key", "version", "content", day("effective_from"))

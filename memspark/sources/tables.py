@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +49,18 @@ def complete_runs(runs: DataFrame, completions: DataFrame) -> DataFrame:
     return joined.withColumns({"status": F.coalesce("_s", "status"), "ended_at": F.coalesce("_e", "ended_at")}).drop("_s", "_e")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder for a table that a job writes and reads again, in spark.checkpoint.dir."""
+    conf = spark.sparkContext.getConf()
+    found = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="memspark-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df checkpointed to the folder all executors share: cuts the lineage of an iteration."""
     sc = df.sparkSession.sparkContext

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.events import extract_observations, observations_to_writes
 from ..operators.upsert import SIMPLE_KEY, upsert
+from ..sources import kept
 from ..sources.schemas import TRANSITIONS
 
 
@@ -21,24 +22,38 @@ def stream_observations(events: DataFrame, delay: str = "1 day") -> DataFrame:
     return extract_observations(once)
 
 
-def stream_memories(observations: DataFrame, path: str, checkpoint: str):
-    """A query that upserts observations (with created_at) into a table of memories (X7).  Batch n reads
-    the state of batch n-1 and writes its own, with the superseded versions beside it, to
-    path/state/batch=n and path/versions/batch=n; so a repeated batch replaces itself, and the last
-    folder of path/state is the table.  Identical content makes no new version."""
+OBSERVED = ("confidence", "metadata")
+MEMORY_STATE = "user_id long, memory_key string, content string, content_hash string, version int, created_at timestamp, changed_at timestamp, updated_at timestamp, recency_score double, confidence double, metadata string"
+
+
+def merge_memories(writes: DataFrame, path: str, batch: int, key: list[str] = SIMPLE_KEY, carry: tuple[str, ...] = OBSERVED, schema: str = MEMORY_STATE, buckets: int = 64) -> None:
+    """Upsert a batch of writes into the table of memories that path/state keeps (X7): only the buckets
+    of the batch's users are read and written.  Superseded versions go to path/versions/batch=n.  A
+    batch that is repeated replaces what it wrote."""
+    columns = key[:1]
+    theirs = kept.touched(writes, columns, buckets)
+    state = kept.current(writes.sparkSession, f"{path}/state", schema, batch, theirs)
+    new, snapshots, _ = upsert(state, writes, key, carry)
+    new = new.select(*state.columns)
+    kept.replace(new, f"{path}/state", columns, buckets, batch)
+    snapshots.write.mode("overwrite").parquet(f"{path}/versions/batch={batch}")
+
+
+def stream_memories(observations: DataFrame, path: str, checkpoint: str, buckets: int = 64):
+    """A query that upserts observations (with created_at) into a kept table of memories (X7); read it
+    with kept_memories.  Identical content makes no new version."""
 
     def fold(batch: DataFrame, number: int) -> None:
-        writes = observations_to_writes(batch).withColumn("first_at", F.col("written_at"))
-        state = None
-        if number > 0:
-            state = batch.sparkSession.read.parquet(f"{path}/state/batch={number - 1}").withColumn("written_at", F.col("updated_at"))
-        new, snapshots, _ = upsert(state, writes, SIMPLE_KEY, ("confidence", "metadata", "first_at"), first_wins=("first_at",))
-        new.withColumn("created_at", F.col("first_at")).write.mode("overwrite").parquet(f"{path}/state/batch={number}")
-        snapshots.write.mode("overwrite").parquet(f"{path}/versions/batch={number}")
+        merge_memories(observations_to_writes(batch), path, number, buckets=buckets)
 
     return observations.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def kept_memories(spark, path: str, schema: str = MEMORY_STATE) -> DataFrame:
+    """The table of memories that merge_memories keeps."""
+    return kept.current(spark, f"{path}/state", schema)
+
+
 def stream_access_counts(log: DataFrame, window: str = "7 days", slide: str = "1 day", delay: str = "1 day") -> DataFrame:
     """Accesses of each memory in sliding windows (X8); also on tables."""
     counted = log.withWatermark("created_at", delay) if log.isStreaming else log

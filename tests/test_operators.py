@@ -233,8 +233,7 @@ def test_stream_memories_upserts(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
         streams.stream_memories(streams.stream_observations(stream), str(tmp_path / "mem"), str(tmp_path / "ck")).awaitTermination()
-    last = sorted((tmp_path / "mem" / "state").iterdir(), key=lambda p: int(p.name.split("=")[1]))[-1]
-    got = {r.memory_key: (r.content, r.version, r.created_at.hour, r.updated_at.hour) for r in spark.read.parquet(str(last)).collect()}
+    got = {r.memory_key: (r.content, r.version, r.created_at.hour, r.updated_at.hour) for r in streams.kept_memories(spark, str(tmp_path / "mem")).collect()}
     assert got == {"obs:7": ("b", 2, 1, 4), "obs:8": ("d", 2, 3, 5), "obs:9": ("e", 1, 6, 6)}
     old = {(r.memory_key, r.version, r.content) for r in spark.read.parquet(str(tmp_path / "mem" / "versions")).collect()}
     assert old == {("obs:7", 1, "a"), ("obs:8", 1, "c")}
