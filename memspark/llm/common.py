@@ -10,6 +10,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -47,6 +48,19 @@ def discard(*tables: DataFrame) -> None:
         where.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def distinct_rows(docs: DataFrame) -> DataFrame:
+    """docs with each row once.  Only rows whose 128-bit hash occurs again are shuffled, so texts that
+    stand once stay where they are; copies of a row meet in partial aggregates."""
+    plain = [F.col(f"`{c}`").cast("string") if kind.startswith(("map", "variant")) else F.col(f"`{c}`") for c, kind in docs.dtypes]
+    # null and empty differ
+    own = F.struct(F.xxhash64(*plain, *(c.isNull() for c in plain)), F.xxhash64(F.lit(7), *plain))
+    marked = docs.withColumn("_row_hash", own)
+    again = marked.groupBy(F.col("_row_hash").alias("_again")).count().where("count > 1").select("_again")
+    marked = marked.join(again, F.col("_row_hash") == F.col("_again"), "left")
+    copies = marked.where(F.col("_again").isNotNull()).dropDuplicates(["_row_hash"])
+    return marked.where(F.col("_again").isNull()).unionByName(copies).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def give_back() -> None:
     """Return the memory that a Python worker no longer uses: Spark keeps workers for later tasks, and
     what they hold counts against the executor."""
