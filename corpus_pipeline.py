@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memspark.llm import decontaminate, jaccard, langid, lines, packing
-from memspark.llm.common import read, small_batches, written
+from memspark.llm.common import discard, distinct_rows, read, small_batches, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,9 +27,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that match an earlier line (80 of 100 words, or
     of 100 character 3-grams of lines of few words); n_chars follows.  A
-    document of which only white space is left goes."""
+    document of which only white space is left goes, and of equal rows all but
+    one."""
     small_batches(spark)
-    kept, _, removed = lines.rewritten(docs, percent=80, min_words=1, grams=16)
+    kept, _, removed = lines.rewritten(distinct_rows(docs), percent=80, min_words=1, grams=16)
     kept = kept.where((F.col(removed) == 0) | F.col("text").rlike(r"\S"))
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.when(F.col(removed) == 0, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
@@ -67,7 +68,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages' result; a stage's table goes when the next one is written."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if hasattr(before, "written_to"):
+            discard(before)
     return docs
