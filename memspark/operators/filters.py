@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -50,22 +51,40 @@ def lookup(mem: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     return mem.join(k, reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in on))).select(*mem.columns)
 
 
-def metadata_contains(df: DataFrame, column: str, wanted: dict) -> DataFrame:
-    """Rows whose JSON object holds all of `wanted`: lists by their elements, objects by their
-    fields, other values by equality of their text (F7)."""
-
-    def tests(path: str, value):
-        if isinstance(value, dict):
-            for k, v in value.items():
-                yield from tests(f"{path}.{k}", v)
-        elif isinstance(value, list):
-            held = F.from_json(F.get_json_object(column, path), "array<string>")
-            yield from (F.coalesce(F.array_contains(held, str(v)), F.lit(False)) for v in value)
-        else:
-            text = str(value).lower() if isinstance(value, bool) else str(value)
-            yield F.get_json_object(column, path) == text
-
-    return reduce(lambda d, t: d.where(t), tests("$", wanted), df)
+def _holder(wanted):
+    return lambda value: _holds(value, wanted)
+
+
+def _holds(value: Column, wanted) -> Column:
+    """Whether a VARIANT holds a Python value: objects its fields, lists each of its elements somewhere,
+    other values by type and equality (1 equals 1.0, but not "1" or true)."""
+    kind = F.schema_of_variant(value)
+    if isinstance(wanted, dict):
+        fields = (_holds(F.try_variant_get(value, "$[" + json.dumps(str(k)) + "]", "variant"), w) for k, w in wanted.items())
+        found = reduce(lambda a, b: a & b, fields, kind.startswith("OBJECT"))
+    elif isinstance(wanted, (list, tuple)):
+        held = F.when(kind.startswith("ARRAY"), F.try_variant_get(value, "$", "array<variant>"))
+        tests = (F.exists(held, _holder(w)) for w in wanted)
+        found = reduce(lambda a, b: a & b, tests, kind.startswith("ARRAY"))
+    elif wanted is None:
+        found = F.is_variant_null(value)
+    elif isinstance(wanted, bool):
+        found = (kind == "BOOLEAN") & (F.try_variant_get(value, "$", "boolean") == wanted)
+    elif isinstance(wanted, (int, float)):
+        number = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
+        exact = isinstance(wanted, int)
+        same = F.try_variant_get(value, "$", "decimal(38,10)" if exact else "double") == (F.lit(str(wanted)).cast("decimal(38,10)") if exact else F.lit(wanted))
+        found = number & same
+    else:
+        found = (kind == "STRING") & (F.try_variant_get(value, "$", "string") == str(wanted))
+    return F.coalesce(found, F.lit(False))
+
+
+def metadata_contains(df: DataFrame, column: str, wanted) -> DataFrame:
+    """Rows whose JSON text holds all of `wanted` (F7): objects by their fields at any depth, lists by
+    elements (each wanted one equals or, an object or list, is held by one of the list), other values
+    by type and equality.  Text that isn't JSON holds nothing."""
+    return df.where(_holds(F.try_parse_json(column), wanted))
 
 
 def tenant_view(df: DataFrame, tenants: DataFrame, memories: DataFrame | None = None, column: str = "user_id") -> DataFrame:

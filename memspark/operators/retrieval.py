@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring
+from ..sources.tables import settled
 from .filters import is_valid
 
 
@@ -34,22 +35,48 @@ def vector_search(mem: DataFrame, queries: DataFrame, min_score: float | None =
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= MOST).where("rank <= top_k").select("query_id", "user_id", "rank", "id", "score")
 
 
-def hybrid_search(mem: DataFrame, queries: DataFrame, as_of: Column, weights: dict[str, float] = scoring.WEIGHTS, overfetch: int = 2, explain: bool = False) -> DataFrame:
+def hybrid_search(mem: DataFrame, queries: DataFrame, as_of: Column, weights: dict[str, float] = scoring.WEIGHTS, overfetch: int = 2, explain: bool = False, w_fulltext: float = 0.0, min_score: float | None = None) -> DataFrame:
     """Candidates, the overfetch*top_k most similar (without a query vector: latest updated) memories,
     ranked by the weighted score (V2-V4, V6): query_id, rank, id, final_score, strategy, candidates,
-    matched; explain adds the parts of the score."""
+    matched; explain adds the parts of the score.
+
+    w_fulltext: queries also have query_text; the overfetch*top_k best by full text are candidates too,
+    and the score is (1 - w_fulltext) of the weighted one and w_fulltext of the full-text score over
+    the query's highest (V9).  min_score: results of less are left out (F10)."""
     rows = _matches(mem, queries, as_of)
-    vector = F.when(F.col("query_embedding").isNotNull(), scoring.cosine(F.col("embedding"), F.col("query_embedding"), F.col("_norm"), F.col("_qnorm")))
-    rows = rows.withColumn("vector_score", vector)
+    cosine = scoring.cosine(F.col("embedding"), F.col("query_embedding"), F.col("_norm"), F.col("_qnorm"))
+    rows = rows.withColumn("vector_score", F.when(F.col("query_embedding").isNotNull(), cosine))
     by_query = Window.partitionBy("query_id")
     first = by_query.orderBy(F.desc_nulls_last("vector_score"), F.desc(F.when(F.col("query_embedding").isNull(), F.col("updated_at"))), "id")
-    got = rows.withColumn("_n", F.row_number().over(first)).withColumn("matched", F.count("*").over(by_query)).where(F.col("_n") <= F.col("top_k") * overfetch)
+    signals = ["updated_at", "importance_score", "authority_level", "confidence"]
+    got = rows.withColumn("_plain", F.col("query_embedding").isNull()).select("query_id", "user_id", "top_k", "_plain", "query_embedding", "id", "vector_score", *signals)
+    # a literal bound lets each task keep its first rows before the shuffle
+    got = got.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= overfetch * MOST).where(F.col("_n") <= F.col("top_k") * overfetch).drop("_n", "query_embedding")
+    text = F.lit(None).cast("double")
+    if w_fulltext:
+        valid = mem.where(is_valid(as_of))
+        hits = settled(fulltext_hits(valid, queries.where("query_text is not null")).withColumn("_text", F.col("_text") / F.max("_text").over(by_query)))
+        best = by_query.orderBy(F.desc("_text"), "id")
+        found = hits.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= overfetch * MOST).join(queries.select("query_id", "top_k"), "query_id").where(F.col("_n") <= F.col("top_k") * overfetch)
+        more = found.select("query_id", "id").join(got.select("query_id", "id"), ["query_id", "id"], "left_anti")
+        # what only the text found gets the other signals by id
+        full = _matches(mem, queries, as_of).join(more, ["query_id", "id"], "left_semi").withColumn("_plain", F.col("query_embedding").isNull())
+        full = full.withColumn("vector_score", F.when(~F.col("_plain"), cosine)).select(*got.columns)
+        got = got.unionByName(full).join(hits.select("query_id", "id", "_text"), ["query_id", "id"], "left")
+        text = F.coalesce("_text", F.lit(0.0))
     got = got.withColumns({"recency": scoring.recency(F.col("updated_at"), as_of), "authority": scoring.authority(F.col("authority_level"))})
     score = scoring.final_score(F.col("vector_score"), F.col("recency"), F.col("importance_score"), F.col("authority"), F.col("confidence"), weights)
+    if w_fulltext:
+        score = (1 - w_fulltext) * score + w_fulltext * text
     got = got.withColumn("_score", score).withColumn("candidates", F.count("*").over(by_query))
     ranked = got.withColumn("rank", F.row_number().over(by_query.orderBy(F.desc("_score"), "id"))).where("rank <= top_k")
+    if min_score is not None:
+        ranked = ranked.where(F.col("_score") >= min_score)
+    matched = mem.where((F.col("status") == "active") & is_valid(as_of)).groupBy("user_id").agg(F.count("*").alias("matched"))
+    ranked = ranked.join(matched, "user_id")
     parts = [F.round("vector_score", 6).alias("vector_score"), F.round("recency", 6).alias("recency"), "importance_score", "authority", "confidence"] if explain else []
-    strategy = F.when(F.col("query_embedding").isNull(), "metadata_only").otherwise("hybrid_vector")
+    parts += [F.round(text, 6).alias("text_score")] * bool(explain and w_fulltext)
+    strategy = F.when(F.col("_plain"), "metadata_only").otherwise("hybrid_vector")
     return ranked.select("query_id", "user_id", "rank", "id", F.round("_score", 6).alias("final_score"), strategy.alias("strategy"), "candidates", "matched", *parts)
 
 
@@ -59,22 +86,32 @@ def keyword_search(mem: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
-def postings(mem: DataFrame, min_size: int = 2) -> DataFrame:
-    """The inverted index of memories: user_id, token, id, tf (V9)."""
+def postings(mem: DataFrame, wanted: DataFrame | None = None, min_size: int = 2) -> DataFrame:
+    """The inverted index of memories: user_id, token, id, tf (V9); of the wanted (user_id, token), if
+    given, which are filtered before they are counted."""
     tokens = F.filter(F.split(F.lower("content"), r"[^\p{L}\p{N}]+"), lambda t: F.length(t) >= min_size)
-    return mem.select("user_id", "id", F.explode(tokens).alias("token")).groupBy("user_id", "token", "id").agg(F.count("*").alias("tf"))
+    rows = mem.select("user_id", "id", F.explode(tokens).alias("token"))
+    if wanted is not None:
+        rows = rows.join(wanted, ["user_id", "token"], "left_semi")
+    return rows.groupBy("user_id", "token", "id").agg(F.count("*").alias("tf"))
 
 
-def fulltext_score(mem: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """tf-idf of the query's distinct words within its user's active memories, top k (V9)."""
+def fulltext_hits(mem: DataFrame, queries: DataFrame) -> DataFrame:
+    """tf-idf of each query's distinct words within its user's active memories (V9): query_id, id, _text."""
     active = mem.where("status = 'active'")
     sizes = active.groupBy("user_id").agg(F.count("*").alias("n_docs"))
     wanted = queries.select("query_id", "user_id", F.explode(F.array_distinct(F.filter(F.split(F.lower("query_text"), r"[^\p{L}\p{N}]+"), lambda t: F.length(t) >= 2))).alias("token"))
-    hits = postings(active).join(wanted.select("user_id", "token").distinct(), ["user_id", "token"], "left_semi")
+    # only tokens that some query of the user has are counted; written once, read for df and for the score
+    hits = settled(postings(active, wanted.select("user_id", "token").distinct()))
     df = hits.groupBy("user_id", "token").agg(F.count("*").alias("df"))
     scored = wanted.join(hits, ["user_id", "token"]).join(df, ["user_id", "token"]).join(sizes, "user_id")
     score = F.sum((1 + F.log("tf")) * F.log1p(F.col("n_docs") / F.col("df")))
-    rows = scored.groupBy("query_id", "id").agg(F.round(score, 6).alias("score"))
+    return scored.groupBy("query_id", "id").agg(score.alias("_text"))
+
+
+def fulltext_score(mem: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The k best memories of each query's user by fulltext_hits (V9): query_id, id, score, rank."""
+    rows = fulltext_hits(mem, queries).select("query_id", "id", F.round("_text", 6).alias("score"))
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
 
 

@@ -20,23 +20,39 @@ def unit(vector):
     return F.when(n > 0, F.transform(vector, lambda x: x.cast("double") / n))
 
 
-def build_ivf(vectors: DataFrame, ident: str, column: str, n_lists: int, seed: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(centroids: list_id, centroid; lists: list_id, ident, u): a coarse quantiser of unit vectors
-    and every vector assigned to its nearest centroid (V7)."""
-    rows = vectors.select(ident, unit(F.col(column)).alias("u")).where("u is not null").withColumn("features", array_to_vector("u"))
-    model = KMeans(k=n_lists, seed=seed, maxIter=10).fit(rows.select("features"))
+def build_ivf(vectors: DataFrame, ident: str, column: str, n_lists: int, seed: int = 1, copies: int = 1, sample: int = 100_000) -> tuple[DataFrame, DataFrame]:
+    """(centroids: list_id, centroid; lists: list_id, ident, u): a coarse quantiser of unit vectors,
+    fitted on about `sample` of them, and every vector in the lists of its `copies` nearest centroids
+    (V7).  More than one copy finds more where vectors have no clusters."""
+    rows = vectors.select(ident, unit(F.col(column)).alias("u")).where("u is not null")
+    n = rows.count()
+    part = rows if n <= sample else rows.where(F.pmod(F.xxhash64(ident), F.lit(1_000_000)) < 1_000_000 * sample // n)
+    model = KMeans(k=n_lists, seed=seed, maxIter=10).fit(part.select(array_to_vector("u").alias("features")))
     spark = vectors.sparkSession
-    centroids = spark.createDataFrame([(k, [float(x) for x in c]) for k, c in enumerate(model.clusterCenters())], "list_id int, centroid array<double>")
-    return centroids, model.transform(rows).select(F.col("prediction").alias("list_id"), ident, "u")
+    centers = [[float(x) for x in c] for c in model.clusterCenters()]
+    centroids = spark.createDataFrame(list(enumerate(centers)), "list_id int, centroid array<double>")
+    # n_lists centroids as one literal row, so a vector's nearest are found without a join
+    every = F.array(*(F.struct(F.lit(k).alias("list_id"), F.array(*map(F.lit, c)).alias("c")) for k, c in enumerate(centers)))
+    near = F.slice(F.sort_array(F.transform(every, lambda x: F.struct((-scoring.dot(F.col("u"), x["c"])).alias("d"), x["list_id"].alias("list_id")))), 1, copies)
+    return centroids, rows.select(F.explode(F.transform(near, lambda x: x["list_id"])).alias("list_id"), ident, "u")
+
+
+def write_lists(lists: DataFrame, path: str) -> DataFrame:
+    """The lists as a table partitioned by list_id, so that a probe reads its lists' folders only (V7)."""
+    lists.repartition("list_id").write.mode("overwrite").partitionBy("list_id").parquet(path)
+    return lists.sparkSession.read.parquet(path)
 
 
 def ann_search(centroids: DataFrame, lists: DataFrame, queries: DataFrame, ident: str, k: int, n_probe: int) -> DataFrame:
     """The k most similar of each query's n_probe nearest lists (V7): query_id, rank, ident, score.
-    The centroids are n_lists rows, a parameter, and are broadcast."""
+    The centroids, and the ids of the lists that some query probes, are n_lists rows at most, a
+    parameter, and are broadcast; with lists of write_lists the latter prune the folders that are read."""
     q = queries.select("query_id", unit(F.col("query_embedding")).alias("q")).where("q is not null")
     near = q.join(F.broadcast(centroids)).withColumn("_s", scoring.dot(F.col("q"), F.col("centroid")))
     near = near.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("_s"), "list_id"))).where(F.col("_n") <= n_probe).select("query_id", "q", "list_id")
-    scored = near.join(lists, "list_id").withColumn("score", scoring.dot(F.col("q"), F.col("u")))
+    probed = near.select(F.col("list_id").alias("_probed")).distinct()
+    read = lists.join(F.broadcast(probed), F.col("list_id") == F.col("_probed"), "left_semi")
+    scored = near.join(read, "list_id").select("query_id", ident, scoring.dot(F.col("q"), F.col("u")).alias("score")).distinct()
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), ident))).where(F.col("rank") <= k).select("query_id", "rank", ident, "score")
 
 

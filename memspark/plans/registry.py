@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -81,6 +82,39 @@ def f7_metadata_contains(s, d):
     return filters.metadata_contains(tables.table(s, d, "events"), "props", {"k": 42}).select("event_id", "user_id")
 
 
+# each event's metadata, made of its columns: k is a number or, for odd ids, its text
+SHAPES = {
+    "number": ({"k": 42}, "k = 42 AND event_id % 2 = 0"),
+    "text": ({"k": "42"}, "k = 42 AND event_id % 2 = 1"),
+    "nested": ({"source": {"type": "click", "first": True}}, "event_type = 'click' AND event_id % 3 = 0"),
+    "list": ({"tags": ["click", "d7"]}, "event_type = 'click' AND event_id % 10 = 7"),
+    "objects": ({"items": [{"name": "b", "n": 3}]}, "event_id % 5 = 3"),
+    "none": ({"value": None, "source": {"first": False}}, "value < 10 AND event_id % 3 <> 0"),
+}
+
+
+def _metadata(s, d):
+    e = tables.table(s, d, "events")
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    k = F.get_json_object("props", "$.k")
+    i = F.col("event_id")
+    made = F.concat(
+        F.lit('{"k": '), F.when(i % 2 == 0, k).otherwise(quoted(k)),
+        F.lit(', "source": {"type": '), quoted(F.col("event_type")), F.lit(', "first": '), (i % 3 == 0).cast("string"),
+        F.lit('}, "tags": ['), quoted(F.col("event_type")), F.lit(', "d'), (i % 10).cast("string"),
+        F.lit('"], "items": [{"name": "a", "n": 3}, {"name": "b", "n": '), (i % 5).cast("string"),
+        F.lit('}], "value": '), F.when(F.col("value") < 10, "null").otherwise(F.col("value").cast("string")), F.lit("}"),
+    )
+    return e.select("event_id", made.alias("metadata"))
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS shape, event_id FROM (SELECT *, CAST(props ->> '$.k' AS BIGINT) AS k FROM events) WHERE {test}" for name, (_, test) in SHAPES.items()))
+def f7_metadata_shapes(s, d):
+    rows = _metadata(s, d)
+    parts = [filters.metadata_contains(rows, "metadata", wanted).select(F.lit(name).alias("shape"), "event_id") for name, (wanted, _) in SHAPES.items()]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 @query("SELECT source_id, target_id, link_type FROM memory_links WHERE source_id IN (SELECT id FROM memories WHERE user_id IN (1, 4))", "memory_links memories")
 def f8_tenant_view(s, d):
     m = mem(s, d)
@@ -306,6 +340,13 @@ def v4_explain(s, d):
     return _hybrid(s, d, explain=True).select("query_id", "rank", "id", "vector_score", "recency", "importance_score", "authority", "confidence")
 
 
+def _with_text(s, d):
+    """Queries with the words of a benchmark item."""
+    q, b = views.queries(s, d), tables.table(s, d, "benchmark")
+    n = b.count()
+    return q.withColumn("_item", F.floor(F.col("query_id") / 7) % n).join(_text_queries(s, d).select(F.col("query_id").alias("_item"), "query_text"), "_item").drop("_item")
+
+
 def _text_queries(s, d):
     b = tables.table(s, d, "benchmark")
     words = F.array_join(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 4), " ")
@@ -326,7 +367,9 @@ def v5_keyword_search(s, d):
 @query()
 def v7_ann_search(s, d):
     e = tables.table(s, d, "embeddings")
-    centroids, lists = vectors.build_ivf(e, "vec_id", "embedding", 16)
+    # these vectors have no clusters, so each stands in its four nearest lists
+    centroids, lists = vectors.build_ivf(e, "vec_id", "embedding", 64, copies=4)
+    lists = vectors.write_lists(lists, tables.shared_path(s, "ivf"))
     q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
     return vectors.ann_search(centroids, lists, q, "vec_id", 10, 12)
 
@@ -358,6 +401,31 @@ def v9_fulltext(s, d):
     return retrieval.fulltext_score(mem(s, d), _text_queries(s, d), 5).select("query_id", "id", F.col("rank").cast("long").alias("rank"), "score")
 
 
+FUSED = f"""texts AS (SELECT q.query_id, q.user_id, t.query_text FROM queries q JOIN ({TEXT_QUERIES}) t ON t.query_id = CAST(floor(q.query_id / 7) AS BIGINT) % (SELECT count(*) FROM benchmark)),
+post AS MATERIALIZED ({POSTINGS.replace("FROM memories WHERE status = 'active'", "FROM active_valid")}),
+hits AS MATERIALIZED (SELECT *, t / max(t) OVER (PARTITION BY query_id) AS text, row_number() OVER (PARTITION BY query_id ORDER BY t DESC, id) AS m FROM (
+  SELECT w.query_id, p.id, sum((1 + ln(p.tf)) * ln(1 + n.n_docs / f.df)) AS t FROM (SELECT DISTINCT query_id, user_id, unnest(string_split(query_text, ' ')) AS token FROM texts) w
+  JOIN post p ON p.user_id = w.user_id AND p.token = w.token JOIN (SELECT user_id, token, count(*) AS df FROM post GROUP BY ALL) f ON f.user_id = w.user_id AND f.token = w.token
+  JOIN (SELECT user_id, count(*) AS n_docs FROM active_valid GROUP BY user_id) n ON n.user_id = w.user_id GROUP BY w.query_id, p.id)),
+fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, count(*) OVER (PARTITION BY query_id) AS candidates FROM (
+  SELECT *, 0.9 * (CASE WHEN v IS NULL THEN (rec * 0.20 + importance_score * 0.15 + auth * 0.10 + confidence * 0.10) * (1.0 / 0.55) ELSE least(greatest(v, 0), 1) * 0.45 + rec * 0.20 + importance_score * 0.15 + auth * 0.10 + confidence * 0.10 END) + 0.1 * coalesce(text, 0) AS score
+  FROM (SELECT x.*, h.text, h.m, exp(-ln(2) * greatest(epoch(TIMESTAMP '2024-02-01' - updated_at) / 3600, 0) / 72) AS rec, least(greatest(authority_level, 1), 4) / 4 AS auth,
+      row_number() OVER (PARTITION BY x.query_id ORDER BY v DESC NULLS LAST, CASE WHEN query_embedding IS NULL THEN updated_at END DESC, x.id) AS n
+    FROM (SELECT q.query_id, q.query_embedding, q.top_k, a.*, list_cosine_similarity(a.embedding, q.query_embedding) AS v FROM queries q JOIN active_valid a ON a.user_id = q.user_id) x LEFT JOIN hits h ON h.query_id = x.query_id AND h.id = x.id)
+  WHERE n <= 2 * top_k OR m <= 2 * top_k))"""
+
+
+@query("SELECT query_id, rank, id, round(score, 6) AS final_score, candidates, round(coalesce(text, 0), 6) AS text_score FROM fused WHERE rank <= top_k", "queries active_valid", FUSED)
+def v9_fused_search(s, d):
+    found = retrieval.hybrid_search(mem(s, d), _with_text(s, d), views.as_of(), w_fulltext=0.1, explain=True)
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), "id", "final_score", "candidates", "text_score")
+
+
+@query("SELECT query_id, rank, id FROM hybrid WHERE final_score >= 0.5", "hybrid")
+def f10_score_threshold(s, d):
+    return _hybrid(s, d, min_score=0.5 - 5e-7).select("query_id", "rank", "id")
+
+
 @query("SELECT query_id, string_agg('- [' || memory_key || '] ' || content || ' (relevance=' || printf('%.2f', final_score) || ')', chr(10) ORDER BY rank) AS text FROM hybrid GROUP BY query_id", "hybrid")
 def v10_results_as_text(s, d):
     m = mem(s, d)
