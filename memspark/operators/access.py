@@ -28,6 +28,19 @@ def access_stats(log: DataFrame, as_of: Column, window_hours: int = 168, approxi
     return maps.join(totals, "user_id")
 
 
+def access_sketches(log: DataFrame, unit: str = "day") -> DataFrame:
+    """Of each user and day (of date_trunc) the accesses and a HyperLogLog sketch of the memories (A4):
+    user_id, day, n, sketch.  Sketches are kept, and added to by the day; no window reads the log again."""
+    return log.groupBy("user_id", F.date_trunc(unit, "created_at").alias("day")).agg(F.count("*").alias("n"), F.hll_sketch_agg("memory_id", F.lit(14)).alias("sketch"))
+
+
+def window_stats(sketches: DataFrame, since: Column, until: Column) -> DataFrame:
+    """Of each user the accesses and about the number of distinct memories from `since` to before
+    `until`, by union of the days' sketches (A4, A9)."""
+    rows = sketches.where((F.col("day") >= since) & (F.col("day") < until))
+    return rows.groupBy("user_id").agg(F.sum("n").alias("total"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("memories"))
+
+
 def boost_importance(mem: DataFrame, log: DataFrame, as_of: Column, window_hours: int = 168, factor: float = 0.05, cap: float = 1.0, top_n: int = 100) -> tuple[DataFrame, DataFrame]:
     """(state', boosted) (M1): active memories among their user's top_n in the window get
     min(importance + ln(1+n)*factor, cap), rounded to 4 places, where that is more."""

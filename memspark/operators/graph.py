@@ -27,16 +27,21 @@ def degree(links: DataFrame) -> DataFrame:
 
 
 def expand(mem: DataFrame, links: DataFrame, seeds: DataFrame, max_hops: int, link_types: list[str] | None = None, max_nodes: int | None = None) -> DataFrame:
-    """Breadth-first from many seeds (seed) at once over active memories (G1): seed, node, depth.
-    max_nodes: of each seed the first so many by depth and id, a limit of the result."""
-    edges = both_ways(links if link_types is None else links.where(F.col("link_type").isin(*link_types))).select("node", "neighbour").distinct()
+    """Breadth-first from many seeds (seed) at once over active memories (G1): seed, node, depth, and
+    the link by which the walk arrived: parent, link_type, direction (as seen from the parent), of
+    several the one of the least parent, then link_type, then direction.  max_nodes: of each seed the
+    first so many by depth and id, a limit of the result."""
+    edges = both_ways(links if link_types is None else links.where(F.col("link_type").isin(*link_types)))
     active = mem.where("status = 'active'").select(F.col("id").alias("neighbour"))
-    edges = edges.join(active, "neighbour", "left_semi")
-    seen = seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth")).distinct()
+    edges = edges.groupBy("node", "neighbour").agg(F.min(F.struct("link_type", "direction")).alias("link")).join(active, "neighbour", "left_semi")
+    none = F.lit(None).cast("string")
+    seen = seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth"), F.lit(None).cast("long").alias("parent"), none.alias("link_type"), none.alias("direction")).distinct()
     frontier = seen
     for hop in range(1, max_hops + 1):
-        step = frontier.join(edges, "node").select("seed", F.col("neighbour").alias("node")).distinct()
-        frontier = settled(step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(hop)))
+        arrival = F.min(F.struct(F.col("node").cast("long").alias("parent"), "link.link_type", "link.direction")).alias("_a")
+        step = frontier.select("seed", "node").join(edges, "node").groupBy("seed", F.col("neighbour").alias("_node")).agg(arrival)
+        step = step.select("seed", F.col("_node").alias("node"), F.lit(hop).alias("depth"), "_a.*")
+        frontier = settled(step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti"))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
@@ -48,21 +53,32 @@ def expand(mem: DataFrame, links: DataFrame, seeds: DataFrame, max_hops: int, li
 
 def shortest_paths(links: DataFrame, pairs: DataFrame, max_depth: int) -> DataFrame:
     """The shortest undirected path of each pair (source, target) up to max_depth links, of equal ones
-    the least by node ids (G2): source, target, path, length.  Only reached pairs are returned."""
+    the least by node ids (G2): source, target, path, length.  Only reached pairs are returned.
+
+    The search goes from both ends in turn, each half the depth, so a frontier holds what lies within
+    half of the way; a path of length t is there as soon as the two frontiers of t steps meet."""
     edges = both_ways(links).select("node", "neighbour").distinct()
     wanted = pairs.select("source", "target").distinct()
-    seen = wanted.select("source", "target", F.col("source").alias("node"), F.array("source").alias("path"))
-    frontier, found = seen, seen.where("source = target")
-    for _ in range(max_depth):
-        frontier = frontier.join(found.select("source", "target"), ["source", "target"], "left_anti")
-        step = frontier.join(edges, "node").select("source", "target", F.col("neighbour").alias("node"), F.concat("path", F.array("neighbour")).alias("path"))
-        step = step.join(seen.select("source", "target", "node"), ["source", "target", "node"], "left_anti")
-        frontier = settled(step.groupBy("source", "target", "node").agg(F.min("path").alias("path")))
-        if frontier.isEmpty():
+    pair = ["source", "target"]
+    found = wanted.where("source = target").select(*pair, F.array("source").alias("path"))
+    rest = wanted.where("source <> target")
+    sides = [rest.select(*pair, F.col(end).alias("node"), F.array(end).alias("path")) for end in pair]
+    seen = [side.select(*pair, "node") for side in sides]
+    for t in range(1, max_depth + 1):
+        k = (t + 1) % 2  # the source's side first
+        far = F.concat("path", F.array("neighbour")) if k == 0 else F.concat(F.array("neighbour"), "path")
+        step = sides[k].join(edges, "node").select(*pair, F.col("neighbour").alias("node"), far.alias("path"))
+        step = step.join(seen[k], [*pair, "node"], "left_anti")
+        sides[k] = settled(step.groupBy(*pair, "node").agg(F.min("path").alias("path")))
+        seen[k] = seen[k].unionByName(sides[k].select(*pair, "node"))
+        ends = sides[1].select(*pair, "node", F.expr("slice(path, 2, size(path))").alias("_rest"))
+        met = sides[0].join(ends, [*pair, "node"]).groupBy(*pair).agg(F.min(F.concat("path", "_rest")).alias("path"))
+        met = settled(met)
+        found = found.unionByName(met)
+        sides = [side.join(met.select(*pair), pair, "left_anti") for side in sides]
+        if sides[k].isEmpty():
             break
-        seen = seen.select("source", "target", "node", "path").unionByName(frontier)
-        found = found.unionByName(frontier.where("node = target").select(*found.columns))
-    return found.select("source", "target", "path", (F.size("path") - 1).alias("length"))
+    return found.select(*pair, "path", (F.size("path") - 1).alias("length"))
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:

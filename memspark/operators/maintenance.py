@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import scoring
@@ -62,6 +62,32 @@ def maintain(mem: DataFrame, log: DataFrame, as_of: Column, days: int = 90) -> t
     return recompute_recency(new, as_of), prune_access(log, as_of, days)
 
 
+JOBS = ("consolidate", "archive_stale", "mark_stale", "retract_expired", "recompute_recency", "prune_access")
+
+
+def maintain_counted(mem: DataFrame, log: DataFrame, as_of: Column, path: str, days: int = 90) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(state', access log', report) of maintain() (M7): each job runs on the state that the one before
+    left, and is counted while that state is computed, by observed metrics; the two tables are written
+    to `path`, one pass each.  report: job, affected."""
+    seen, pruned = Observation(), Observation()
+    count = lambda test, job: F.count_if(F.coalesce(test, F.lit(False))).alias(job)
+    before = mem.withColumn("_before", F.col("status"))
+    state = consolidate(before, as_of)[0]
+    state = state.withColumn("_merged", (F.col("_before") == "active") & (F.col("status") == "archived"))
+    marks = {"consolidate": F.col("_merged")}
+    for job, test, status in (("archive_stale", stale_test(as_of, days), "archived"), ("mark_stale", invalid_test(as_of), "stale"), ("retract_expired", expired_test(as_of), "retracted")):
+        state = _move(state.withColumn(f"_{job}", test), F.col(f"_{job}"), status, as_of)
+        marks[job] = F.col(f"_{job}")
+    marks["recompute_recency"] = F.col("status") == "active"
+    state = recompute_recency(state, as_of).observe(seen, *(count(test, job) for job, test in marks.items())).select(*mem.columns)
+    state.write.mode("overwrite").parquet(f"{path}/memories")
+    log.observe(pruned, count(F.col("created_at") < as_of - _days(days), "prune_access")).transform(prune_access, as_of, days).write.mode("overwrite").parquet(f"{path}/access_log")
+    found = seen.get | pruned.get
+    spark = mem.sparkSession
+    report = spark.createDataFrame([(job, found[job]) for job in JOBS], "job string, affected long")
+    return spark.read.schema(mem.schema).parquet(f"{path}/memories"), spark.read.schema(log.schema).parquet(f"{path}/access_log"), report
+
+
 def run_maintenance(mem: DataFrame, log: DataFrame, as_of: Column, days: int = 90) -> DataFrame:
     """A report of what each job would touch on this state (M7): job, affected."""
     jobs = [

@@ -135,16 +135,36 @@ def retrieval_audit(results: DataFrame, queries: DataFrame) -> tuple[DataFrame,
     return logs, results.select("query_id", F.col("id").alias("memory_id"), "rank", "final_score", *parts)
 
 
+def result_records(results: DataFrame, queries: DataFrame) -> DataFrame:
+    """Each query's results in order, one record each, and a last record of kind `done` with their
+    number, also of a query without results (X6): query_id, place, kind, memory_id, final_score, total."""
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = results.select("query_id", F.col("rank").cast("long").alias("place"), F.lit("result").alias("kind"), F.col("id").alias("memory_id"), "final_score", none("long").alias("total"))
+    n = results.groupBy("query_id").agg(F.count("*").alias("_n"))
+    total = F.coalesce("_n", F.lit(0)).cast("long")
+    done = queries.select("query_id").join(n, "query_id", "left").select("query_id", (total + 1).alias("place"), F.lit("done").alias("kind"), none("long").alias("memory_id"), none("double").alias("final_score"), total.alias("total"))
+    return rows.unionByName(done)
+
+
 def access_rows(results: DataFrame, access_type: str, as_of: Column) -> DataFrame:
     """A row of the access log for each returned memory."""
     return results.select(F.col("id").alias("memory_id"), "user_id", F.lit(access_type).alias("access_type"), as_of.alias("created_at"))
 
 
-def context_window(messages: DataFrame, owners: DataFrame, results: DataFrame, n: int) -> DataFrame:
-    """Of each thread the number of messages, its last n, and its user's found memories."""
+def context_window(messages: DataFrame, owners: DataFrame, results: DataFrame, mem: DataFrame, n: int) -> DataFrame:
+    """What a prompt of each thread gets (V11): thread_id, messages (its last n: seq, role, content, in
+    order), memories (those found by its query, in rank order: memory_key, content, score, type),
+    message_count and memory_count (its user's active memories).  owners: thread_id, user_id, query_id
+    (null: no search); results: of a search."""
     from .threads import last_messages
 
-    counts = messages.groupBy("thread_id").agg(F.count("*").alias("n_messages"))
-    recent = last_messages(messages, n).groupBy("thread_id").agg(F.min("seq").alias("first_seq"), F.count("*").alias("n_recent"))
-    found = results.groupBy("user_id").agg(F.countDistinct("id").alias("n_memories"))
-    return counts.join(recent, "thread_id").join(owners, "thread_id").join(found, "user_id", "left").select("thread_id", "n_messages", "first_seq", "n_recent", F.coalesce("n_memories", F.lit(0)).cast("long").alias("n_memories"))
+    recent = last_messages(messages, n).groupBy("thread_id").agg(F.sort_array(F.collect_list(F.struct("seq", "role", "content"))).alias("messages"))
+    counts = messages.groupBy("thread_id").agg(F.count("*").alias("message_count"))
+    hits = results.join(mem.select("id", "memory_key", "content", F.col("memory_type").alias("type")), "id")
+    hit = F.struct("rank", "memory_key", "content", F.round("final_score", 4).alias("score"), "type")
+    found = hits.groupBy("query_id").agg(F.sort_array(F.collect_list(hit)).alias("memories"))
+    totals = mem.where("status = 'active'").groupBy("user_id").agg(F.count("*").alias("memory_count"))
+    rows = owners.join(recent, "thread_id").join(counts, "thread_id").join(found, "query_id", "left").join(totals, "user_id", "left")
+    kind = "array<struct<rank:int,memory_key:string,content:string,score:double,type:string>>"
+    memories = F.coalesce(F.col("memories").cast(kind), F.array().cast(kind))
+    return rows.select("thread_id", "messages", memories.alias("memories"), "message_count", F.coalesce("memory_count", F.lit(0)).cast("long").alias("memory_count"))

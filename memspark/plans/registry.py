@@ -261,6 +261,27 @@ def u8_delete(s, d):
     return upsert.delete(m, m.select(F.col("id").alias("memory_id")), m.where("id % 13 = 0").select("id"), soft=False)[0].select("id", "memory_key")
 
 
+@query(f"SELECT id, CASE WHEN id % 13 = 0 THEN 'retracted' ELSE status END AS status, strftime(CASE WHEN id % 13 = 0 THEN {T} ELSE updated_at END, '%Y-%m-%d %H:%M:%S') AS updated_at FROM memories", "memories")
+def u8_soft_delete(s, d):
+    m = mem(s, d)
+    return upsert.delete(m, m.select(F.col("id").alias("memory_id")), m.where("id % 13 = 0").select("id"), True, views.as_of())[0].select("id", "status", day("updated_at"))
+
+
+VERSIONS_OF = "SELECT id AS memory_id, unnest(range(1, id % 3 + 1)) AS version FROM memories"
+
+
+def _versions(s, d):
+    # id % 3 older versions of each memory
+    m = mem(s, d).where("id % 3 > 0")
+    return m.select(F.col("id").alias("memory_id"), F.explode(F.sequence(F.lit(1), (F.col("id") % 3).cast("int"))).alias("version"), "content", "content_hash", "created_at")
+
+
+@query(f"SELECT memory_id, version FROM ({VERSIONS_OF}) WHERE memory_id % 13 <> 0", "memories")
+def u8_delete_versions(s, d):
+    m = mem(s, d)
+    return upsert.delete(m, _versions(s, d), m.where("id % 13 = 0").select("id"), False)[1].select("memory_id", F.col("version").cast("long").alias("version"))
+
+
 @query("SELECT id, CASE WHEN id % 8 = 0 THEN CAST(0.5 AS DOUBLE) ELSE confidence END AS confidence, scope FROM memories", "memories")
 def u9_update_fields(s, d):
     m = mem(s, d)
@@ -302,9 +323,33 @@ def l2_observation_memories(s, d):
     return upsert.upsert(None, w, KEY, ())[0].select("user_id", "memory_key", "version", "content")
 
 
-@query()
+SAID = """SELECT c_custkey AS id, lower(n_name) AS land, lower(c_mktsegment) AS firm, c_custkey FROM customer JOIN nation ON n_nationkey = c_nationkey"""
+
+
+@query(
+    f"""SELECT id, 0 AS rule, 0 AS place, 'pref:' || substring(replace(land || ' tea', ' ', '_'), 1, 20) AS memory_key, 'The user likes/prefers: ' || land || ' tea' AS content, 'semantic' AS memory_type, CAST(0.8 AS DOUBLE) AS confidence FROM ({SAID})
+    UNION ALL SELECT id, 1, 0, 'identity:name', 'User info — name: learning ' || firm, 'semantic', 0.95 FROM ({SAID})
+    UNION ALL SELECT id, 2, 0, 'prof:company', 'Professional — company: ' || firm, 'episodic', 0.85 FROM ({SAID})
+    UNION ALL SELECT id, 4, 0, 'identity:location', 'User info — location: ' || land, 'semantic', 0.9 FROM ({SAID})
+    UNION ALL SELECT id, 5, 0, 'pref:' || firm, 'The user likes/prefers: ' || land, 'semantic', 0.85 FROM ({SAID}) WHERE id % 2 = 0
+    UNION ALL SELECT id, 6, 0, 'goal:learning', 'User goal: ' || firm, 'episodic', 0.7 FROM ({SAID})
+    UNION ALL SELECT id, 9, 0, 'fact:größe', 'The user mentioned: ' || c_custkey, 'semantic', 0.65 FROM ({SAID}) WHERE id >= 10"""
+)
 def l3_facts(s, d):
-    return extract_facts(views.raw_events(s, d).select(F.col("event_id").alias("id"), "content"))
+    c, n = tables.table(s, d, "customer"), tables.table(s, d, "nation")
+    land, firm = F.lower("n_name"), F.lower("c_mktsegment")
+    said = F.concat(
+        F.lit("I  like\t"), land, F.lit(" tea\t. I WORK for "), firm, F.lit(" .!, and I live in "), land, F.lit("!"),
+        F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit(" My favourite "), firm, F.lit(" is "), land, F.lit("."))).otherwise(""),
+        F.lit(" I'm learning "), firm, F.lit(".\nmy größe is "), F.col("c_custkey").cast("string"),
+    )
+    return extract_facts(c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("id"), said.alias("content")))
+
+
+@query("SELECT 0 AS rows_without_facts FROM conversations WHERE false")
+def l3_no_facts(s, d):
+    # the invented conversations hold none
+    return extract_facts(views.raw_events(s, d).select(F.col("event_id").alias("id"), "content")).select(F.lit(0).alias("rows_without_facts"))
 
 
 @query("SELECT run_id, count(*) AS n, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY sequence_number) AS event_ids FROM raw_events GROUP BY run_id", "raw_events")
@@ -433,13 +478,32 @@ def v10_results_as_text(s, d):
 
 
 @query(
-    "SELECT c.thread_id, c.n AS n_messages, r.first_seq, r.n AS n_recent, coalesce(f.n, 0) AS n_memories FROM (SELECT thread_id, count(*) AS n FROM thread_messages GROUP BY thread_id) c JOIN (SELECT thread_id, min(seq) AS first_seq, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY seq DESC) AS k FROM thread_messages) WHERE k <= 4 GROUP BY thread_id) r ON r.thread_id = c.thread_id LEFT JOIN (SELECT user_id, count(DISTINCT id) AS n FROM hybrid GROUP BY user_id) f ON f.user_id = c.thread_id % 10",
+    """SELECT t.thread_id, t.messages, coalesce(h.memories, '') AS memories, t.n AS message_count, coalesce(u.n, 0) AS memory_count FROM (
+      SELECT thread_id, string_agg(seq || ' ' || role || ': ' || content, chr(10) ORDER BY seq) FILTER (k <= 4) AS messages, count(*) AS n, 7 * (thread_id % (SELECT count(*) FROM queries)) AS query_id
+      FROM (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY seq DESC) AS k FROM thread_messages) GROUP BY thread_id) t
+    LEFT JOIN (SELECT query_id, string_agg(rank || ' ' || hybrid.memory_key || ' ' || m.memory_type || ' ' || hybrid.content, chr(10) ORDER BY rank) AS memories FROM hybrid JOIN memories m ON m.id = hybrid.id GROUP BY query_id) h ON h.query_id = t.query_id
+    LEFT JOIN (SELECT user_id, count(*) AS n FROM memories WHERE status = 'active' GROUP BY user_id) u ON u.user_id = t.query_id % 10""",
     "thread_messages hybrid",
 )
 def v11_context_window(s, d):
-    m = views.thread_messages(s, d)
-    owners = m.select("thread_id", (F.col("thread_id") % 10).alias("user_id")).distinct()
-    return retrieval.context_window(m, owners, _hybrid(s, d), 4)
+    m, q = views.thread_messages(s, d), views.queries(s, d).select("query_id", "user_id")
+    asked = m.select("thread_id").distinct().withColumn("query_id", 7 * (F.col("thread_id") % q.count()))
+    w = retrieval.context_window(m, asked.join(q, "query_id"), _hybrid(s, d).withColumn("rank", F.col("rank").cast("int")), mem(s, d), 4)
+    said = F.array_join(F.transform("messages", lambda x: F.concat(x["seq"].cast("string"), F.lit(" "), x["role"], F.lit(": "), x["content"])), "\n")
+    found = F.transform("memories", lambda x: F.concat_ws(" ", x["rank"].cast("string"), x["memory_key"], x["type"], x["content"]))
+    return w.select("thread_id", said.alias("messages"), F.array_join(found, "\n").alias("memories"), "message_count", "memory_count")
+
+
+def _result_stream(s, d):
+    return retrieval.result_records(_hybrid(s, d), views.queries(s, d))
+
+
+@query(
+    "SELECT query_id, rank AS place, 'result' AS kind, id AS memory_id, final_score, CAST(NULL AS BIGINT) AS total FROM hybrid UNION ALL SELECT q.query_id, coalesce(h.n, 0) + 1, 'done', NULL, NULL, coalesce(h.n, 0) FROM queries q LEFT JOIN (SELECT query_id, count(*) AS n FROM hybrid GROUP BY query_id) h ON h.query_id = q.query_id",
+    "hybrid",
+)
+def x6_result_stream(s, d):
+    return _result_stream(s, d)
 
 
 @query("SELECT q.query_id, q.user_id, CASE WHEN q.query_embedding IS NULL THEN 'metadata_only' ELSE 'hybrid_vector' END AS strategy, coalesce(h.total_candidates, 0) AS total_candidates, coalesce(h.returned, 0) AS returned FROM queries q LEFT JOIN (SELECT query_id, max(candidates) AS total_candidates, count(*) AS returned FROM hybrid GROUP BY query_id) h USING (query_id)", "queries hybrid")
@@ -486,6 +550,15 @@ def a4_access_stats(s, d):
     return access.access_stats(views.access_log(s, d), views.as_of()).select("user_id", "total", "memories", F.explode("by_type").alias("access_type", "n"))
 
 
+@query("SELECT user_id, count(*) AS total, count(DISTINCT memory_id) AS memories FROM access_log WHERE created_at >= TIMESTAMP '2024-01-08' AND created_at < TIMESTAMP '2024-01-22' GROUP BY user_id", "access_log")
+def a4_window_sketches(s, d):
+    # sketches are stored by the day and united over two weeks; at this size they count exactly
+    path = tables.shared_path(s, "sketches")
+    access.access_sketches(views.access_log(s, d)).write.parquet(path)
+    day_ = lambda t: F.lit(t).cast("timestamp")
+    return access.window_stats(s.read.parquet(path), day_("2024-01-08"), day_("2024-01-22"))
+
+
 @query(
     """SELECT user_id, 'all' AS kind, '' AS name, count(*) AS n, round(avg(importance_score) FILTER (status = 'active'), 6) AS avg_importance, round(avg(confidence) FILTER (status = 'active'), 6) AS avg_confidence FROM memories GROUP BY user_id
     UNION ALL SELECT user_id, 'status', status, count(*), NULL, NULL FROM memories GROUP BY user_id, status
@@ -574,21 +647,28 @@ BFS = """walk AS (SELECT id AS seed, id AS node, 0 AS depth FROM memories WHERE
   UNION SELECT w.seed, e.neighbour, w.depth + 1 FROM walk w JOIN edges e ON e.node = w.node JOIN memories m ON m.id = e.neighbour WHERE m.status = 'active' AND w.depth < 3)"""
 
 
-@query("SELECT seed, node, min(depth) AS depth FROM walk WHERE node <> seed GROUP BY seed, node", "edges memories", BFS)
+ARRIVALS = BFS + """,
+dist AS (SELECT seed, node, min(depth) AS depth FROM walk GROUP BY seed, node),
+arrivals AS (SELECT d.*, p.node AS parent, e.link_type, e.direction, row_number() OVER (PARTITION BY d.seed, d.node ORDER BY p.node, e.link_type, e.direction) AS k
+  FROM dist d JOIN dist p ON p.seed = d.seed AND p.depth = d.depth - 1 JOIN edges e ON e.node = p.node AND e.neighbour = d.node)"""
+
+
+@query("SELECT seed, node, depth, parent, link_type, direction FROM arrivals WHERE k = 1", "edges memories", ARRIVALS)
 def g1_expand(s, d):
     m = mem(s, d).select("id", "status")
     return graph.expand(m, views.memory_links(s, d), m.where("id % 50 = 0").select(F.col("id").alias("seed")), 3)
 
 
-PATHS = """walk AS (SELECT p.source, p.target, p.source AS node, 0 AS length FROM (SELECT doc_id AS source, (doc_id * 7 + 40) % (SELECT count(*) FROM documents) AS target FROM documents WHERE doc_id % 50 = 0) p
-  UNION SELECT w.source, w.target, e.neighbour, w.length + 1 FROM walk w JOIN edges e ON e.node = w.node WHERE w.length < 5)"""
+PATHS = """walk AS (SELECT p.source, p.target, p.source AS node, 0 AS length, [p.source] AS path FROM (SELECT doc_id AS source, (doc_id * 7 + 40) % (SELECT count(*) FROM documents) AS target FROM documents WHERE doc_id % 50 = 0) p
+  UNION SELECT w.source, w.target, e.neighbour, w.length + 1, list_append(w.path, e.neighbour) FROM walk w JOIN edges e ON e.node = w.node WHERE w.length < 5 AND NOT list_contains(w.path, e.neighbour))"""
 
 
-@query("SELECT CAST(source AS BIGINT) AS source, CAST(target AS BIGINT) AS target, min(length) AS length FROM walk WHERE node = target GROUP BY source, target", "edges", PATHS)
+@query("SELECT CAST(source AS BIGINT) AS source, CAST(target AS BIGINT) AS target, length, array_to_string(path, ',') AS path FROM (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY length, path) AS k FROM walk WHERE node = target) WHERE k = 1", "edges", PATHS)
 def g2_shortest_paths(s, d):
     docs = tables.table(s, d, "documents")
     pairs = docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("source")).crossJoin(docs.agg(F.count("*").alias("n"))).select("source", F.expr("(source * 7 + 40) % n").alias("target"))
-    return graph.shortest_paths(views.memory_links(s, d), pairs, 5).select("source", "target", "length")
+    paths = graph.shortest_paths(views.memory_links(s, d), pairs, 5)
+    return paths.select("source", "target", "length", F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"))
 
 
 @query("SELECT node, neighbour, link_type, direction FROM edges WHERE node % 25 = 0", "edges")
@@ -657,9 +737,50 @@ def m7_maintenance_report(s, d):
     return maintenance.run_maintenance(mem(s, d), views.access_log(s, d), views.as_of(), 15)
 
 
+MAINTAINED = f"""best AS (SELECT k.keep_id AS id, max(x.importance_score) AS i FROM keepers k JOIN memories x ON x.id = k.id WHERE k.n > 1 GROUP BY k.keep_id),
+merged AS (SELECT m.id, CASE WHEN k.id <> k.keep_id THEN 'archived' ELSE m.status END AS status, CASE WHEN k.n > 1 THEN {T} ELSE m.updated_at END AS updated_at, coalesce(b.i, m.importance_score) AS importance_score,
+    CASE WHEN b.id IS NOT NULL THEN 1 ELSE m.recency_score END AS recency_score, m.expires_at, m.valid_to, coalesce(k.id <> k.keep_id, false) AS gone FROM memories m LEFT JOIN keepers k ON k.id = m.id LEFT JOIN best b ON b.id = m.id),
+archived AS (SELECT *, status = 'active' AND updated_at < {T} - INTERVAL 15 DAYS AND importance_score < 0.3 AS old FROM merged),
+marked AS (SELECT * REPLACE (CASE WHEN old THEN 'archived' ELSE status END AS status, CASE WHEN old THEN {T} ELSE updated_at END AS updated_at), status = 'active' AND NOT old AND (coalesce(expires_at <= {T}, false) OR coalesce(valid_to <= {T}, false)) AS past FROM archived),
+retracted AS (SELECT * REPLACE (CASE WHEN past THEN 'stale' ELSE status END AS status, CASE WHEN past THEN {T} ELSE updated_at END AS updated_at), status = 'active' AND NOT past AND coalesce(expires_at < {T}, false) AS expired FROM marked),
+final AS (SELECT * REPLACE (CASE WHEN expired THEN 'retracted' ELSE status END AS status) FROM retracted)"""
+
+
+def _maintained(s, d):
+    return maintenance.maintain_counted(mem(s, d), views.access_log(s, d), views.as_of(), tables.shared_path(s, "maintained"), 15)
+
+
+@query(f"SELECT id, status, strftime(updated_at, '%Y-%m-%d %H:%M:%S') AS updated_at, importance_score, CASE WHEN status = 'active' THEN round(exp(-ln(2) * greatest(epoch({T} - updated_at) / 3600, 0) / 72), 6) ELSE recency_score END AS recency_score FROM final", "keepers", MAINTAINED)
+def m7_maintained_state(s, d):
+    return _maintained(s, d)[0].select("id", "status", day("updated_at"), "importance_score", "recency_score")
+
+
+@query(
+    f"""SELECT 'consolidate' AS job, count(*) FILTER (gone) AS affected FROM final UNION ALL SELECT 'archive_stale', count(*) FILTER (old) FROM final UNION ALL SELECT 'mark_stale', count(*) FILTER (past) FROM final
+    UNION ALL SELECT 'retract_expired', count(*) FILTER (expired) FROM final UNION ALL SELECT 'recompute_recency', count(*) FILTER (status = 'active') FROM final UNION ALL SELECT 'prune_access', count(*) FROM access_log WHERE created_at < {T} - INTERVAL 15 DAYS""",
+    "keepers access_log",
+    MAINTAINED,
+)
+def m7_chain_report(s, d):
+    return _maintained(s, d)[2]
+
+
 # Tasks
 
 
+@query("SELECT f.from_state, to_state, coalesce(ok, false) AS ok, count(*) AS n FROM task_requests CROSS JOIN (SELECT DISTINCT from_state FROM rules UNION SELECT 'completed') f LEFT JOIN (SELECT *, true AS ok FROM rules) r USING (from_state, to_state) GROUP BY ALL", "rules task_requests")
+def t1_all_transitions(s, d):
+    # each request from every state
+    states = F.explode(F.array(*map(F.lit, schemas.TASK_STATES))).alias("from_state")
+    r = views.task_requests(s, d).groupBy("to_state").agg(F.count("*").alias("n")).select(states, "to_state", "n")
+    return r.select("from_state", "to_state", tasks.is_valid_transition(F.col("from_state"), F.col("to_state")).alias("ok"), "n")
+
+
+@query("SELECT task_id, seq, to_state FROM (SELECT q.user_id AS task_id, q.event_id AS seq, t.to_state, q.ts FROM events q JOIN task_requests t ON t.seq = q.event_id WHERE t.to_state = 'failed' ORDER BY q.ts DESC, q.event_id LIMIT 50)", "task_requests")
+def f4_list_tasks(s, d):
+    return filters.list_newest(views.task_requests(s, d), "requested_at", "seq", 50, to_state="failed").select("task_id", "seq", "to_state")
+
+
 @query("SELECT to_state, ok, count(*) AS n FROM (SELECT r.to_state, EXISTS (SELECT 1 FROM rules x WHERE x.from_state = 'pending' AND x.to_state = r.to_state) AS ok FROM task_requests r) GROUP BY to_state, ok", "rules task_requests")
 def t1_valid_transitions(s, d):
     r = views.task_requests(s, d).withColumn("ok", tasks.is_valid_transition(F.lit("pending"), F.col("to_state")))
@@ -813,16 +934,68 @@ def x5_delivery_report(s, d):
 # Export and import
 
 
-@query("SELECT m.user_id, m.n, coalesce(l.n, 0) AS n_links FROM (SELECT user_id, count(*) AS n FROM memories GROUP BY user_id) m LEFT JOIN (SELECT user_id, count(*) AS n FROM (SELECT DISTINCT m.user_id, l.source_id, l.target_id, l.link_type FROM memory_links l JOIN memories m ON m.id = l.source_id OR m.id = l.target_id) GROUP BY user_id) l ON l.user_id = m.user_id", "memories memory_links")
+def _exported(s, d):
+    """Records written and read back: memories, versions, links, bad lines."""
+    path = tables.shared_path(s, "export")
+    portability.write_export(portability.export_records(mem(s, d), views.memory_links(s, d), views.as_of(), _versions(s, d), size=20), path)
+    return portability.parse_records(portability.read_export(s, path))
+
+
+OWN_LINKS = "SELECT DISTINCT m.user_id, l.source_id, l.target_id, l.link_type FROM memory_links l JOIN memories m ON m.id = l.source_id OR m.id = l.target_id"
+
+
+@query(f"SELECT m.user_id, m.n, coalesce(l.n, 0) AS n_links FROM (SELECT user_id, count(*) AS n FROM memories GROUP BY user_id) m LEFT JOIN (SELECT user_id, count(*) AS n FROM ({OWN_LINKS}) GROUP BY user_id) l ON l.user_id = m.user_id", "memories memory_links")
 def s3_export(s, d):
-    return portability.export_memories(mem(s, d), views.memory_links(s, d), views.as_of()).select("user_id", "n", "n_links")
+    records = portability.export_records(mem(s, d), views.memory_links(s, d), views.as_of())
+    sums = records.groupBy("user_id").pivot("kind", ["header", "links"]).agg(F.sum("n"))
+    return sums.select("user_id", F.col("header").alias("n"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
 
 
-@query("SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN m.status = 'active' AND m.id % 6 <> 0 THEN 'skipped' WHEN m.status = 'active' THEN 'updated' ELSE 'imported' END AS outcome FROM memories m) GROUP BY outcome", "memories")
-def s4_import(s, d):
+@query("SELECT user_id, id, memory_key, memory_type, scope, content, content_hash, status, authority_level, confidence, importance_score, version, strftime(created_at, '%Y-%m-%dT%H:%M:%S') AS created_at, id % 3 AS n_versions FROM memories", "memories")
+def s3_export_memories(s, d):
+    rows = _exported(s, d)[0]
+    return rows.select(*(c for c in rows.columns if c not in ("versions", "updated_at")), F.size("versions").cast("long").alias("n_versions"))
+
+
+@query(f"SELECT memory_id, version, content_hash, m.created_at AS created_at FROM ({VERSIONS_OF}) v JOIN (SELECT id, content_hash, strftime(created_at, '%Y-%m-%dT%H:%M:%S') AS created_at FROM memories) m ON m.id = v.memory_id", "memories")
+def s3_export_versions(s, d):
+    return _exported(s, d)[1].select("memory_id", F.col("version").cast("long").alias("version"), "content_hash", "created_at")
+
+
+@query("SELECT DISTINCT source_id, target_id, link_type FROM memory_links", "memory_links")
+def s6_export_links(s, d):
+    return _exported(s, d)[2]
+
+
+# entries without project; each fiftieth has no key
+INCOMING = "SELECT id, user_id, CASE WHEN id % 50 <> 7 THEN memory_key END AS memory_key, memory_type, scope, CASE WHEN id % 6 = 0 THEN content || ' new' ELSE content END AS content, status = 'active' AND project_id IS NULL AS known FROM memories"
+
+
+def _import(s, d, strategy):
     m = mem(s, d)
-    incoming = m.select("user_id", "memory_key", F.when(F.col("id") % 6 == 0, F.concat("content", F.lit(" new"))).otherwise(F.col("content")).alias("content"))
-    return portability.import_memories(incoming, m, "upsert")[1]
+    incoming = m.select("user_id", F.when(F.col("id") % 50 != 7, F.col("memory_key")).alias("memory_key"), "memory_type", "scope", F.when(F.col("id") % 6 == 0, F.concat("content", F.lit(" new"))).otherwise(F.col("content")).alias("content"))
+    return portability.import_memories(incoming, m.where("status = 'active'"), strategy, views.as_of())
+
+
+@query(
+    f"""SELECT 'upsert' AS strategy, count(memory_key) AS imported, 0 AS skipped, count(*) FILTER (memory_key IS NULL) AS errors FROM ({INCOMING})
+    UNION ALL SELECT strategy, count(memory_key) FILTER (NOT known), count(memory_key) FILTER (known), count(*) FILTER (memory_key IS NULL) FROM ({INCOMING}), (SELECT unnest(['overwrite', 'skip_existing']) AS strategy) GROUP BY strategy""",
+    "memories",
+)
+def s4_import(s, d):
+    parts = [_import(s, d, x)[1].select(F.lit(x).alias("strategy"), "imported", "skipped", "errors") for x in ("upsert", "overwrite", "skip_existing")]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+@query(
+    f"""SELECT m.user_id, m.memory_key, m.scope, m.project_id, CASE WHEN i.id % 6 = 0 THEN i.content ELSE m.content END AS content, CASE WHEN i.id % 6 = 0 THEN 2 ELSE 1 END AS version, CASE WHEN i.id % 6 = 0 THEN 0.5 ELSE m.importance_score END AS importance_score,
+      strftime(m.created_at, '%Y-%m-%d %H:%M:%S') AS created_at, strftime(CASE WHEN i.id IS NOT NULL THEN {T} ELSE m.updated_at END, '%Y-%m-%d %H:%M:%S') AS updated_at
+    FROM memories m LEFT JOIN (SELECT * FROM ({INCOMING}) WHERE known AND memory_key IS NOT NULL) i ON i.id = m.id WHERE m.status = 'active'
+    UNION ALL SELECT user_id, memory_key, scope, NULL, content, 1, 0.5, '2024-02-01 00:00:00', '2024-02-01 00:00:00' FROM ({INCOMING}) WHERE NOT known AND memory_key IS NOT NULL""",
+    "memories",
+)
+def s4_import_state(s, d):
+    return _import(s, d, "upsert")[0].select("user_id", "memory_key", "scope", "project_id", "content", "version", "importance_score", day("created_at"), day("updated_at"))
 
 
 @query("SELECT DISTINCT source_id + 1000000 AS source_id, target_id + 1000000 AS target_id, link_type FROM memory_links", "memory_links")
@@ -867,6 +1040,16 @@ def n1_content_hash(s, d):
     return tables.table(s, d, "documents").select(F.col("doc_id").alias("id"), scoring.content_hash(F.col("text")).alias("content_hash"))
 
 
+UUID = "substring(h, 1, 8) || '-' || substring(h, 9, 4) || '-' || substring(h, 13, 4) || '-' || substring(h, 17, 4) || '-' || substring(h, 21, 12)"
+
+
+@query("SELECT '/v1/' || source || '/{id}/links/{id}' AS label, count(*) AS n FROM documents GROUP BY source")
+def n10_path_labels(s, d):
+    h = tables.table(s, d, "documents").select("source", F.md5(F.encode(F.col("doc_id").cast("string"), "utf-8")).alias("h"))
+    path = F.concat(F.lit("/v1/"), "source", F.lit("/"), F.expr(UUID), F.lit("/links/"), F.expr(UUID))
+    return h.select(scoring.path_label(path).alias("label")).groupBy("label").agg(F.count("*").alias("n"))
+
+
 @query("SELECT user_id, substring(replace(lower(event_type || ' ' || user_id), ' ', '_'), 1, 20) AS tag, count(*) AS n FROM events GROUP BY ALL")
 def n9_tags(s, d):
     return tables.table(s, d, "events").select("user_id", scoring.tag(F.concat_ws(" ", "event_type", F.col("user_id").cast("string"))).alias("tag")).groupBy("user_id", "tag").agg(F.count("*").alias("n"))

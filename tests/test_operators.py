@@ -184,16 +184,19 @@ def test_outbox_has_all_changes(spark):
 
 
 def test_export_round_trip(spark, tmp_path):
-    cols = "id long, user_id long, memory_key string, memory_type string, scope string, content string, status string, authority_level long, confidence double, importance_score double, version int"
-    mem = spark.createDataFrame([(1, 1, "a", "semantic", "user", "x", "active", 1, 0.5, 0.5, 1), (2, 1, "b", "semantic", "user", "y", "active", 1, 0.5, 0.5, 1)], cols)
+    cols = "id long, user_id long, memory_key string, memory_type string, scope string, content string, status string, authority_level long, confidence double, importance_score double, version int, project_id long"
+    mem = spark.createDataFrame([(1, 1, "a", "semantic", "user", "x", "active", 1, 0.5, 0.5, 1, None), (2, 1, "b", "semantic", "user", "y", "active", 1, 0.5, 0.5, 1, None)], cols)
     mem = mem.withColumns({"created_at": at("2024-01-01"), "updated_at": at("2024-01-01"), "content_hash": F.sha2("content", 256)})
     links = spark.createDataFrame([(1, 2, "supports")], "source_id long, target_id long, link_type string")
-    portability.write_export(portability.export_memories(mem, links, at("2024-02-01")), str(tmp_path / "x"))
+    versions = spark.createDataFrame([(1, 1, "w"), (1, 2, "v")], "memory_id long, version int, content string")
+    portability.write_export(portability.export_records(mem, links, at("2024-02-01"), versions), str(tmp_path / "x"))
     lines = portability.read_export(spark, str(tmp_path / "x")).unionByName(spark.createDataFrame([("no json",)], "value string"))
-    back, edges, bad = portability.parse_documents(lines)
+    back, old, edges, bad = portability.parse_records(lines)
     assert back.count() == 2 and edges.count() == 1 and bad.count() == 1
-    for strategy, want in (("skip_existing", {"skipped": 2}), ("upsert", {"skipped": 2}), ("overwrite", {"overwritten": 2})):
-        assert dict(map(tuple, portability.import_memories(back.select("user_id", "memory_key", "content"), mem, strategy)[1].collect())) == want
+    assert [(r.memory_id, r.version, r.content) for r in old.orderBy("version").collect()] == [(1, 1, "w"), (1, 2, "v")]
+    for strategy, want in (("skip_existing", (0, 2, 0)), ("upsert", (2, 0, 0)), ("overwrite", (0, 2, 0))):
+        new, counts = portability.import_memories(back.select("user_id", "memory_key", "content"), mem, strategy, at("2024-02-02"))
+        assert tuple(counts.first()) == want and new.count() == 2
 
 
 def test_schemas_and_append(spark, tmp_path):
