@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,8 +71,11 @@ def near_duplicates(mem: DataFrame, threshold: float = 0.92, method: str = "exac
         u = groups.withColumn("f", array_to_vector(unit(F.col("e"))))
         far = math.sqrt(2 * (1 - threshold))
         model = BucketedRandomProjectionLSH(inputCol="f", outputCol="h", bucketLength=2 * far + 0.1, numHashTables=8, seed=3).fit(u)
-        met = model.approxSimilarityJoin(u, u, far + 1e-9).where("datasetA.user_id = datasetB.user_id and datasetA._v <= datasetB._v")
-        pairs = met.select(F.col("datasetA.user_id").alias("user_id"), *(F.col(f"dataset{s.upper()}.{c}").alias(f"{c}_{s}") for s in "ab" for c in ("_v", "e", "n"))).distinct()
+        # the user is part of the key, so no bucket holds rows of several
+        hashed = model.transform(u).select("user_id", "_v", F.posexplode(F.transform(F.col("h"), lambda x: x)).alias("_table", "_h")).withColumn("_h", vector_to_array("_h")[0])
+        key = ["user_id", "_table", "_h"]
+        met = hashed.withColumnRenamed("_v", "_v_a").join(hashed.withColumnRenamed("_v", "_v_b"), key).where("_v_a <= _v_b").select("user_id", "_v_a", "_v_b").distinct()
+        pairs = met.join(a, ["user_id", "_v_a"]).join(b, ["user_id", "_v_b"])
     else:
         pairs = a.join(b, "user_id").where("_v_a <= _v_b")
     score = scoring.cosine(F.col("e_a"), F.col("e_b"), F.col("n_a"), F.col("n_b"))

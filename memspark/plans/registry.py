@@ -816,6 +816,21 @@ def p2_mask_payload(s, d):
     return masking.mask_payload(tables.table(s, d, "events").select("event_id", "props"), "props")
 
 
+@query()
+def p2_mask_texts(s, d):
+    # payloads whose strings hold personal data
+    payload = F.to_json(F.struct("text", "lang", "n_chars"))
+    return masking.mask_payload(tables.table(s, d, "documents").select("doc_id", payload.alias("payload")), "payload", ["text"]).select("doc_id", F.sha2("payload", 256).alias("masked_hash"))
+
+
+@query()
+def s2_masked_events(s, d):
+    path = tables.shared_path(s, "events")
+    e = tables.table(s, d, "documents").select(F.col("doc_id").alias("event_id"), F.col("text").alias("content"))
+    events.append_events(e, path)
+    return s.read.parquet(path).select("event_id", F.sha2("content", 256).alias("masked_hash"))
+
+
 @query()
 def p3_masking_audit(s, d):
     docs = tables.table(s, d, "documents").select("doc_id", F.col("text").alias("original"), "text")

@@ -91,6 +91,47 @@ class _Machine(StatefulProcessor):
         pass
 
 
+class _Expiry(StatefulProcessor):
+    """Of each key the time at which its latest message expires, and a timer for it."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.due = handle.getValueState("due", "written long, due long")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        written, due = self.due.get() if self.due.exists() else (-1, -1)
+        asked = pd.concat(list(rows)).sort_values("created_at")
+        last = asked.iloc[-1]
+        micros = int(last["created_at"].value // 1000)
+        if micros >= written:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            if pd.isna(last["expires_at"]):
+                self.due.clear()
+            else:
+                due = -(-last["expires_at"].value // 1_000_000)
+                self.due.update((micros, due))
+                self.handle.registerTimer(due)
+        return iter(())
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        self.due.clear()
+        yield pd.DataFrame({"memory_key": [key[0]], "expired_at": pd.to_datetime([at], unit="ms")})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_expirations(messages: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """Messages (memory_key, created_at, expires_at) as they expire by event time (C7, M4): memory_key,
+    expired_at.  State is one time and one timer a key, and goes when the timer fires; a later message
+    of a key replaces its time, and one without expires_at stays for good.  Needs the RocksDB state
+    store."""
+    rows = messages.select("memory_key", "created_at", "expires_at").withWatermark("created_at", delay)
+    return rows.groupBy("memory_key").transformWithStateInPandas(statefulProcessor=_Expiry(), outputStructType="memory_key string, expired_at timestamp", outputMode="Append", timeMode="EventTime")
+
+
 def stream_transitions(requests: DataFrame) -> DataFrame:
     """Outcomes of a stream of requests (task_id, seq, to_state); each batch in the order of seq.
     Needs the RocksDB state store."""
