@@ -419,12 +419,15 @@ def v7_ann_search(s, d):
     return vectors.ann_search(centroids, lists, q, "vec_id", 10, 12)
 
 
-@query("SELECT a.user_id, a.id AS id_a, b.id AS id_b, round(list_cosine_similarity(a.embedding, b.embedding), 6) AS score FROM memories a JOIN memories b ON a.user_id = b.user_id AND a.id < b.id WHERE a.status = 'active' AND b.status = 'active' AND list_cosine_similarity(a.embedding, b.embedding) >= 0.92", "memories")
+NEAR = "SELECT a.user_id, a.id AS id_a, b.id AS id_b, round(list_cosine_similarity(a.embedding, b.embedding), 6) AS score FROM memories a JOIN memories b ON a.user_id = b.user_id AND a.id < b.id WHERE a.status = 'active' AND b.status = 'active' AND list_cosine_similarity(a.embedding, b.embedding) >= 0.92"
+
+
+@query(NEAR, "memories")
 def v8_near_duplicates(s, d):
     return vectors.near_duplicates(mem(s, d)).withColumn("score", F.round("score", 6))
 
 
-@query()
+@query(NEAR, "memories")
 def v8_near_duplicates_lsh(s, d):
     return vectors.near_duplicates(mem(s, d), method="lsh").withColumn("score", F.round("score", 6))
 
@@ -521,10 +524,13 @@ def s9_access_rows(s, d):
     return retrieval.access_rows(_hybrid(s, d), "retrieval", views.as_of()).withColumn("created_at", day("created_at"))
 
 
-@query()
+@query("SELECT doc_id, CAST(1 AS DOUBLE) AS norm, 16 AS dim, 1 AS vectors FROM documents")
 def e2_hash_embedding(s, d):
     v = scoring.hash_embedding(F.col("text"), 16)
-    return tables.table(s, d, "documents").select("doc_id", F.round(scoring.norm(v), 4).alias("norm"), F.size(v).alias("dim"))
+    # unit vectors, and equal texts have equal ones
+    made = tables.table(s, d, "documents").select("doc_id", "text", v.alias("v"))
+    same = made.groupBy("text").agg(F.countDistinct("v").cast("int").alias("vectors"))
+    return made.join(same, "text").select("doc_id", F.round(scoring.norm(F.col("v")), 4).alias("norm"), F.size("v").alias("dim"), "vectors")
 
 
 # Aggregations
@@ -842,6 +848,14 @@ def p5_mask_embedded(s, d):
     return masking.mask(tables.table(s, d, "documents").select("doc_id", "text"), "text", masking.EMBEDDED).select("doc_id", F.size("detections").alias("n"))
 
 
+@query()
+def f5_masking_logs(s, d):
+    # the newest audit rows of one language, by the hash of the original as time
+    docs = tables.table(s, d, "documents").select(F.col("doc_id").alias("entity_id"), F.col("text").alias("original"), "text", "lang")
+    logs = masking.mask(docs, "text").where(F.size("detections") > 0).select("entity_id", "lang", F.sha2("original", 256).alias("original_hash"))
+    return filters.list_newest(logs, "original_hash", "entity_id", 50, lang="en")
+
+
 NO_LOOK = [n for n in masking.SERVER if n != "phone"]
 
 
@@ -934,7 +948,12 @@ def x4_match_webhooks(s, d):
     return events.match_webhooks(_changes(s, d), views.webhooks(s, d)).select("seq", "event_type", "webhook_id")
 
 
-@query()
+PADDED = lambda byte: f"array_to_string(list_transform(range(1, 65), lambda i: chr(xor(CASE WHEN i <= length(k) THEN ascii(substr(k, i, 1)) ELSE 0 END, {byte}))), '')"
+OUTBOX = f"""SELECT webhook_id, event_type, body, 'secret-' || webhook_id AS k FROM (SELECT DISTINCT c.seq, c.user_id, c.event_type, w.webhook_id, '{{"user_id":' || c.user_id || ',"event_type":"' || c.event_type || '","seq":' || c.seq || '}}' AS body
+  FROM ({CHANGES}) c JOIN webhooks w ON w.user_id = c.user_id AND w.is_active AND (w.events = '*' OR list_contains(list_transform(string_split(w.events, ','), lambda x: trim(x)), c.event_type)))"""
+
+
+@query(f"SELECT webhook_id, event_type, body, sha256(encode({PADDED(0x5C)}) || unhex(sha256({PADDED(0x36)} || body))) AS signature FROM ({OUTBOX})", "chain webhooks")
 def s7_webhook_outbox(s, d):
     secrets = views.webhooks(s, d).select("webhook_id", F.concat(F.lit("secret-"), F.col("webhook_id").cast("string")).alias("secret"))
     return events.webhook_outbox(events.match_webhooks(_changes(s, d), views.webhooks(s, d)), secrets)
