@@ -1,7 +1,7 @@
 """Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text.
 
-The ordinary dictionary is trained on ordinary texts, two toxic ones on the windows of toxic texts
-that are some times, or many times, as frequent in toxic texts as in ordinary ones.  A window's
+The ordinary dictionary is trained on ordinary texts, toxic ones on the windows of toxic texts that
+are some, many or very many times as frequent in toxic texts as in ordinary ones.  A window's
 distance is by how many bytes a toxic dictionary compresses it shorter than the ordinary one does;
 a document is judged by how many of its windows reach each of several distances, for all of which
 weights and one threshold are calibrated on labelled documents outside of the dictionaries.
@@ -25,7 +25,7 @@ from .common import texts_of
 LONGEST = 48  # characters of a window; longer words are cut into windows that overlap by half
 REPEAT = 4  # a window is written so often in a frame, else it is too short to be compressed at all
 LEVELS = (2, 3, 4, 5, 6, 7)  # bytes of gain that are counted
-ODDS = (4.0, 20.0)  # how many times as frequent in toxic texts: the first and the second dictionary
+ODDS = (4.0, 20.0, 60.0)  # how many times as frequent in toxic texts: the least of each toxic dictionary
 FLOOR = 3  # toxic texts that a window must be in
 
 
@@ -118,14 +118,14 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
     return b
 
 
-def fit(toxic: list[str], ordinary: list[str], toxic_all: int, ordinary_all: int, ordinary_texts: int = 1500, ordinary_size: int = 1 << 16, toxic_size: int = 1 << 13) -> ToxicityModel:
+def fit(toxic: list[str], ordinary: list[str], toxic_all: int, ordinary_all: int, ordinary_texts: int = 2600, ordinary_size: int = 1 << 17, toxic_size: int = 1 << 13, toxic_weight: float = 2.0) -> ToxicityModel:
     """Dictionaries and calibration from labelled texts.
 
     Two thirds of each class train the dictionaries: the ordinary one up to ordinary_texts whole
     texts, each toxic one those windows of all toxic texts whose odds are in its range, one sample a
     text, so that a window weighs by the texts that it is in.  A logistic regression on the features
-    of the other third, each class weighted as in all labelled rows, makes the score a probability;
-    so what a window must gain, and how many must, is learnt and not set."""
+    of the other third, each class weighted as in all labelled rows and toxic texts toxic_weight times
+    more, makes the score; so what a window must gain, and how many must, is learnt and not set."""
     none = b"        "
     if not toxic or not ordinary:
         p = min(max(toxic_all / max(1, toxic_all + ordinary_all), 0.001), 0.999)
@@ -145,7 +145,7 @@ def fit(toxic: list[str], ordinary: list[str], toxic_all: int, ordinary_all: int
     gains = Gains(base, made)
     x = np.array([gains.features(t) for t in t_test + o_test])
     y = np.array([1.0] * len(t_test) + [0.0] * len(o_test))
-    weight = np.where(y == 1, toxic_all / len(t_test), ordinary_all / len(o_test))
+    weight = np.where(y == 1, toxic_weight * toxic_all / len(t_test), ordinary_all / len(o_test))
     b = fit_logistic(x, y, weight * len(y) / weight.sum())
     return ToxicityModel(base, made, b.tolist(), hash((base, *made)))
 
