@@ -41,7 +41,7 @@ def passages_of(item: int, text: str, window: int, stretch: int = 0) -> list[tup
     """The whole item, or from 2*window bytes on its parts of `window` bytes; if stretch > 0, also its
     parts of `stretch` bytes, so close that each verbatim stretch of 7/6 of that holds one."""
     data = normal(text)
-    if len(data) < SHORT_Q:
+    if not data:
         return []
     cut = lambda size, step: [(item, data[k : k + size]) for k in [*range(0, len(data) - size, step), len(data) - size]]
     found = [(item, data)] if len(data) <= 2 * window else cut(window, window // 2)
@@ -52,12 +52,14 @@ def grams_of(data: np.ndarray, q: int) -> np.ndarray:
     return np.ndarray((len(data) - q + 1,), f"<u{q}", data, strides=(1,)).astype(np.uint64, copy=False) if len(data) >= q else np.zeros(0, np.uint64)
 
 
-def indexes(found: list[tuple[int, bytes]], edit_share: float) -> list[Passages]:
+def indexes(found: list[tuple[int, bytes]], edit_share: float) -> list[Passages | list[tuple[int, bytes]]]:
     """Indexes of the passages by Q, and by SHORT_Q of those that could lose all their longer q-grams
-    by the edits that are allowed."""
+    by the edits that are allowed; passages of under SHORT_Q bytes, of which no edit is allowed, as
+    they are."""
     long = lambda n: n + 1 - Q * (int(n * edit_share) + 1) > 0
+    tiny, found = [x for x in found if len(x[1]) < SHORT_Q], [x for x in found if len(x[1]) >= SHORT_Q]
     parts = [(Q, [x for x in found if long(len(x[1]))]), (SHORT_Q, [x for x in found if not long(len(x[1]))])]
-    return [index(part, edit_share, q) for q, part in parts if part]
+    return [index(part, edit_share, q) for q, part in parts if part] + [tiny] * bool(tiny)
 
 
 def index(found: list[tuple[int, bytes]], edit_share: float, q: int) -> Passages:
@@ -88,8 +90,8 @@ def index(found: list[tuple[int, bytes]], edit_share: float, q: int) -> Passages
     return Passages(q, np.array([i for i, _ in found], np.int64), texts, budget, least, grams, np.append(first, len(gram)), of, place)
 
 
-def blocks(benchmark: DataFrame, edit_share: float, window: int, block_bytes: int = 1 << 22, stretch: int = 0) -> Iterator[list[Passages]]:
-    """The benchmark (item_id, text; null or under SHORT_Q bytes: never matched) in blocks of about
+def blocks(benchmark: DataFrame, edit_share: float, window: int, block_bytes: int = 1 << 22, stretch: int = 0) -> Iterator[list]:
+    """The benchmark (item_id, text; null or empty: never matched) in blocks of about
     block_bytes, whole items each, one at a time on the driver: a query set that is broadcast block
     by block."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).na.drop().distinct().orderBy("item_id", "text")
@@ -151,8 +153,8 @@ def verify(passage: bytes, budget: int, text: np.ndarray, low: int, high: int, q
 class Scanner:
     """Finds a block's passages in batches of texts."""
 
-    def __init__(self, block: list[Passages]):
-        self.parts = [_Part(p) for p in block]
+    def __init__(self, block: list):
+        self.parts = [_Part(p) if isinstance(p, Passages) else _Tiny(p) for p in block]
 
     def find(self, texts: list[bytes]) -> list[tuple[int, int, int, int, int, int]]:
         """(text, item, bytes of the passage, begin, end, edits), the best region of each passage in each
@@ -160,6 +162,38 @@ class Scanner:
         return [x for part in self.parts for x in part.find(texts)]
 
 
+class _Tiny:
+    """Passages of under SHORT_Q bytes, found by a table of all strings of their length, where they stand
+    as words of their own: no letter, digit or byte over 127 touches them."""
+
+    def __init__(self, found: list[tuple[int, bytes]]):
+        self.items: dict[int, dict[int, list[int]]] = {}  # length -> code of the bytes -> items
+        for item, text in found:
+            self.items.setdefault(len(text), {}).setdefault(int.from_bytes(text, "big"), []).append(item)
+        self.tables = {n: np.zeros(1 << (8 * n), bool) for n in self.items}
+        for n, codes in self.items.items():
+            self.tables[n][list(codes)] = True
+
+    def find(self, texts: list[bytes]) -> list[tuple[int, int, int, int, int, int]]:
+        data = np.frombuffer(GAP.join(texts) + GAP, np.uint8)
+        start = np.cumsum([0] + [len(t) + Q for t in texts])
+        edge = np.append(~((data >= 128) | (data - ord("0") < 10) | (data - ord("a") < 26)), True)
+        out = []
+        for n, table in self.tables.items():
+            codes = np.zeros(len(data) - n + 1, np.int64)
+            for k in range(n):
+                codes = codes << 8 | data[k : len(data) - n + 1 + k]
+            at = np.flatnonzero(table[codes])
+            at = at[edge[at - 1] & edge[at + n]]  # before the first byte stands the last, a gap's
+            doc = np.searchsorted(start, at, "right") - 1
+            # the first place of each string in each text
+            _, first = np.unique(doc << 24 | codes[at], return_index=True)
+            for k in first.tolist():
+                d, begin = int(doc[k]), int(at[k] - start[doc[k]])
+                out += [(d, item, n, begin, begin + n, 0) for item in self.items[n][int(codes[at[k]])]]
+        return out
+
+
 class _Part:
     def __init__(self, p: Passages, bits: int = 22):
         self.p, self.bits = p, np.uint64(64 - bits)
@@ -236,7 +270,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0.1, w
     form of the text, see `normal`), edits, passage_bytes; the longest passage, then the one with the
     fewest edits, then the first.  An item's passages are the whole item (over 2*window bytes:
     overlapping passages of `window` bytes) and all stretches of `stretch` bytes at a sixth of that; an
-    item of under SHORT_Q bytes has none.  Null and empty texts hold nothing; other columns are ignored.
+    item of under ten bytes is found where it stands as it is, and one of under four where it is a word
+    of its own.  Null and empty texts hold nothing; other columns are ignored.
     Rows of docs with null or equal doc_id have rows of their own; texts with the same item_id are
     passages of one item."""
     spark = docs.sparkSession

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -91,7 +92,7 @@ def test_short_items(spark):
     bench = spark.createDataFrame([(1, "abcdefg"), (2, "the quick brown foxy"), (3, "xy"), (4, "a b c d e f")], "item_id long, text string")
     texts = ["... abcdefg ...", "abcdef", "see the quack brwn foxy run", "see the quack brxn fexy run", "xy", "so A  b\nc d e f", None, ""]
     got = d.find_leaks(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), bench).collect()
-    assert sorted((r.doc_id, r.item_id, r.edits) for r in got) == [(0, 1, 0), (2, 2, 2), (5, 4, 0)]
+    assert sorted((r.doc_id, r.item_id, r.edits) for r in got) == [(0, 1, 0), (2, 2, 2), (4, 3, 0), (5, 4, 0)]
 
 
 def test_an_item_with_several_texts_is_one(spark):
@@ -105,3 +106,19 @@ def test_an_item_with_several_texts_is_one(spark):
     finally:
         d.blocks = original
     assert sorted((str(r.doc_id), r.item_id) for r in got) == [("3", 7), ("3", 7), ("None", 7)]
+
+
+def test_items_of_few_bytes(spark):
+    bench = spark.createDataFrame([(1, "xyz"), (2, " Q "), (3, "é"), (4, "xyz"), (5, ""), (6, None), (7, "a  b"), (8, "wxyz")], "item_id long, text string")
+    docs = [(10, "some wXYZ here"), (11, "q"), (12, "caf\u00c9 a\tb é."), (13, "xy z"), (14, None), (15, ""), (16, "xy"), (17, "z"), (None, "abxyz (xyz) q2 xyz"), (18, "caf\u00c9 qz 4q"), (19, "ab:xyz")]
+    got = sorted(((r.doc_id, r.item_id, r.begin, r.end, r.edits, r.passage_bytes) for r in d.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()), key=repr)
+    want = []
+    for doc, text in docs:
+        data = d.normal(text or "")
+        for item, passage in ((1, b"xyz"), (2, b"q"), (3, "é".encode()), (4, b"xyz"), (7, b"a b"), (8, b"wxyz")):
+            found = re.search(rb"(?<![0-9a-z\x80-\xff])" + passage + rb"(?![0-9a-z\x80-\xff])" if len(passage) < 4 else passage, data)
+            if found:
+                want.append((doc, item, found.start(), found.end(), 0, len(passage)))
+    assert got == sorted(want, key=repr) and len(got) >= 8
+    kept = {r.doc_id for r in d.drop_leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert kept == {13, 14, 15, 16, 17, 18}
