@@ -77,6 +77,30 @@ def read_shard(blob: bytes):
     return np.concatenate(parts), np.frombuffer(docs, "<i8", n_docs), np.frombuffer(docs, np.uint8, n_docs, 8 * n_docs), np.frombuffer(docs, "<i8", n_docs, 9 * n_docs)
 
 
+def documents_of(blob: bytes):
+    """(doc_ids, has_id, counts) of a file, without its ids."""
+    _, _, _, _, _, n_docs, _ = HEAD.unpack_from(blob)
+    _, docs_at = struct.unpack("<QQ", blob[-16:])
+    docs = zstandard.ZstdDecompressor().decompress(blob[docs_at:-16])
+    return np.frombuffer(docs, "<i8", n_docs), np.frombuffer(docs, np.uint8, n_docs, 8 * n_docs), np.frombuffer(docs, "<i8", n_docs, 9 * n_docs)
+
+
+def read_span(blob: bytes, start: int, n: int) -> np.ndarray:
+    """The ids start .. start+n of a file: by the chunk index, only the blocks that hold them are opened."""
+    magic, bits, n_planes, _, block, _, total = HEAD.unpack_from(blob)
+    if magic != MAGIC:
+        raise ValueError("not a plane file")
+    at, docs_at = struct.unpack("<QQ", blob[-16:])
+    index = np.frombuffer(blob, "<u8", (docs_at - at) // 8, at).reshape(-1, n_planes, 2)
+    open_ = zstandard.ZstdDecompressor()
+    first, last = start // block, -(-(start + n) // block)
+    parts = [np.zeros(0, "<u4")]
+    for k in range(first, last):
+        planes = [open_.decompress(blob[a : a + size]) if size else None for a, size in index[k].tolist()]
+        parts.append(from_planes(planes, min(block, total - k * block), bool(bits)))
+    return np.concatenate(parts)[start - first * block :][:n]
+
+
 def write_ids(docs: DataFrame, tokenizer: str, end_id: int, shard_ids: int = 1 << 19, block: int = 65536, bits: bool = False) -> DataFrame:
     """Encode docs (doc_id long, text string; other columns are ignored) and write the ids in
     ascending doc_id order (null first; equal doc_ids by text) as files of about shard_ids ids
@@ -139,3 +163,28 @@ def read_ids(files: DataFrame) -> DataFrame:
     starts = index.withColumn("in_part", earlier).join(parts, "part").select("part", "shard", (F.col("in_part") + F.col("part_start")).alias("file_start"))
     spans = files.select("part", "shard", "blob").mapInArrow(decode, SPANS)
     return spans.join(starts, ["part", "shard"]).select("doc_id", (F.col("file_start") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def read_documents(files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The ids of the documents of wanted (doc_id): doc_id, ids.  Of each file the table of documents is
+    read, and of its ids only the blocks that hold wanted documents.  Documents with a null id aren't
+    found; equal doc_ids are documents of their own, each a row."""
+
+    def spans(batches):
+        for batch in batches:
+            for part, shard, blob in zip(*(c.to_pylist() for c in batch.columns)):
+                doc, has, counts = documents_of(blob)
+                n = len(doc)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, shard, np.int32)), pa.array(doc, pa.int64(), mask=has == 0), pa.array(np.cumsum(counts) - counts), pa.array(counts)], ["part", "shard", "doc_id", "begin", "n"])
+
+    def decode(batches):
+        for batch in batches:
+            for blob, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rows = [(x["doc_id"], read_span(blob, x["begin"], x["n"]).astype(np.int64).tolist()) for x in asked]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], ["doc_id", "ids"])
+
+    found = files.select("part", "shard", "blob").mapInArrow(spans, "part int, shard int, doc_id long, begin long, n long")
+    found = found.join(wanted.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    # at most the documents of one file
+    asked = found.groupBy("part", "shard").agg(F.collect_list(F.struct("doc_id", "begin", "n")).alias("asked"))
+    return files.join(asked, ["part", "shard"]).select("blob", "asked").mapInArrow(decode, "doc_id long, ids array<long>")

@@ -177,3 +177,19 @@ def test_empty_tables(spark):
     assert token_files.read_ids(token_files.write_ids(none, BYTE, 2)).count() == 0
     assert packing.pack(none, WORD, 2).count() == 0
     assert token_counts.token_counts(none, BYTE).count() == 0
+
+
+@pytest.mark.parametrize("bits", [False, True])
+def test_index_opens_only_what_is_wanted(spark, texts, bits):
+    ids = np.arange(5000, dtype=np.uint32) * 7919 % 50000
+    blob = bytearray(token_files.write_shard(ids, np.arange(3), np.ones(3, np.uint8), np.array([10, 4000, 990]), block=512, bits=bits))
+    assert token_files.read_span(bytes(blob), 0, 5000).tolist() == ids.tolist()
+    blob[token_files.HEAD.size : token_files.HEAD.size + 60] = bytes(60)  # the first block's planes can't be read any more
+    assert token_files.read_span(bytes(blob), 3000, 700).tolist() == ids[3000:3700].tolist() and token_files.read_span(bytes(blob), 4999, 1).tolist() == [int(ids[-1])]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    files = token_files.write_ids(df, BYTE, 2, shard_ids=500, block=64, bits=bits)
+    wanted = spark.createDataFrame([(1003,), (1013,), (2000,), (None,), (77777,), (1003,)], "doc_id long")
+    whole = Tokenizer.from_file(BYTE)
+    want = sorted([d, [*whole.encode(t or "", add_special_tokens=False).ids, 2]] for d, t in texts if d in (1003, 1013, 2000))
+    assert sorted([r.doc_id, r.ids] for r in token_files.read_documents(files, wanted).collect()) == want
+    assert token_files.read_documents(files, wanted.where("false")).count() == 0
