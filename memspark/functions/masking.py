@@ -129,7 +129,8 @@ def masking_audit(masked: DataFrame, original: str, entity_type: str, entity_id:
 
 
 def pii_counts(df: DataFrame, column: str, patterns: dict[str, tuple[str, str]] = SERVER) -> DataFrame:
-    """Matches of each pattern over a whole column, one pass, natively."""
-    sums = [F.coalesce(F.sum(F.regexp_count(column, F.lit(p))), F.lit(0)).alias(name) for name, (p, _) in patterns.items()]
+    """Matches of each pattern over a whole column, one pass, natively (P7); classes and boundaries are
+    those of all letters and digits, as in Python."""
+    sums = [F.coalesce(F.sum(F.regexp_count(column, F.lit("(?U)" + p))), F.lit(0)).alias(name) for name, (p, _) in patterns.items()]
     one = df.agg(*sums)
     return one.select(F.explode(F.array(*(F.struct(F.lit(n).alias("pattern"), F.col(n).cast("long").alias("matches")) for n in patterns))).alias("x")).select("x.*")

@@ -1,6 +1,7 @@
 """Expiry by timers, masking before appends, transitions: against batches and loops."""
 
 import random
+import re
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -81,3 +82,13 @@ def test_lsh_recall_within_users(spark, sf):
     exact = pairs(vectors.near_duplicates(df))
     found = pairs(vectors.near_duplicates(df, method="lsh"))
     assert found <= exact and len(found) >= 0.9 * len(exact) > 100
+
+
+def test_counts_equal_plain_python(spark, sf):
+    docs = tables.table(spark, sf, "documents")
+    odd = ["é123-45-6789 123-45-6789é", "٣٣٣-٢٢-١١١١ 333-22-1111", "call (555) 123-4567, 5551234567 or 15551234567.", "DOB : 1/2/1990 born on 2001-02-03", None, ""]
+    every = docs.select("text").unionByName(spark.createDataFrame([(t,) for t in odd], "text string"))
+    texts = [r.text or "" for r in every.collect()]
+    for patterns in (masking.SERVER, masking.EMBEDDED):
+        got = dict(map(tuple, masking.pii_counts(every, "text", patterns).collect()))
+        assert got == {name: sum(len(list(re.finditer(p, t))) for t in texts) for name, (p, _) in patterns.items()}
