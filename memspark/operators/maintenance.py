@@ -68,7 +68,8 @@ JOBS = ("consolidate", "archive_stale", "mark_stale", "retract_expired", "recomp
 def maintain_counted(mem: DataFrame, log: DataFrame, as_of: Column, path: str, days: int = 90) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(state', access log', report) of maintain() (M7): each job runs on the state that the one before
     left, and is counted while that state is computed, by observed metrics; the two tables are written
-    to `path`, one pass each.  report: job, affected."""
+    to `path`, one pass each.  The metrics are observed in the stage that writes, of which each task
+    counts once, however often it was tried.  report: job, affected."""
     seen, pruned = Observation(), Observation()
     count = lambda test, job: F.count_if(F.coalesce(test, F.lit(False))).alias(job)
     before = mem.withColumn("_before", F.col("status"))

@@ -294,6 +294,12 @@ def u10_create_links(s, d):
     return upsert.create_links(mem(s, d), edges)[0].select("source_id", "target_id", "link_type")
 
 
+@query("SELECT source_id, target_id + 1000000000 AS target_id, link_type FROM memory_links WHERE source_id % 4 = 0", "memory_links")
+def u10_rejected_links(s, d):
+    edges = views.memory_links(s, d).withColumn("target_id", F.col("target_id") + F.when(F.col("source_id") % 4 == 0, 1_000_000_000).otherwise(0))
+    return upsert.create_links(mem(s, d), edges)[1].select("source_id", "target_id", "link_type")
+
+
 @query()
 def u11_enrich(s, d):
     return upsert.enrich(mem(s, d).select("id", "content"), 16).select("id", "content", "content_hash", F.size("embedding").alias("dim"))
