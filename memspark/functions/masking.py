@@ -7,6 +7,7 @@ import re
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +35,7 @@ LOOSE = {
     "server": r"(?U)@|\d{3}[-–]\d{2}|\d{4}[-– ]?\d{4}|\d{3}\)?[-.\s\x1c-\x1f]?\d{3}|\d\.\d|[A-Z]\d{8}|\d[/\-]\d",
     "embedded": r"(?U)@|\d{3}|\d[ -]+\d|\d\.\d|\d[/\-]\d",
 }
+SLICE = 64  # payloads that are decoded at once
 FOUND = "struct<masked:string, detections:array<struct<pattern:string, begin:int, end:int>>>"
 
 
@@ -98,8 +100,8 @@ def mask(df: DataFrame, column: str, patterns: dict[str, tuple[str, str]] = SERV
 def mask_payload(df: DataFrame, column: str, fields: list[str] | None = None, patterns: dict[str, tuple[str, str]] = SERVER) -> DataFrame:
     """Top-level string values of a JSON object masked, all or those of `fields`."""
 
-    @F.pandas_udf("string")
-    def run(payloads: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def run(payloads: pa.Array) -> pa.Array:
         one = masker(patterns)
 
         def each(raw):
@@ -111,7 +113,9 @@ def mask_payload(df: DataFrame, column: str, fields: list[str] | None = None, pa
                 return raw
             return json.dumps({k: one(v)[0] if isinstance(v, str) and (fields is None or k in fields) else v for k, v in data.items()}, ensure_ascii=False)
 
-        return payloads.map(each)
+        # a few payloads at a time are Python objects, whatever the size of a batch
+        parts = [pa.array(map(each, payloads.slice(k, SLICE).to_pylist()), pa.string()) for k in range(0, len(payloads), SLICE)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
     return df.withColumn(column, run(column))
 
