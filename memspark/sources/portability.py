@@ -23,11 +23,14 @@ def _stamp(column: str) -> Column:
     return F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss").alias(column)
 
 
-def _parts(rows: DataFrame, order: list, item: Column, name: str, size: int) -> DataFrame:
-    """Records of `size` items at most of a user: user_id, part, n, items.  Rows are dealt by range of
-    (user, order), and neighbours within a task share a part."""
-    number = F.monotonically_increasing_id()
-    placed = rows.repartitionByRange("user_id", *order).sortWithinPartitions("user_id", *order).withColumn("_n", number)
+def _placed(rows: DataFrame, order: list) -> DataFrame:
+    """rows numbered (_n) in ranges of (user, order)."""
+    return rows.repartitionByRange("user_id", *order).sortWithinPartitions("user_id", *order).withColumn("_n", F.monotonically_increasing_id())
+
+
+def _parts(placed: DataFrame, item: Column, name: str, size: int) -> DataFrame:
+    """Records of `size` items at most of a user: user_id, part, n, items; neighbours of _placed share
+    a part."""
     part = placed.groupBy("user_id", F.floor(F.col("_n") / size).alias("part")).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("_n", item.alias("x")))).alias("x"))
     return part.select("user_id", "part", "n", F.transform("x", lambda x: x["x"]).alias(name))
 
@@ -38,6 +41,9 @@ def export_records(mem: DataFrame, links: DataFrame, as_of: Column, versions: Da
     are all that touch its memories, whoever owns their other end."""
     rows = mem if status is None else mem.where(F.col("status").isin(*status))
     rows = rows if types is None else rows.where(F.col("memory_type").isin(*types))
+    own = rows.select("user_id", "id")
+    # only ids are dealt by range; their numbers are joined to the texts
+    places = _placed(rows.select("user_id", "created_at", "id"), ["created_at", "id"]).select("id", "_n")
     old = F.array().cast(f"array<struct<{VERSION.replace(' ', ':').replace(',:', ',')}>>")
     if versions is not None:
         fields = [F.col(c.split()[0]) if c.split()[0] in versions.columns else F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in VERSION.split(", ")]
@@ -47,12 +53,11 @@ def export_records(mem: DataFrame, links: DataFrame, as_of: Column, versions: Da
         old = F.coalesce("_versions", old)
     names = ["id", "memory_key", "memory_type", "scope", "content", "content_hash", "status", "authority_level", "confidence", "importance_score", "version"]
     item = F.struct(*names, _stamp("created_at"), _stamp("updated_at"), old.alias("versions"))
-    parts = _parts(rows, ["created_at", "id"], item, "memories", size)
-    own = rows.select("user_id", "id")
+    parts = _parts(rows.join(places, "id"), item, "memories", size)
     ends = [links.join(own.withColumnRenamed("id", c), c).select("user_id", "source_id", "target_id", "link_type") for c in ("source_id", "target_id")]
     touching = ends[0].unionByName(ends[1]).distinct()
-    edges = _parts(touching, ["source_id", "target_id", "link_type"], F.struct("source_id", "target_id", "link_type"), "links", size)
-    sums = rows.groupBy("user_id").agg(F.count("*").alias("n"))
+    edges = _parts(_placed(touching, ["source_id", "target_id", "link_type"]), F.struct("source_id", "target_id", "link_type"), "links", size)
+    sums = own.groupBy("user_id").agg(F.count("*").alias("n"))
     head = F.struct(F.lit("header").alias("kind"), "user_id", F.lit("1.0").alias("export_version"), F.date_format(as_of, "yyyy-MM-dd'T'HH:mm:ss").alias("exported_at"), F.col("n").alias("memory_count"))
     record = lambda df, kind: df.select("user_id", F.lit(kind).alias("kind"), "part", "n", F.to_json(F.struct(F.lit(kind).alias("kind"), "user_id", "part", kind)).alias("value"))
     headers = sums.select("user_id", F.lit("header").alias("kind"), F.lit(0).cast("long").alias("part"), "n", F.to_json(head).alias("value"))
