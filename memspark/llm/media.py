@@ -21,7 +21,7 @@ IMA_MOVES = np.array([-1, -1, -1, -1, 2, 4, 6, 8] * 2, np.int32)
 UNIT = 576  # bytes of a stored unit: 576 samples of G.711, the nibbles of one ADPCM block
 BLOCK_HEAD = 4  # bytes before the nibbles of an ADPCM block: first sample, step index, 0
 MEDIA = "doc_id long, n_bytes long, codec int, media binary"
-FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_bytes long, pcm_sha256 string"
+FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_bytes long, pcm_sha256 string, pcm binary"
 
 
 def mu_law_table() -> np.ndarray:
@@ -157,8 +157,9 @@ def decode_media(media: DataFrame) -> DataFrame:
 
 def media_features(media: DataFrame) -> DataFrame:
     """The digest of stored media, all of it from the stored bytes: the payload read back and its
-    hashes, those of the file, and a feature string (codec, sample count, peak, mean square in
-    integer arithmetic, zero crossings, after decoding and resampling)."""
+    hashes, those of the file, a feature string (codec, sample count, peak, mean square in integer
+    arithmetic, zero crossings, after decoding and resampling), and the PCM that it is of, as
+    decode_media gives it: little-endian int16 samples at twice the stored rate."""
     names = {MU_LAW: "mulaw", A_LAW: "alaw", IMA: "ima"}
 
     def run(batches):
@@ -178,9 +179,9 @@ def media_features(media: DataFrame) -> DataFrame:
                     crossings = int(np.count_nonzero((pcm[1:] < 0) != (pcm[:-1] < 0)))
                     feature = f"{names[codec]};n={len(pcm)};peak={int(np.abs(wide).max(initial=0))};ms={mean_square};zc={crossings}"
                     raw = pcm.astype("<i2").tobytes()
-                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(w), hashlib.sha256(w).hexdigest(), feature, len(raw), hashlib.sha256(raw).hexdigest()))
+                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(w), hashlib.sha256(w).hexdigest(), feature, len(raw), hashlib.sha256(raw).hexdigest(), raw))
                 columns = list(zip(*rows))
-                kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
+                kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([doc.slice(a, b - a), n_bytes.slice(a, b - a), *(pa.array(c, k) for c, k in zip(columns, kinds))], [x.split()[0] for x in FEATURES.split(", ")])
 
     return media.select("doc_id", "n_bytes", "codec", "media").mapInArrow(run, FEATURES)

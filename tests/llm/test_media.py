@@ -25,6 +25,15 @@ def test_round_trip(spark):
     assert all(hashlib.sha256(r.media).hexdigest() == by[r.doc_id].media_sha256 and hashlib.sha256(r.pcm).hexdigest() == by[r.doc_id].pcm_sha256 for r in stored)
 
 
+def test_features_come_with_their_pcm(spark):
+    df = spark.createDataFrame([(k, "x" * (k * 300) + "é") for k in range(9)], "doc_id long, text string")
+    stored = media.store_media(df)
+    pcm = {r.doc_id: bytes(r.pcm) for r in media.decode_media(stored).collect()}
+    got = media.media_features(stored).collect()
+    assert {r.doc_id: bytes(r.pcm) for r in got} == pcm and len({r.feature.split(";")[0] for r in got}) > 1
+    assert all(r.pcm_bytes == len(r.pcm) and f"n={len(r.pcm) // 2};" in r.feature for r in got)
+
+
 def test_tables():
     mu, a = media.TABLES[media.MU_LAW], media.TABLES[media.A_LAW]
     assert (mu[0], mu[0x80], mu[0xFF], mu[0x7F]) == (-32124, 32124, 0, 0)
