@@ -273,8 +273,8 @@ def item_sets(docs: DataFrame, wanted: DataFrame, words: int, bits: int = 1 << 2
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], items], ["doc_id", "row", "items"])
 
     found = docs.select("doc_id", "row", "text").where("doc_id is not null").mapInArrow(tidy(sets), "doc_id long, row long, items binary")
-    # equal rows of docs have equal sets
-    return written(found.join(wanted, ["doc_id", "row"]).select("node", "items").dropDuplicates(["node"]), "items")
+    # equal rows of docs have equal sets; they meet by the keys of the join, so sets are shuffled once
+    return written(found.dropDuplicates(["doc_id", "row"]).join(wanted, ["doc_id", "row"]).select("node", "items"), "items")
 
 
 def verified(items: DataFrame, pairs: DataFrame, percent: int, block: int = 128) -> DataFrame:
