@@ -30,8 +30,9 @@ def _placed(rows: DataFrame, order: list) -> DataFrame:
 
 def _parts(placed: DataFrame, item: Column, name: str, size: int) -> DataFrame:
     """Records of `size` items at most of a user: user_id, part, n, items; neighbours of _placed share
-    a part."""
-    part = placed.groupBy("user_id", F.floor(F.col("_n") / size).alias("part")).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("_n", item.alias("x")))).alias("x"))
+    a part.  They lie in ranges of (user, part), by which they are also grouped: one shuffle of the items."""
+    ranged = placed.withColumn("part", F.floor(F.col("_n") / size)).repartitionByRange("user_id", "part")
+    part = ranged.groupBy("user_id", "part").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("_n", item.alias("x")))).alias("x"))
     return part.select("user_id", "part", "n", F.transform("x", lambda x: x["x"]).alias(name))
 
 
@@ -57,7 +58,7 @@ def export_records(mem: DataFrame, links: DataFrame, as_of: Column, versions: Da
     ends = [links.join(own.withColumnRenamed("id", c), c).select("user_id", "source_id", "target_id", "link_type") for c in ("source_id", "target_id")]
     touching = ends[0].unionByName(ends[1]).distinct()
     edges = _parts(_placed(touching, ["source_id", "target_id", "link_type"]), F.struct("source_id", "target_id", "link_type"), "links", size)
-    sums = own.groupBy("user_id").agg(F.count("*").alias("n"))
+    sums = own.groupBy("user_id").agg(F.count("*").alias("n")).repartitionByRange("user_id")
     head = F.struct(F.lit("header").alias("kind"), "user_id", F.lit("1.0").alias("export_version"), F.date_format(as_of, "yyyy-MM-dd'T'HH:mm:ss").alias("exported_at"), F.col("n").alias("memory_count"))
     record = lambda df, kind: df.select("user_id", F.lit(kind).alias("kind"), "part", "n", F.to_json(F.struct(F.lit(kind).alias("kind"), "user_id", "part", kind)).alias("value"))
     headers = sums.select("user_id", F.lit("header").alias("kind"), F.lit(0).cast("long").alias("part"), "n", F.to_json(head).alias("value"))
@@ -65,9 +66,9 @@ def export_records(mem: DataFrame, links: DataFrame, as_of: Column, versions: Da
 
 
 def write_export(records: DataFrame, path: str) -> None:
-    """One JSON line a record (S6), in ranges of users, so that a file holds many users or a part of one."""
-    ordered = records.repartitionByRange("user_id", "kind", "part").sortWithinPartitions("user_id", "kind", "part")
-    ordered.select("value").write.mode("overwrite").text(path)
+    """One JSON line a record (S6), written where export_records leaves it: a file holds one kind, of
+    many users or of a part of one."""
+    records.sortWithinPartitions("user_id", "kind", "part").select("value").write.mode("overwrite").text(path)
 
 
 def read_export(spark, path: str) -> DataFrame:
