@@ -10,6 +10,7 @@ weights and one threshold are calibrated on labelled documents outside of the di
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
 from dataclasses import dataclass
 
@@ -39,7 +40,7 @@ class ToxicityModel:
 
 def windows(text: str) -> list[str]:
     words = text.lower().split()
-    if any(len(w) > LONGEST for w in words):
+    if max(map(len, words), default=0) > LONGEST:
         step = LONGEST // 2
         words = [w[k : k + LONGEST] for w in words for k in (range(0, len(w) - step, step) if len(w) > LONGEST else (0,))]
     return words
@@ -64,26 +65,31 @@ def dictionary(samples: list[bytes], size: int, k: int) -> bytes:
 
 
 class Gains(dict):
-    """Window -> for each toxic dictionary, the bytes that it saves against the ordinary one."""
+    """Window -> its number; gain has, for each number and toxic dictionary, the bytes that the
+    dictionary saves against the ordinary one.  Each distinct window is compressed once."""
 
     def __init__(self, ordinary: bytes, toxic: list[bytes], most: int = 1_000_000):
         super().__init__()
         self.ordinary, self.toxic, self.most = compressor(ordinary), [compressor(t) for t in toxic], most
+        self.gain = array("i")
 
-    def __missing__(self, window: str) -> tuple[int, ...]:
-        if len(self) >= self.most:
-            self.clear()
+    def __missing__(self, window: str) -> int:
         data = frame(window)
         plain = len(self.ordinary(data))
-        gain = tuple([plain - len(c(data)) for c in self.toxic])
-        self[window] = gain
-        return gain
+        self.gain.extend([plain - len(c(data)) for c in self.toxic])
+        self[window] = number = len(self)
+        return number
 
     def features(self, text: str) -> np.ndarray:
         """One, for each dictionary and level how many windows gain so much (as a logarithm, and for each
         20 windows), and the logarithm of the number of windows."""
+        if len(self) >= self.most:  # between texts, so that a text's numbers stay
+            self.clear()
+            self.gain = array("i")
         words = windows(text)
-        gain = np.array([self[w] for w in words]).reshape(len(words), len(self.toxic))
+        numbers = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        gain = np.frombuffer(self.gain, np.intc).reshape(-1, len(self.toxic))[numbers] if words else np.zeros((0, len(self.toxic)), np.intc)
+        gain = gain[gain.max(axis=1, initial=0) >= LEVELS[0]]  # few windows gain anything
         count = (gain[:, :, None] >= np.array(LEVELS)).sum(0).ravel()
         return np.concatenate([[1.0], np.log1p(count), count * (20 / max(20, len(words))), [math.log1p(len(words))]])
 

@@ -116,3 +116,11 @@ def test_windows():
 def test_empty_scores(spark, n):
     m = toxicity.fit([], [], 0, n)
     assert toxicity.score(spark.createDataFrame([], "doc_id long, text string"), m).count() == 0
+
+
+def test_gains_of_a_small_cache():
+    m = toxicity.fit(["you bad thing %d" % (k % 3) for k in range(40)], ["a fine day %d" % (k % 5) for k in range(90)], 40, 90)
+    large, small = (toxicity.Gains(m.ordinary, m.toxic, most=n) for n in (1000, 2))
+    for text in ["you bad fine thing", "", "day bad day", "x" * 120 + " bad"] * 2:
+        assert large.features(text).tolist() == small.features(text).tolist()
+        assert len(small) <= 2 + len(set(toxicity.windows(text)))
