@@ -4,7 +4,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from memspark.functions import scoring
-from memspark.operators import blocks
+from memspark.operators import blocks, retrieval
+from memspark.plans import registry
+from memspark.sources import views
 
 V = [[1.0, 0.0], [0.6, 0.8], [0.6, 0.8], [0.0, 0.0], None, [1.0], [-1.0, 0.1], [None, 1.0], [float("nan"), 1.0], [1e200, 1e200], []]
 
@@ -47,3 +49,32 @@ def test_worded_is_the_join(spark):
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     plan = lambda df: sorted(map(tuple, df.where("score > 0").withColumn("n", F.row_number().over(order)).where("n <= 3").select("query_id", "id", "score", "n").collect()))
     assert plan(blocks.worded(rows, q, "user_id", "id", 3, n_rows=7, n_queries=2)) == plan(rows.join(q, "user_id").withColumn("score", score)) != []
+
+
+def test_full_text_sends_the_words_to_the_texts(spark, sf, monkeypatch):
+    m = views.memories(spark, sf, embedding=False)
+    q = spark.createDataFrame([(k, k, "und der the of", [1.0] * 64, 5) for k in range(8)], "query_id long, user_id long, query_text string, query_embedding array<float>, top_k int")
+    seen, settled = [], retrieval.settled
+    monkeypatch.setattr(retrieval, "settled", lambda df: seen.append(df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().sparkPlan().toString()) or settled(df))
+    monkeypatch.setattr(registry, "_with_text", lambda s, d: q)
+    monkeypatch.setattr(views, "queries", lambda s, d: q)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        registry.v9_fused_search(spark, sf)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    # tokens of texts are filtered before any shuffle, and the texts aren't joined with vectors
+    read = [plan for plan in seen if "Generate explode" in plan and "content" in plan]
+    assert read and all("BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "embedding" not in plan for plan in read)
+    few, many = (sorted(map(tuple, retrieval.fulltext_hits(m, q, lookup).collect())) for lookup in (0, 500_000))
+    assert few == many != []
+
+
+def test_memories_of_equal_words_tie(spark):
+    words = [f"w{k}" for k in range(9)]
+    rows = [(1, n, " ".join(words[(k + n) % 9] for k in range(9)), "active") for n in range(300)]
+    rows += [(1, 1000 + k, " ".join(words[:k]), "active") for k in range(9)]
+    m = spark.createDataFrame(rows, "user_id long, id long, content string, status string").repartition(7, "id")
+    q = spark.createDataFrame([(1, 1, " ".join(words))], "query_id long, user_id long, query_text string")
+    assert retrieval.fulltext_hits(m, q).where("id < 300").select("_text").distinct().count() == 1
