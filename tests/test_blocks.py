@@ -1,7 +1,10 @@
 """Scoring in blocks against plain joins."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from memspark.functions import scoring
 from memspark.operators import blocks, retrieval
@@ -32,6 +35,31 @@ def test_blocks_leave_few_rows_of_each_query(spark):
     assert blocks.nearest(rows, q, "user_id", "id").count() == 2
 
 
+def test_floor_leaves_the_nearest(spark):
+    random = np.random.default_rng(1)
+    s = random.integers(-60, 60, (40, 3_000)).astype(np.float32)
+    s[:5], s[5:9, :2_990], s[9, 256::256] = -np.inf, -np.inf, 99
+    for width, n in ((3_000, 1), (3_000, 10), (3_000, 200), (2_999, 128), (600, 7), (300, 10), (5, 5)):
+        bound, exact = blocks.floor(s[:, :width], n), np.sort(s[:, :width], axis=1)[:, width - n]
+        assert (bound <= exact).all() and ((s[:, :width] >= bound[:, None]).sum(axis=1) >= n).all()
+
+
+def test_nearest_of_wide_blocks_is_the_join(spark):
+    rows = made(spark, 3_000, "id").withColumn("_vector", F.when(F.col("id") >= 40, F.array(F.sin("id"), F.cos(F.col("id") * 7))).otherwise(F.col("_vector")))
+    q = made(spark, 30, "query_id").where("_vector is not null").withColumn("_limit", (F.col("query_id") % 4 + 1).cast("int"))
+    every = rows.join(q.withColumnRenamed("_vector", "_w"), "user_id").withColumn("score", scoring.cosine(F.col("_vector"), F.col("_w")))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    plan = lambda df: [tuple(map(str, r)) for r in df.withColumn("n", F.row_number().over(order)).where("n <= _limit").select("query_id", "n", "id", "score").orderBy("query_id", "n").collect()]
+    got = blocks.nearest(rows, q, "user_id", "id").join(q.select("query_id", "_limit"), "query_id")
+    assert plan(got) == plan(every)
+
+
+def test_rows_are_sent_once_to_some_thousand_queries(spark):
+    rows, q = spark.range(10).selectExpr("0L as k", "id"), spark.range(6_000).selectExpr("0L as k", "id as query_id")
+    count = lambda left, right: pa.table({"n": pa.array([len(left)], pa.int64())})
+    assert blocks.blocked(rows, q, "k", "id", "query_id", count, StructType.fromDDL("n long")).agg(F.sum("n")).first()[0] == 10
+
+
 def test_similar_is_the_join(spark):
     rows = made(spark, 90, "id")
     a, b = (rows.select("user_id", F.col("id").alias(n), F.col("_vector").alias("v" + n)) for n in "ab")
