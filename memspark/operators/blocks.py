@@ -24,22 +24,28 @@ NEAR = 1e-5  # more than the error of a float32 cosine
 BLANK = re.compile(r"[ \t\n\x0b\f\r]+")  # \s of Spark's regular expressions
 
 
-def blocked(rows: DataFrame, queries: DataFrame, key: str, row_id: str, query_id: str, fn: Callable, schema: StructType, n_rows: int = ROWS, n_queries: int = QUERIES) -> DataFrame:
-    """fn(rows, queries) of Arrow tables for each pair of a part of rows and a part of queries of a key."""
+def dealt(rows: DataFrame, queries: DataFrame, keys: list[str], row_id: list[str], query_id: list[str], n_rows: int = ROWS, n_queries: int = QUERIES) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the part of rows (_r) and of queries (_q) in which they meet: a row goes to each
+    part of its key's queries, a query to each part of its key's rows, so each pair meets once."""
 
     def parts(df: DataFrame, size: int, name: str) -> DataFrame:
         # only keys of several parts, which are fewer than rows / size
-        return F.broadcast(df.groupBy(key).agg(F.ceil(F.count("*") / size).cast("int").alias(name)).where(F.col(name) > 1))
+        return F.broadcast(df.groupBy(*keys).agg(F.ceil(F.count("*") / size).cast("int").alias(name)).where(F.col(name) > 1))
 
     of_rows, of_queries = parts(rows, n_rows, "_rows"), parts(queries, n_queries, "_queries")
 
-    def dealt(df: DataFrame, ident: str, own: tuple[str, str], other: tuple[str, str]) -> DataFrame:
+    def placed(df: DataFrame, ident: list[str], own: tuple[str, str], other: tuple[str, str]) -> DataFrame:
         n = lambda c: F.coalesce(c, F.lit(1))
-        placed = df.join(of_rows, key, "left").join(of_queries, key, "left")
-        return placed.withColumns({own[1]: F.pmod(F.xxhash64(ident), n(own[0])).cast("int"), other[1]: F.explode(F.sequence(F.lit(0), n(other[0]) - 1))}).drop("_rows", "_queries")
+        found = df.join(of_rows, keys, "left").join(of_queries, keys, "left")
+        return found.withColumns({own[1]: F.pmod(F.xxhash64(*ident), n(own[0])).cast("int"), other[1]: F.explode(F.sequence(F.lit(0), n(other[0]) - 1))}).drop("_rows", "_queries")
 
     one, two = ("_rows", "_r"), ("_queries", "_q")
-    left, right = dealt(rows, row_id, one, two), dealt(queries, query_id, two, one)
+    return placed(rows, row_id, one, two), placed(queries, query_id, two, one)
+
+
+def blocked(rows: DataFrame, queries: DataFrame, key: str, row_id: str, query_id: str, fn: Callable, schema: StructType, n_rows: int = ROWS, n_queries: int = QUERIES) -> DataFrame:
+    """fn(rows, queries) of Arrow tables for each pair of a part of rows and a part of queries of a key."""
+    left, right = dealt(rows, queries, [key], [row_id], [query_id], n_rows, n_queries)
     empty = {f.name: [] for f in schema}
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -30,6 +30,22 @@ def test_webhooks_match_once_without_a_distinct(spark):
     assert not plan(got).lstrip().startswith(("Aggregate", "Deduplicate"))
 
 
+def test_webhooks_meet_in_blocks_and_are_not_broadcast(spark):
+    made = [(k, k % 3, "ab"[k % 2]) for k in range(60)] + [(99, None, "a")]
+    wants = ["*", "a", "b , c", "c", "a,b", "x, *", None]
+    held = [(k, k % 4, wants[k % 7], k % 5 > 0) for k in range(80)] + [(100, None, "*", True)]
+    e = spark.createDataFrame(made, "seq long, user_id long, event_type string")
+    hooks = spark.createDataFrame(held, "webhook_id long, user_id long, events string, is_active boolean")
+    got = events.match_webhooks(e, hooks, n_events=3, n_hooks=2)
+    assert got.columns == ["user_id", "event_type", "seq", "webhook_id"]
+    wanted = lambda w, t: w is not None and bool({t, "*"} & {x.strip() for x in w.split(",")})
+    want = [(u, t, n, i) for n, u, t in made for i, v, w, on in held if on and u is not None and u == v and wanted(w, t)]
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 200
+    # copies of webhooks by blocks are more than the estimate of their size knows of
+    steps = got._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert not [x for x in steps if "BroadcastHashJoin" in x and "LeftOuter" not in x] and any("SortMergeJoin" in x for x in steps)
+
+
 def test_relevance_is_rounded_as_the_double(spark):
     m = spark.createDataFrame([(1, "k", "x")], "id long, memory_key string, content string")
     got = lambda x: retrieval.results_as_text(spark.createDataFrame([(1, 1, 1, x)], "query_id long, rank int, id long, final_score double"), m).first().text
