@@ -1,5 +1,7 @@
 """Pairs without shuffled products, equal vectors, rounding, shapes and payloads."""
 
+import hashlib
+import hmac
 import json
 
 from pyspark.sql import functions as F
@@ -46,6 +48,26 @@ def test_webhooks_meet_in_blocks_and_are_not_broadcast(spark):
     assert not [x for x in steps if "BroadcastHashJoin" in x and "LeftOuter" not in x] and any("SortMergeJoin" in x for x in steps)
 
 
+def test_outbox_signs_pairs_where_they_are_made(spark, sf):
+    from memspark.plans import registry
+
+    secrets = {1: "s", 2: None, 3: "é" * 40, 4: "k" * 64, 5: ""}
+    e = spark.createDataFrame([(1, 7, "a"), (2, 7, 'b "ü"')], "seq long, user_id long, event_type string")
+    hooks = spark.createDataFrame([(k, 7, "*", True) for k in range(1, 7)], "webhook_id long, user_id long, events string, is_active boolean")
+    kept = spark.createDataFrame(list(secrets.items()), "webhook_id long, secret string")
+    one = events.webhook_outbox(events.match_webhooks(e, hooks), kept)
+    two = events.webhook_outbox(events.match_webhooks(e, events.with_pads(hooks, kept), events.PADS))
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
+    for r in two.collect():
+        assert r.signature == hmac.new((secrets[r.webhook_id] or "").encode(), r.body.encode(), hashlib.sha256).hexdigest()
+    assert two.count() == 10
+    # the last join is that of the pairs, by blocks; secrets are with the webhooks before it
+    steps = registry.QUERIES["s7_webhook_outbox"](spark, sf)._jdf.queryExecution().executedPlan().toString().splitlines()
+    joins = [x for x in steps if "Join" in x]
+    assert "SortMergeJoin" in joins[0] and "_r#" in joins[0]
+    assert not [x for x in joins if "BroadcastHashJoin" in x and "LeftOuter" not in x]
+
+
 def test_relevance_is_rounded_as_the_double(spark):
     m = spark.createDataFrame([(1, "k", "x")], "id long, memory_key string, content string")
     got = lambda x: retrieval.results_as_text(spark.createDataFrame([(1, 1, 1, x)], "query_id long, rank int, id long, final_score double"), m).first().text
