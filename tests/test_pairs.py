@@ -24,6 +24,22 @@ def test_fan_out_of_several_channels_without_a_distinct(spark):
     assert not plan(got).lstrip().startswith(("Aggregate", "Deduplicate"))
 
 
+def test_fan_out_in_blocks(spark, tmp_path):
+    e = spark.createDataFrame([(k, k % 5) for k in range(40)] + [(99, None)], "event_id long, user_id long")
+    rows = [("global" if k % 3 == 0 else f"user:{k % 7}", k) for k in range(50)] + [(f"user:{k % 5}", k) for k in range(0, 50, 4)] + [("user:none", 60), (None, 61)]
+    subs = spark.createDataFrame(rows, "channel string, subscriber long")
+    got = events.fan_out(events.route(e), subs, n_events=3, n_subscribers=4, tasks=5)
+    of = lambda u: {"global", f"user:{u}"}
+    want = {(k, s) for k, u in [(k, k % 5) for k in range(40)] + [(99, "x")] for c, s in rows if c in of(u)}
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 800
+    # many events of a channel meet many subscribers: a row takes far less than a byte
+    many = spark.range(4_000).select(F.col("id").alias("event_id"))
+    all_ = spark.range(2_000).select(F.col("id").alias("subscriber"), F.lit("global").alias("channel"))
+    events.fan_out(events.route(many), all_).write.parquet(str(tmp_path / "x"))
+    assert spark.read.parquet(str(tmp_path / "x")).count() == 8_000_000
+    assert sum(f.stat().st_size for f in (tmp_path / "x").glob("*.parquet")) < 0.3 * 8_000_000
+
+
 def test_webhooks_match_once_without_a_distinct(spark):
     e = spark.createDataFrame([(1, 7, "a"), (1, 7, "a"), (2, 8, "b")], "seq long, user_id long, event_type string")
     hooks = spark.createDataFrame([(1, 7, "*, a", True), (1, 7, "a", True), (2, 7, "a,a", True), (3, 8, "a", True), (4, 8, "b", False), (5, 8, "*", True)], "webhook_id long, user_id long, events string, is_active boolean")
